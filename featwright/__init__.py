@@ -5,6 +5,14 @@ fold) vote, so features, methods, folds and trials are data that Spark
 partitions, not loops in Python.
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 from featwright.settings import Settings
 
+# Functions sent to Python workers carry their code along, so that executors
+# need numpy and pandas but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 __all__ = ["Settings"]

@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def percent(column: str) -> Column:
-    return F.round(F.col(column) * 100).cast("bigint")
+    return F.floor(F.col(column) * 100 + 0.5).cast("bigint")
 
 
 def feature_name(key: str = "l_partkey") -> Column:
@@ -31,35 +31,39 @@ def feature_name(key: str = "l_partkey") -> Column:
     return F.concat(prefix, F.col(key).cast("string"))
 
 
+MEASURES = ("sum_quantity", "avg_price", "avg_discount", "line_count", "max_tax")
+
+
 def unscaled_line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five measures of every part in every line number; 0 where the part has no such line.
 
-    One aggregate per part holds all line numbers side by side, so that the
-    empty ones need no join; the unpivot is a projection.
+    The pivot puts all line numbers of a part side by side, so that filling the
+    empty ones needs no join; the way back to long rows is a projection.
     """
-    lines = table(spark, sf_dir, "lineitem")
 
-    def measures(fold: int) -> list[Column]:
-        here = F.col("l_linenumber") == fold
+    def mean(value: Column) -> Column:
+        return F.sum(value) / F.count(F.lit(1))
 
-        def total(value: Column) -> Column:
-            return F.coalesce(F.sum(F.when(here, value)), F.lit(0))
-
-        n = F.count_if(here)
-        return [
-            total(F.col("l_quantity")).cast("double").alias(f"sum_quantity_{fold}"),
-            F.coalesce(total(percent("l_extendedprice")) / F.nullif(n, F.lit(0)), F.lit(0.0)).alias(f"avg_price_{fold}"),
-            F.coalesce(total(percent("l_discount")) / F.nullif(n, F.lit(0)), F.lit(0.0)).alias(f"avg_discount_{fold}"),
-            n.cast("double").alias(f"line_count_{fold}"),
-            F.coalesce(F.max(F.when(here, F.col("l_tax"))), F.lit(0.0)).alias(f"max_tax_{fold}"),
-        ]
-
-    wide = lines.groupBy("l_partkey").agg(*[m for fold in LINE_FOLDS for m in measures(fold)])
-    names = ["sum_quantity", "avg_price", "avg_discount", "line_count", "max_tax"]
+    wide = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy("l_partkey")
+        .pivot("l_linenumber", list(LINE_FOLDS))
+        .agg(
+            F.sum("l_quantity").alias("sum_quantity"),
+            mean(percent("l_extendedprice")).alias("avg_price"),
+            mean(percent("l_discount")).alias("avg_discount"),
+            F.count(F.lit(1)).cast("double").alias("line_count"),
+            F.max("l_tax").alias("max_tax"),
+        )
+    )
     rows = [
-        F.struct(F.lit(m).alias("method"), F.lit(f - 1).alias("outer_fold"), F.col(f"{m}_{f}").alias("score"))
-        for f in LINE_FOLDS
-        for m in names
+        F.struct(
+            F.lit(name).alias("method"),
+            F.lit(fold - 1).alias("outer_fold"),
+            F.coalesce(F.col(f"{fold}_{name}"), F.lit(0.0)).alias("score"),
+        )
+        for fold in LINE_FOLDS
+        for name in MEASURES
     ]
     return wide.select(
         feature_name().alias("feature"), F.col("l_partkey").alias("feature_ord"), F.inline(F.array(*rows))
@@ -67,7 +71,7 @@ def unscaled_line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minmax_scores(unscaled_line_scores(spark, sf_dir), ["method", "outer_fold"])
+    return minmax_scores(stage(unscaled_line_scores(spark, sf_dir)), ["method", "outer_fold"])
 
 
 def line_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,3 +146,64 @@ def raw_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.sum(percent("l_tax")) / 1024.0).alias("labeled"),
         )
     )
+
+
+# ---- labelled tables ---------------------------------------------------------
+
+
+def embedding_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row vectors of 64 features; labels 1 and 2."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("sample_id"),
+        F.when(F.col("label") < 5, 1).otherwise(2).alias("label"),
+        F.col("embedding").cast("array<double>").alias("features"),
+    )
+
+
+ORDER_FEATURES = (
+    "total_price",
+    "sum_quantity",
+    "avg_quantity",
+    "sum_price",
+    "avg_price",
+    "sum_discount",
+    "avg_discount",
+    "sum_tax",
+    "avg_tax",
+)
+
+
+def orders_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One labelled row per order; NULL where the order has no lines."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        *[
+            expression
+            for name, value in (
+                ("quantity", F.col("l_quantity").cast("bigint")),
+                ("price", percent("l_extendedprice")),
+                ("discount", percent("l_discount")),
+                ("tax", percent("l_tax")),
+            )
+            for expression in (
+                F.sum(value).cast("double").alias(f"sum_{name}"),
+                (F.sum(value) / F.count(F.lit(1))).alias(f"avg_{name}"),
+            )
+        ]
+    )
+    return (
+        table(spark, sf_dir, "orders")
+        .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .select(
+            F.col("o_orderkey").alias("sample_id"),
+            F.when(F.col("o_orderstatus") == "F", 1).otherwise(2).alias("label"),
+            percent("o_totalprice").cast("double").alias("total_price"),
+            *[F.col(c) for c in ORDER_FEATURES[1:]],
+        )
+    )
+
+
+def order_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("sample_id"),
+        F.when(F.col("o_orderstatus") == "F", 1).otherwise(2).alias("label"),
+    )

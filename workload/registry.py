@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workload import score_queries
+from workload import score_queries, table_queries
 
-_MODULES = (score_queries,)
+_MODULES = (score_queries, table_queries)
 
 
 def queries() -> dict:

@@ -63,7 +63,7 @@ def aggregator_query(name: str):
 # ---- the same in SQL -------------------------------------------------------
 
 _NAME = "CASE WHEN {k} % 7 = 0 THEN 'bm_' ELSE 'p_' END || CAST({k} AS VARCHAR)"
-_PCT = "CAST(round({c} * 100) AS BIGINT)"
+_PCT = "CAST(floor({c} * 100 + 0.5) AS BIGINT)"
 
 
 def pct(column: str) -> str:
