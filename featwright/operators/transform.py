@@ -123,8 +123,9 @@ def yeojohnson_grid(
     """The exponent of an even grid whose result is least skewed, per (split, feature)."""
     grid = lambda_grid(settings.lambda_start, settings.lambda_end, settings.interval_parameter)
     powered = train_cells.withColumn("lambda", F.explode(F.array(*[F.lit(v) for v in grid])))
-    t = yeo_johnson(F.col("value"), F.col("lambda"))
-    skews = powered.groupBy(*keys, "feature", "lambda").agg(F.skewness(t).alias("skew"))
+    # a column of its own: inside the aggregate it would be computed once per moment
+    powered = powered.withColumn("_t", yeo_johnson(F.col("value"), F.col("lambda")))
+    skews = powered.groupBy(*keys, "feature", "lambda").agg(F.skewness("_t").alias("skew"))
     best = F.min(F.when(F.col("skew").isNotNull(), F.struct(F.abs("skew").alias("size"), "lambda", "skew")))
     return skews.groupBy(*keys, "feature").agg(best.alias("_best")).select(
         *keys,

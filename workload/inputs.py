@@ -99,7 +99,7 @@ def ballots(votes: DataFrame) -> DataFrame:
 def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw importances: return flag = method, line number = outer fold, supplier = inner fold."""
     lines = table(spark, sf_dir, "lineitem").select(
-        F.lit(1).cast("bigint").alias("experiment_id"),
+        (1 + F.col("l_partkey") % 2).alias("experiment_id"),
         F.concat(F.lit("m_"), "l_returnflag").alias("method"),
         (F.col("l_linenumber") - 1).alias("outer_fold"),
         (F.col("l_suppkey") % 3).cast("int").alias("inner_fold"),
@@ -136,7 +136,7 @@ def raw_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(
-            F.lit(1).cast("bigint").alias("experiment_id"),
+            (1 + F.col("l_partkey") % 2).alias("experiment_id"),
             F.concat(F.lit("Reverse_"), "l_linestatus").alias("method"),
             (F.col("l_linenumber") - 1).alias("outer_fold"),
             feature_name().alias("feature"),
@@ -207,3 +207,71 @@ def order_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("sample_id"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(2).alias("label"),
     )
+
+
+# ---- meters, trials, predictions ----------------------------------------------
+
+
+def power_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as power samples of five nodes; error events are failed polls."""
+    return table(spark, sf_dir, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.concat(F.lit("node"), (F.col("user_id") % 5).cast("string")).alias("node_id"),
+        F.when(F.col("event_type").isin("click", "view"), "preprocessing")
+        .otherwise("feature_selection")
+        .alias("workflow_element"),
+        F.col("value").alias("total_w"),
+        (F.col("value") / 2).alias("cpu_w"),
+        (F.col("value") / 4).alias("peg_w"),
+        (F.col("event_type") != "error").alias("ok"),
+    )
+
+
+def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time marks of workflow elements."""
+    return table(spark, sf_dir, "events").select(
+        (F.col("user_id") % 50).alias("experiment_id"),
+        F.col("event_type").alias("element"),
+        F.concat(F.lit("node"), (F.col("user_id") % 5).cast("string")).alias("node_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        "value",
+    )
+
+
+def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One experiment per customer with orders; the ids have gaps."""
+    return (
+        table(spark, sf_dir, "orders")
+        .groupBy(F.col("o_custkey").alias("experiment_id"))
+        .agg(
+            F.min("o_orderdate").cast("timestamp").alias("created"),
+            F.create_map(F.lit("orders"), F.count("*").cast("string")).alias("settings"),
+        )
+    )
+
+
+def fold_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of 30 trials in 5 inner folds of 6 outer folds of every order priority."""
+    return (
+        table(spark, sf_dir, "orders")
+        .groupBy(
+            F.col("o_orderpriority").alias("method"),
+            (F.col("o_custkey") % 6).cast("int").alias("outer_fold"),
+            (F.col("o_orderkey") % 30).cast("int").alias("trial_id"),
+            (F.floor(F.col("o_orderkey") / 30) % 5).cast("int").alias("inner_fold"),
+        )
+        .agg((F.sum(percent("o_totalprice")) / F.count("*")).alias("score"))
+    )
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation rows of a target: line price against what quantity says of it."""
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_linenumber") - 1).alias("outer_fold"),
+        F.col("l_returnflag").alias("target"),
+        (F.col("l_suppkey") % 10).cast("int").alias("trial_id"),
+        (F.col("l_orderkey") % 3).cast("int").alias("inner_fold"),
+        (F.col("l_extendedprice") / 1000).alias("y"),
+        (F.col("l_quantity") * 1.5).alias("prediction"),
+        (F.col("l_quantity").cast("bigint") - 25).alias("_label_part"),
+    )

@@ -242,26 +242,26 @@ def _ensemble_sql() -> str:
 
 RAW_RESULTS = f"""
 lines AS (
-  SELECT 'm_' || l_returnflag AS method, l_linenumber - 1 AS outer_fold,
+  SELECT 1 + l_partkey % 2 AS experiment_id, 'm_' || l_returnflag AS method, l_linenumber - 1 AS outer_fold,
          CAST(l_suppkey % 3 AS INTEGER) AS inner_fold, {feature('l_partkey')} AS feature,
          CAST(l_quantity AS BIGINT) - 25 AS quantity, {pct('l_discount')} - 5 AS discount,
          {pct('l_tax')} - 4 AS tax
   FROM lineitem),
 importances AS (
-  SELECT method, outer_fold, inner_fold, feature, 'macro' AS kind, CAST(sum(quantity) AS DOUBLE) / 64 AS value
-  FROM lines GROUP BY 1, 2, 3, 4
+  SELECT experiment_id, method, outer_fold, inner_fold, feature, 'macro' AS kind, CAST(sum(quantity) AS DOUBLE) / 64 AS value
+  FROM lines GROUP BY 1, 2, 3, 4, 5
   UNION ALL
-  SELECT method, outer_fold, inner_fold, feature, 'shap', CAST(sum(tax) AS DOUBLE) / 64
-  FROM lines WHERE method <> 'm_R' GROUP BY 1, 2, 3, 4
+  SELECT experiment_id, method, outer_fold, inner_fold, feature, 'shap', CAST(sum(tax) AS DOUBLE) / 64
+  FROM lines WHERE method <> 'm_R' GROUP BY 1, 2, 3, 4, 5
   UNION ALL
-  SELECT method, outer_fold, NULL, feature, 'micro', CAST(sum(discount) AS DOUBLE) / 64
-  FROM lines GROUP BY 1, 2, 4),
+  SELECT experiment_id, method, outer_fold, NULL, feature, 'micro', CAST(sum(discount) AS DOUBLE) / 64
+  FROM lines GROUP BY 1, 2, 3, 5),
 raw_reverse AS (
-  SELECT 'Reverse_' || l_linestatus AS method, l_linenumber - 1 AS outer_fold,
+  SELECT 1 + l_partkey % 2 AS experiment_id, 'Reverse_' || l_linestatus AS method, l_linenumber - 1 AS outer_fold,
          {feature('l_partkey')} AS feature,
          CAST(sum({pct('l_discount')}) AS DOUBLE) / 1024 AS unlabeled,
          CAST(sum({pct('l_tax')}) AS DOUBLE) / 1024 AS labeled
-  FROM lineitem GROUP BY 1, 2, 3),
+  FROM lineitem GROUP BY 1, 2, 3, 4),
 macro AS (SELECT method, outer_fold, feature, sum(abs(value)) AS score
           FROM importances WHERE kind = 'macro' GROUP BY 1, 2, 3),
 micro AS (SELECT method, outer_fold, feature, value AS score FROM importances WHERE kind = 'micro'),
