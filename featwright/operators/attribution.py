@@ -1,12 +1,18 @@
-"""Attributions of linear models, summed over the validation rows."""
+"""Attributions of linear and tree models, summed over the validation rows."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import uuid
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featwright.storage import shared_dir
+
 
 def linear_attribution(
     valid_cells: DataFrame, weights: DataFrame, keys: Sequence[str] = ("outer_fold",)
@@ -21,3 +27,102 @@ def linear_attribution(
         .groupBy(*keys, "feature")
         .agg(F.sum(F.abs(F.col("weight") * (F.col("value") - F.col("mean")))).alias("value"))
     )
+
+
+# ---- trees -------------------------------------------------------------------
+
+MAX_LEAVES = 200_000  # about 20 MB of leaves in the task closure
+
+
+def leaves_of(model, spark) -> list[tuple[float, list[tuple[int, float, float, float]]]]:
+    """Leaves of a stored tree model: ``(value, [(feature, low, high, cover share)…])``.
+
+    A feature met several times on a path has one interval and one share. Their
+    number is bounded by trees × 2^depth, whatever the data. The value is the
+    probability of class 0 in a forest, the weighted margin against class 1 in
+    a boosted model.
+    """
+    folder = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    model.write().save(folder)
+    saved = spark.read.parquet(f"{folder}/data")
+    flat = saved.select("treeID", "nodeData.*") if "treeID" in saved.columns else saved.select(F.lit(0).alias("treeID"), "*")
+    nodes = {
+        (r.treeID, r.id): r
+        for r in flat.select(
+            "treeID", "id", "prediction", "impurityStats", "rawCount", "leftChild", "rightChild",
+            F.col("split.featureIndex").alias("feature"),
+            F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
+        ).toLocalIterator()
+    }
+    boosted = hasattr(model, "treeWeights") and type(model).__name__.startswith("GBT")
+    tree_weights = list(getattr(model, "treeWeights", [1.0]))
+    n_trees = len(tree_weights)
+    leaves = []
+    for (tree, node_id), root in nodes.items():
+        if node_id:
+            continue
+        stack = [(root, {})]
+        while stack:
+            node, path = stack.pop()
+            if node.leftChild < 0:
+                value = (
+                    -tree_weights[tree] * node.prediction
+                    if boosted
+                    else node.impurityStats[0] / max(sum(node.impurityStats), 1e-300) / n_trees
+                )
+                leaves.append((value, [(f, lo, hi, share) for f, (lo, hi, share) in path.items()]))
+                continue
+            for child_id, left in ((node.leftChild, True), (node.rightChild, False)):
+                child = nodes[tree, child_id]
+                lo, hi, share = path.get(node.feature, (-math.inf, math.inf, 1.0))
+                share *= child.rawCount / node.rawCount
+                lo, hi = (lo, min(hi, node.threshold)) if left else (max(lo, node.threshold), hi)
+                stack.append((child, path | {node.feature: (lo, hi, share)}))
+    if len(leaves) > MAX_LEAVES:
+        raise ValueError(f"{len(leaves)} leaves")
+    return leaves
+
+
+def shapley_of_leaves(x: np.ndarray, leaves: list) -> np.ndarray:
+    """Path-dependent Shapley values of every row of ``x``, in closed form leaf by leaf.
+
+    Without feature f a leaf is reached with its cover share, with f either
+    surely or not at all; so a leaf is a product game over the features of its path.
+    """
+    phi = np.zeros_like(x)
+    for value, path in leaves:
+        k = len(path)
+        if not k:
+            continue
+        known = np.stack([(x[:, f] > lo) & (x[:, f] <= hi) for f, lo, hi, _ in path]).astype(float)
+        share = np.array([p[3] for p in path])
+        for i, (feature, *_) in enumerate(path):
+            # coefficients of prod over the others of (share + known·z)
+            sizes = np.zeros((k, len(x)))
+            sizes[0] = 1.0
+            for j in range(k):
+                if j != i:
+                    sizes[1:] = sizes[1:] * share[j] + sizes[:-1] * known[j]
+                    sizes[0] *= share[j]
+            weights = [math.factorial(t) * math.factorial(k - 1 - t) / math.factorial(k) for t in range(k)]
+            phi[:, feature] += value * (known[i] - share[i]) * (np.array(weights) @ sizes)
+    return phi
+
+
+def tree_attribution(valid: DataFrame, leaves: list, keys: Sequence[str] = ("outer_fold",)) -> DataFrame:
+    """Sum over validation rows of |Shapley value| per feature; rows are added up inside each task first."""
+    keys = list(keys)
+    types = {f.name: f.dataType.simpleString() for f in valid.schema}
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", feature_ord int, value double"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for key, rows in frame.groupby(keys, dropna=False):
+                total = np.abs(shapley_of_leaves(np.stack(rows.features), leaves)).sum(axis=0)
+                out = pd.DataFrame({"feature_ord": range(len(total)), "value": total})
+                for name, part in zip(keys, key):
+                    out.insert(0, name, part)
+                yield out[[*keys, "feature_ord", "value"]]
+
+    partial = valid.select(*keys, "features").mapInPandas(run, schema)
+    return partial.groupBy(*keys, "feature_ord").agg(F.sum("value").alias("value"))

@@ -39,26 +39,23 @@ def load_results(spark: SparkSession, folder: str, experiment_id: int, methods:
     return found if methods is None else found.where(F.col("method").isin(list(methods)))
 
 
+_RUN = ["experiment_id", "method", "outer_fold", "kind"]
+
+
 def nest_results(importances: DataFrame) -> DataFrame:
-    """One row per (experiment, method, outer fold, kind) with the vectors of its inner folds.
+    """One row per (experiment, method, outer fold, kind, feature) with its values over the inner folds.
 
-    A vector has one value per feature: this is the form for the export of a
-    finished run, not for further work.
+    A list holds one value per inner fold. Vectors over the features would put a
+    whole method in one row.
     """
-    vector = F.array_sort(F.collect_list(F.struct("feature", "value")))
-    keys = ["experiment_id", "method", "outer_fold", "kind"]
-    return (
-        importances.groupBy(*keys, "inner_fold")
-        .agg(vector.alias("vector"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("inner_fold", "vector"))).alias("folds"))
+    return importances.groupBy(*_RUN, "feature").agg(
+        F.array_sort(F.collect_list(F.struct("inner_fold", "value"))).alias("folds")
     )
 
 
 def flatten_results(nested: DataFrame) -> DataFrame:
     """The reverse of :func:`nest_results`; a projection."""
-    keys = ["experiment_id", "method", "outer_fold", "kind"]
-    return nested.select(*keys, F.inline("folds")).select(*keys, "inner_fold", F.inline("vector"))
+    return nested.select(*_RUN, "feature", F.inline("folds"))
 
 
 def next_experiment_id(experiments: DataFrame) -> DataFrame:

@@ -275,3 +275,59 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_quantity") * 1.5).alias("prediction"),
         (F.col("l_quantity").cast("bigint") - 25).alias("_label_part"),
     )
+
+
+DOCUMENT_FEATURES = (
+    "n_chars",
+    "n_words",
+    "n_lines",
+    "n_digits",
+    "n_upper",
+    "n_punctuation",
+    "n_letters",
+    "word_length",
+    "words_per_line",
+    "upper_share",
+    "digit_share",
+    "punctuation_share",
+)
+
+
+def document_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as vectors of text measures over the whole text; labels 1 and 2."""
+    text = F.col("text")
+
+    def n(pattern: str) -> Column:
+        return F.regexp_count(text, F.lit(pattern)).cast("double")
+
+    measured = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.col("n_chars").cast("double").alias("n_chars"),
+        n(r"\S+").alias("n_words"),
+        (n(r"\n") + 1).alias("n_lines"),
+        n(r"[0-9]").alias("n_digits"),
+        n(r"[A-Z]").alias("n_upper"),
+        n(r"[.,;:!?]").alias("n_punctuation"),
+        n(r"[A-Za-z]").alias("n_letters"),
+    )
+    chars, words = F.greatest("n_chars", F.lit(1.0)), F.greatest("n_words", F.lit(1.0))
+    features = measured.select(
+        "doc_id",
+        "n_chars",
+        "n_words",
+        "n_lines",
+        "n_digits",
+        "n_upper",
+        "n_punctuation",
+        "n_letters",
+        (F.col("n_chars") / words).alias("word_length"),
+        (F.col("n_words") / F.col("n_lines")).alias("words_per_line"),
+        (F.col("n_upper") / chars).alias("upper_share"),
+        (F.col("n_digits") / chars).alias("digit_share"),
+        (F.col("n_punctuation") / chars).alias("punctuation_share"),
+    )
+    return features.join(table(spark, sf_dir, "labels"), "doc_id").select(
+        F.col("doc_id").alias("sample_id"),
+        (F.col("quality") + 1).alias("label"),
+        F.array(*DOCUMENT_FEATURES).alias("features"),
+    )
