@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from workload import election_queries, run_queries, score_queries, table_queries
+from workload import election_queries, model_queries, run_queries, score_queries, table_queries
 
-_MODULES = (score_queries, table_queries, run_queries, election_queries)
+_MODULES = (score_queries, table_queries, run_queries, election_queries, model_queries)
 
 
 def queries() -> dict:
