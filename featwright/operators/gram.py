@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from featwright.functions.joins import join_null_safe
 from featwright.functions.ranks import average_ascending, with_ranks
 from featwright.sources.tables import vectors_of
 from featwright.storage import stage
@@ -161,16 +162,12 @@ def correlations(vectors: DataFrame, keys: Sequence[str] = (), prefix: str = "f_
     def name(ord_column: str) -> Column:
         return F.concat(F.lit(prefix), F.col(ord_column).cast("string"))
 
-    return (
-        products.where("ord_i < ord_j")
-        .join(si, [*keys, "ord_i"])
-        .join(sj, [*keys, "ord_j"])
-        .select(
-            *keys,
-            name("ord_i").alias("feature_i"),
-            name("ord_j").alias("feature_j"),
-            (F.col("product") / F.nullif(F.col("s_i") * F.col("s_j"), F.lit(0.0))).alias("r"),
-        )
+    pairs = join_null_safe(products.where("ord_i < ord_j"), si, [*keys, "ord_i"])
+    return join_null_safe(pairs, sj, [*keys, "ord_j"]).select(
+        *keys,
+        name("ord_i").alias("feature_i"),
+        name("ord_j").alias("feature_j"),
+        (F.col("product") / F.nullif(F.col("s_i") * F.col("s_j"), F.lit(0.0))).alias("r"),
     )
 
 

@@ -13,19 +13,17 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LinearSVC,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LinearSVC, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featwright.plans.splits import Splits
+from featwright.operators.gram import correlations
+from featwright.operators.prepare import uncorrelated_features
+from featwright.plans.splits import SPLIT, Splits
 
 FITS = "outer_fold int, inner_fold int, trial_id int, score double, weights array<double>"
 
@@ -132,62 +130,56 @@ def linear_svc(train: DataFrame, valid: DataFrame | None, params: dict, max_iter
 # ---- extra trees: random thresholds ----------------------------------------
 
 
-def _limits(train: DataFrame, n_features: int) -> list[tuple[float, float]]:
-    """Lowest and highest value of every feature; one row of the model's size."""
-    row = train.agg(
-        *[F.min(F.col("features")[j]).alias(f"lo{j}") for j in range(n_features)],
-        *[F.max(F.col("features")[j]).alias(f"hi{j}") for j in range(n_features)],
-    ).first()
-    return [(row[f"lo{j}"], row[f"hi{j}"]) for j in range(n_features)]
+def _limits(train: DataFrame) -> list[tuple[float, float]]:
+    """Lowest and highest value of every feature: one row of the model's size."""
+    vectors = train.select(array_to_vector("features").alias("features"))
+    row = vectors.select(Summarizer.metrics("min", "max").summary(F.col("features")).alias("s")).first().s
+    return list(zip(row.min.toArray().tolist(), row.max.toArray().tolist()))
 
 
-def _encoded(rows: DataFrame, thresholds: list[tuple[int, float]], label) -> DataFrame:
-    """0/1 columns ``x > threshold``, several random thresholds per feature."""
-    cut = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(t).alias("t")) for j, t in thresholds])
-    bits = F.transform(cut, lambda c: F.when(F.get("features", c["j"]) > c["t"], 1.0).otherwise(0.0))
+def _thresholds(train: DataFrame, per_feature: int, seed: int) -> list[tuple[int, float]]:
+    rng = random.Random(seed)
+    return [
+        (j, lo + rng.random() * (hi - lo)) for j, (lo, hi) in enumerate(_limits(train)) for _ in range(per_feature)
+    ]
+
+
+def _encoded(rows: DataFrame, thresholds: list[tuple[int, float]], label: Column) -> DataFrame:
+    """0/1 columns ``x > threshold``."""
+    columns = ", ".join(str(j) for j, _ in thresholds)
+    cuts = ", ".join(f"{t!r}D" for _, t in thresholds)
+    bits = F.expr(
+        f"zip_with(array({columns}), array({cuts}), (j, t) -> if(get(features, j) > t, 1.0D, 0.0D))"
+    )
     return rows.select("sample_id", label.alias("label"), array_to_vector(bits).alias("features"))
 
 
-def _draw(limits: list[tuple[float, float]], rng: random.Random, per_feature: int) -> list[tuple[int, float]]:
-    return [(j, lo + rng.random() * (hi - lo)) for j, (lo, hi) in enumerate(limits) for _ in range(per_feature)]
+def _by_feature(model, thresholds: list[tuple[int, float]]) -> list[float]:
+    weights = [0.0] * (thresholds[-1][0] + 1)
+    for (j, _), importance in zip(thresholds, model.featureImportances.toArray()):
+        weights[j] += float(importance)
+    return weights
 
 
-def _extra_trees(train, valid, params, num_trees, seed, per_feature, label, make_tree, predicted):
-    n_features = train.select(F.size("features")).first()[0]
-    limits = _limits(train, n_features)
-    rng = random.Random(seed)
-    weights = [0.0] * n_features
-    votes = None
-    for tree in range(num_trees):
-        thresholds = _draw(limits, rng, per_feature)
-        model = make_tree(seed + tree).fit(_encoded(train, thresholds, label))
-        for (j, _), importance in zip(thresholds, model.featureImportances.toArray()):
-            weights[j] += float(importance) / num_trees
-        if valid is not None:
-            one = model.transform(_encoded(valid, thresholds, label)).select("sample_id", "label", predicted.alias("_vote"))
-            votes = one if votes is None else votes.unionByName(one)
-    return weights, votes
-
-
-def extra_trees(train: DataFrame, valid: DataFrame | None, params: dict, num_trees: int = 100, seed: int = 42, per_feature: int = 3) -> Fit:
-    """Trees over random thresholds, scored by the accuracy of their mean probability."""
-    def tree(tree_seed: int):
-        return DecisionTreeClassifier(
-            impurity="entropy",
-            maxDepth=int(params["max_depth"]),
-            minInstancesPerNode=int(params["min_samples_leaf"]),
-            seed=tree_seed,
-        )
-
-    weights, votes = _extra_trees(
-        train, valid, params, num_trees, seed, per_feature,
-        (F.col("label") - 1).cast("double"), tree, vector_to_array("probability")[1],
-    )
-    score = None
-    if votes is not None:
-        mean = votes.groupBy("sample_id", "label").agg(F.avg("_vote").alias("p"))
-        score = mean.agg(F.avg(((F.col("p") > 0.5).cast("double") == F.col("label")).cast("double"))).first()[0]
-    return Fit(score, weights)
+# every node of a tree chooses among a random part of the random thresholds,
+# and every tree sees all rows
+_EXTRA = {"bootstrap": False, "featureSubsetStrategy": "sqrt", "maxBins": 2}
+
+
+def extra_trees(train: DataFrame, valid: DataFrame | None, params: dict, num_trees: int = 100, seed: int = 42, per_feature: int = 8) -> Fit:
+    """Trees over random thresholds (entropy), scored by accuracy."""
+    thresholds = _thresholds(train, per_feature, seed)
+    label = (F.col("label") - 1).cast("double")
+    model = RandomForestClassifier(
+        impurity="entropy",
+        numTrees=num_trees,
+        maxDepth=int(params["max_depth"]),
+        minInstancesPerNode=int(params["min_samples_leaf"]),
+        seed=seed,
+        **_EXTRA,
+    ).fit(_encoded(train, thresholds, label))
+    score = None if valid is None else _accuracy(model, _encoded(valid, thresholds, label))
+    return Fit(score, _by_feature(model, thresholds))
 
 
 # ---- the runs over splits and trials ----------------------------------------
@@ -227,19 +219,28 @@ def score_trials(
 
 
 def _target_rows(rows: DataFrame, target: int, columns: list[int], labeled: bool, scale: float) -> DataFrame:
-    chosen = F.array(*[F.get("features", F.lit(c)) for c in columns])
+    numbers = ", ".join(map(str, columns))
+    chosen = F.expr(f"transform(array({numbers}), j -> get(features, j))")
     if labeled:
         chosen = F.concat(F.array(F.col("label").cast("double")), chosen)
     return rows.select("sample_id", (F.get("features", F.lit(target)) * scale).alias("label"), chosen.alias("features"))
 
 
-def _uncorrelated(train: DataFrame, target: int, n_features: int, threshold: float) -> list[int]:
-    x = F.get("features", F.lit(target))
-    row = train.agg(*[F.corr(x, F.get("features", F.lit(j))).alias(f"r{j}") for j in range(n_features)]).first()
-    return [
-        j for j in range(n_features)
-        if j != target and row[f"r{j}"] is not None and abs(row[f"r{j}"]) <= threshold
-    ]
+def _allowed_columns(splits: Splits, targets: Sequence[int]) -> dict[tuple, list[int]]:
+    """Columns weakly correlated to each target on the train part of each split.
+
+    One pass over the rows for all splits; the driver keeps at most
+    targets × features numbers per split.
+    """
+    r = correlations(splits.rows().where("role = 'train'"), SPLIT, prefix="")
+    weak = uncorrelated_features(r, splits.settings.train_correlation_threshold)
+    rows = (
+        weak.where(F.col("target").cast("int").isin(list(targets)))
+        .groupBy(*SPLIT, F.col("target").cast("int").alias("target"))
+        .agg(F.array_sort(F.collect_list(F.col("feature").cast("int"))).alias("columns"))
+        .toLocalIterator()
+    )
+    return {(x.outer_fold, x.inner_fold, x.target): x.columns for x in rows}
 
 
 def forest_regression(train: DataFrame, valid: DataFrame, params: dict, num_trees: int = 100, seed: int = 42):
@@ -254,18 +255,18 @@ def forest_regression(train: DataFrame, valid: DataFrame, params: dict, num_tree
     return model.featureImportances.toArray().tolist(), done.select("label", "prediction")
 
 
-def extra_trees_regression(train: DataFrame, valid: DataFrame, params: dict, num_trees: int = 100, seed: int = 42, per_feature: int = 3):
+def extra_trees_regression(train: DataFrame, valid: DataFrame, params: dict, num_trees: int = 100, seed: int = 42, per_feature: int = 8):
     """Random-threshold trees on a numeric target."""
-
-    def tree(tree_seed: int):
-        return DecisionTreeRegressor(
-            maxDepth=int(params["max_depth"]), minInstancesPerNode=int(params["min_samples_leaf"]), seed=tree_seed
-        )
-
-    weights, votes = _extra_trees(
-        train, valid, params, num_trees, seed, per_feature, F.col("label"), tree, F.col("prediction")
-    )
-    return weights, votes.groupBy("sample_id", "label").agg(F.avg("_vote").alias("prediction")).drop("sample_id")
+    thresholds = _thresholds(train, per_feature, seed)
+    model = RandomForestRegressor(
+        numTrees=num_trees,
+        maxDepth=int(params["max_depth"]),
+        minInstancesPerNode=int(params["min_samples_leaf"]),
+        seed=seed,
+        **_EXTRA,
+    ).fit(_encoded(train, thresholds, F.col("label")))
+    done = model.transform(_encoded(valid, thresholds, F.col("label")))
+    return _by_feature(model, thresholds), done.select("label", "prediction")
 
 
 def reverse_trees(
@@ -273,7 +274,6 @@ def reverse_trees(
     regression: Callable,
     trials: Sequence[dict],
     targets: Sequence[int],
-    n_features: int,
     parallelism: int = 4,
     **options,
 ) -> DataFrame:
@@ -299,6 +299,7 @@ def reverse_trees(
             pooled = done if pooled is None else pooled.unionByName(done)
         return RegressionEvaluator(metricName="r2").evaluate(pooled)
 
+    allowed = _allowed_columns(splits, targets)
     found: list[tuple] = []
     pool = ThreadPool(parallelism)
     try:
@@ -309,7 +310,7 @@ def reverse_trees(
 
                 @inheritable_thread_target(spark)
                 def one(target, outer=outer, opened=opened):
-                    columns = [_uncorrelated(t, target, n_features, s.train_correlation_threshold) for t, _ in opened]
+                    columns = [allowed.get((outer, i, target)) for i in [*range(s.n_inner_folds), None]]
                     if not all(columns):
                         return outer, target, 0.0, 0.0
                     inner = list(zip(opened, columns))[:-1]

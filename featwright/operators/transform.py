@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featwright.functions.expressions import yeo_johnson
+from featwright.functions.joins import join_null_safe
 from featwright.settings import Settings
 
 
@@ -66,13 +67,12 @@ def held_out_moments(
 
 def _best(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The highest score per key; the lowest exponent among equals."""
-    best = F.max(F.struct(F.col("score"), (-F.col("lambda")).alias("_order"), "lambda", "mean", "std"))
+    usable = F.col("score").isNotNull()
+    # a constant feature has no likelihood: leave it as near as can be to what it is
+    value = F.coalesce("score", -F.abs(F.col("lambda") - 1))
+    best = F.max(F.struct(usable, value, (-F.col("lambda")).alias("_order"), "lambda", "mean", "std"))
     return scored.groupBy(*keys).agg(best.alias("_best")).select(
-        *keys,
-        # a constant feature has no likelihood: leave it as it is
-        F.coalesce(F.when(F.col("_best.score").isNotNull(), F.col("_best.lambda")), F.lit(1.0)).alias("lambda"),
-        F.col("_best.mean").alias("mean"),
-        F.col("_best.std").alias("std"),
+        *keys, "_best.lambda", "_best.mean", "_best.std"
     )
 
 
@@ -82,6 +82,9 @@ def _likelihoods(cells: DataFrame, group: list[str], fold: str) -> DataFrame:
         "_slog", F.signum(x) * F.log1p(F.abs(x))
     )
     moments = held_out_moments(powered, [*group, "feature", "lambda"], fold, "_t", "_slog")
+    # what merging leaves of a constant column is rounding, not spread
+    spread = F.when(F.col("var") > 1e-24 * F.col("mean") * F.col("mean"), F.col("var")).otherwise(0.0)
+    moments = moments.withColumn("var", spread)
     likelihood = -F.col("n") / 2 * F.ln(F.nullif("var", F.lit(0.0))) + (F.col("lambda") - 1) * F.col("extra")
     return moments.withColumn("score", likelihood).withColumn("std", F.sqrt("var"))
 
@@ -169,16 +172,9 @@ def transform_vectors(vectors: DataFrame, fitted: DataFrame, keys: Sequence[str]
 
     ``fitted`` has one row per split; the keys may be NULL (outer level).
     """
-    left, right = vectors.alias("v"), fitted.alias("f")
-    match = [F.col(f"v.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
-    condition = match[0]
-    for other in match[1:]:
-        condition = condition & other
     new = F.zip_with(
         "features",
         "_fit",
         lambda x, p: standard_score(yeo_johnson(x, p["lambda"]), p["mean"], p["std"]),
     )
-    return left.join(right, condition).select(
-        *[new.alias(c) if c == "features" else F.col(f"v.{c}") for c in vectors.columns]
-    )
+    return join_null_safe(vectors, fitted, keys).withColumn("features", new).select(*vectors.columns)

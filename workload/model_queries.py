@@ -67,7 +67,7 @@ def _reverse_trees(regression, **options):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         trials = draw_trials("forest", 1, SAMPLES)
         found = models.reverse_trees(
-            _splits(spark, sf_dir), regression, trials, range(len(NAMES)), len(NAMES), parallelism=8, **options
+            _splits(spark, sf_dir), regression, trials, range(len(NAMES)), parallelism=8, **options
         )
         return named(found, NAMES, "ReverseTrees")
 
@@ -104,7 +104,7 @@ def queries() -> dict:
         "tree_attribution": tree_attribution,
         "reverse_lasso": reverse_lasso,
         "reverse_random_forest": _reverse_trees(models.forest_regression, num_trees=3),
-        "reverse_extra_trees": _reverse_trees(models.extra_trees_regression, num_trees=2),
+        "reverse_extra_trees": _reverse_trees(models.extra_trees_regression, num_trees=3),
     }
 
 
