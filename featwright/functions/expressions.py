@@ -39,14 +39,18 @@ def scaled(value: Column, low: Column, high: Column) -> Column:
     return F.when(value.isNull(), None).when(high > low, (value - low) / (high - low)).otherwise(0.0)
 
 
-def order_bucket(value: Column, resolution: int = 4096) -> Column:
+BUCKETS_PER_E = 4096
+_SHIFT = 800 * BUCKETS_PER_E  # ln of the smallest double is above -800
+LOWEST_BUCKET = -2 * _SHIFT - 1
+
+
+def order_bucket(value: Column) -> Column:
     """A coarse number that never falls as ``value`` rises.
 
     Buckets are equal steps of ln|value|, so they need no look at the data and
     come out the same when a lost task runs again.
     """
-    size = F.least(F.floor(F.ln(F.abs(value.cast("double"))) * resolution), F.lit(800 * resolution))
-    shift = 800 * resolution
+    size = F.least(F.floor(F.ln(F.abs(value.cast("double"))) * BUCKETS_PER_E), F.lit(_SHIFT))
     return (
-        F.when(value > 0, size + shift).when(value < 0, -size - shift).when(value == 0, F.lit(0))
+        F.when(value > 0, size + _SHIFT).when(value < 0, -size - _SHIFT).when(value == 0, F.lit(0))
     ).cast("bigint")

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featwright.functions.expressions import order_bucket
+from featwright.functions.expressions import LOWEST_BUCKET, order_bucket
 
 
 def value_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -24,10 +24,12 @@ def value_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     join the result back on the value.
     """
     group = list(group)
+    # NULL counts 0 and has a bucket of its own. Both uses of this table then read
+    # the same rows, so that Spark shuffles it once.
     distinct = (
         df.groupBy(*group, value)
         .agg(F.count(value).alias("n_equal"))
-        .withColumn("_bucket", order_bucket(F.col(value)))
+        .withColumn("_bucket", F.coalesce(order_bucket(F.col(value)), F.lit(LOWEST_BUCKET)))
     )
     totals = distinct.groupBy(*group, "_bucket").agg(
         F.sum("n_equal").alias("_n"),
@@ -49,7 +51,7 @@ def value_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
         .orderBy(value)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    running = distinct.where(F.col(value).isNotNull()).withColumn(
+    running = distinct.withColumn(
         "_below", F.coalesce(F.sum("n_equal").over(inside), F.lit(0))
     )
     return running.join(offsets, [*group, "_bucket"]).select(

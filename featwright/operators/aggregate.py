@@ -145,9 +145,8 @@ def aggregate_votes(
     if not to_rank:
         return measured.select(*_FEATURE, *names)
 
-    if not (integral and all(MEASURES[b].exact for b in to_rank)):
-        measured = stage(measured)
-    return _add_ranks(measured, bases, to_rank, unit).select(*_FEATURE, *names)
+    # the ranks read the measures three times
+    return _add_ranks(stage(measured), bases, to_rank, unit).select(*_FEATURE, *names)
 
 
 def _add_ranks(measured: DataFrame, bases: list[str], to_rank: list[str], unit: float) -> DataFrame:

@@ -26,7 +26,6 @@ def session(cores: int | str = 8) -> SparkSession:
         .appName("featwright")
         .config("spark.sql.shuffle.partitions", "8")
         # the test tables are small but costly per row: keep all cores busy
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")

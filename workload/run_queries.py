@@ -56,7 +56,7 @@ def experiment_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     experiments = inputs.experiments(spark, sf_dir)
     following = R.next_experiment_id(experiments).scalar()
     return experiments.select(
-        "experiment_id", "created", F.col("settings")["orders"].alias("orders"), following.alias("next_id")
+        "experiment_id", F.col("created").cast("timestamp_ntz").alias("created"), F.col("settings")["orders"].alias("orders"), following.alias("next_id")
     )
 
 
@@ -154,9 +154,14 @@ def power_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _value(M.power_totals(inputs.power_samples(spark, sf_dir), NODES), "total_w", "cpu_w", "peg_w")
 
 
+def _window_rows(windows: DataFrame) -> DataFrame:
+    # the tables hold times without a zone
+    return _value(windows, "joules").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 def power_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = inputs.power_samples(spark, sf_dir)
-    return _value(M.power_windows(samples, M.sampling_seconds(), node_ids=NODES), "joules")
+    return _window_rows(M.power_windows(samples, M.sampling_seconds(), node_ids=NODES))
 
 
 def power_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +171,7 @@ def power_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_power_windows(
         sample_stream(spark, source), M.sampling_seconds(), out, state, node_ids=NODES
     ).awaitTermination()
-    return _value(spark.read.parquet(out), "joules")
+    return _window_rows(spark.read.parquet(out))
 
 
 def power_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
