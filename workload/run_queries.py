@@ -13,7 +13,7 @@ from featwright.operators import metering as M
 from featwright.operators import scores as S
 from featwright.operators import trials as D
 from featwright.operators.attribution import linear_attribution
-from featwright.operators.reverse_quality import label_weight_filter, pooled_r2
+from featwright.operators.reverse_quality import label_weight_filter, pooled_r2, reverse_best
 from featwright.plans.ensemble import cv_aggregate
 from featwright.settings import Settings
 from featwright.sources import results_store as R
@@ -136,6 +136,17 @@ def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _value(pooled_r2(inputs.predictions(spark, sf_dir), ["outer_fold", "target", "trial_id"]), "r2")
 
 
+def reverse_best_trial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prediction half right and one from the quantity alone stand for the fits with and without the label."""
+    keys = ["outer_fold", "target"]
+    rows = inputs.predictions(spark, sf_dir)
+    unlabeled = pooled_r2(rows, [*keys, "trial_id"]).withColumnRenamed("r2", "unlabeled")
+    labeled = pooled_r2(rows.withColumn("prediction", F.col("y") / 2 + F.col("prediction") / 1.5), [*keys, "trial_id"])
+    trials = labeled.withColumnRenamed("r2", "labeled").join(unlabeled, [*keys, "trial_id"])
+    refits = rows.groupBy(*keys, "trial_id").agg((F.sum("_label_part") / 64.0).alias("label_weight"))
+    return _value(reverse_best(trials, refits, keys), "labeled", "unlabeled")
+
+
 def linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The weight of a feature is the distance of the two class means on the train part."""
     cells = table_queries._split_cells(spark, sf_dir)
@@ -222,6 +233,7 @@ def queries() -> dict:
         "prune_trials": prune_trials,
         "pooled_r2": pooled,
         "label_weight_filter": label_weights,
+        "reverse_best_trial": reverse_best_trial,
         "linear_attribution": linear,
         "power_totals": power_totals,
         "power_windows": power_windows,
@@ -282,6 +294,15 @@ def oracle_sql() -> dict[str, str]:
         " CAST(l_suppkey % 10 AS INTEGER) AS trial_id, l_orderkey % 3 AS inner_fold,"
         " sum(CAST(l_quantity AS BIGINT) - 25) / 64.0::DOUBLE AS weight FROM lineitem GROUP BY 1, 2, 3, 4)"
         " SELECT outer_fold, target, trial_id FROM w GROUP BY 1, 2, 3 HAVING min(abs(weight)) >= 0.5",
+        "reverse_best_trial": "WITH lines AS (SELECT l_linenumber - 1 AS outer_fold, l_returnflag AS target,"
+        " CAST(l_suppkey % 10 AS INTEGER) AS trial_id, l_extendedprice / 1000 AS y, l_quantity AS q FROM lineitem),"
+        " trials AS (SELECT outer_fold, target, trial_id,"
+        " 1 - sum(pow(y - (y / 2 + q), 2)) / (var_pop(y) * count(*)) AS labeled,"
+        " 1 - sum(pow(y - q * 1.5, 2)) / (var_pop(y) * count(*)) AS unlabeled,"
+        " sum(CAST(q AS BIGINT) - 25) AS weight FROM lines GROUP BY 1, 2, 3)"
+        f" SELECT outer_fold, target, trial_id, {q6('labeled')} AS labeled, {q6('unlabeled')} AS unlabeled FROM"
+        " (SELECT *, row_number() OVER (PARTITION BY outer_fold, target ORDER BY labeled DESC, trial_id) AS place FROM trials)"
+        " WHERE place = 1 AND labeled > 0 AND weight <> 0",
         "linear_attribution": f"WITH {table_queries.SPLIT_CELLS}, labelled AS (SELECT c.*, s.label FROM split_cells c"
         " JOIN samples s USING (sample_id)), w AS (SELECT outer_fold, feature, avg(value) AS m,"
         " avg(value) FILTER (WHERE label = 2) - avg(value) FILTER (WHERE label = 1) AS weight FROM labelled"
