@@ -47,9 +47,10 @@ def _finish(state: str) -> str:
     names = "(SELECT DISTINCT election_id, feature, feature_ord FROM ballots) n"
     return (
         f" SELECT s.election_id, n.feature, CAST(w.place AS INTEGER) AS place FROM {state} s,"
-        " (SELECT unnest(range(1, 6)) AS place) w"
+        f" (SELECT unnest(range(1, {TOP_K + 1})) AS place) w"
         f" JOIN {names} ON n.election_id = s.election_id AND n.feature_ord = s.winners[w.place]"
-        f" WHERE len(s.winners) = {TOP_K}"
+        " JOIN papers p ON p.election_id = s.election_id"
+        f" WHERE len(s.winners) = least({TOP_K}, len(p.papers[1]))"
     )
 
 
@@ -74,7 +75,7 @@ rounds AS (
   FROM (SELECT *, list_transform(heads, lambda t: {_count('t', 'heads')}) AS counts FROM (
     SELECT r.election_id, winners, list_transform(papers, lambda p: list_filter(p, lambda x:
              CASE WHEN alive IS NULL THEN NOT list_contains(winners, x) ELSE list_contains(alive, x) END)[1]) AS heads
-    FROM rounds r JOIN papers USING (election_id) WHERE len(winners) < {TOP_K}))
+    FROM rounds r JOIN papers USING (election_id) WHERE len(winners) < least({TOP_K}, len(papers[1]))))
 )""" + _finish("rounds")
 
 
@@ -95,7 +96,7 @@ rounds AS (
            list_transform(remaining, lambda p: p[len(p)]) AS tails
     FROM (SELECT r.election_id, winners, outs, list_transform(papers, lambda p: list_filter(p, lambda x:
             NOT list_contains(winners, x) AND NOT list_contains(outs, x))) AS remaining
-          FROM rounds r JOIN papers USING (election_id) WHERE len(winners) < {TOP_K})))
+          FROM rounds r JOIN papers USING (election_id) WHERE len(winners) < least({TOP_K}, len(papers[1])))))
 )""" + _finish("rounds")
 
 
