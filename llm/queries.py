@@ -7,9 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from llm.common import F, table
+from llm import quality_rules as quality
 from llm.line_dedup import SPACES, UPPER, dedup_lines
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    judged = quality.quality_rules(docs, model)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+    return judged.select("doc_id", *[f"quality_rules.{c}" for c in names])
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select(
@@ -44,7 +53,10 @@ FROM marked JOIN split USING (rid) GROUP BY rid, doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_line_dedup": op4_line_dedup}
+    return {
+        "op2_quality_rules": op2_quality_rules,
+        "op4_line_dedup": op4_line_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
