@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from llm.common import F, table
 from llm import quality_rules as quality
 from llm.line_dedup import SPACES, UPPER, dedup_lines
+from llm.minhash_dedup import with_components
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +35,12 @@ def _sql_key(line: str) -> str:
     return f"translate(trim({line}, {spaces}), '{UPPER}', '{UPPER.lower()}')"
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_components(docs, width=4, percent=80)
+    return found.select("doc_id", *[f"near_dup.{c}" for c in ("n_shingles", "component_id", "kept")])
+
+
 LINE_DEDUP_SQL = f"""
 WITH split AS (
     SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
@@ -56,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op4_line_dedup": op4_line_dedup,
+        "op5_minhash_dedup": op5_minhash_dedup,
     }
 
 
