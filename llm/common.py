@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,13 @@ from pyspark.sql import functions as F
 
 from featwright.storage import stage
 
-__all__ = ["F", "chunks", "free_name", "hashed_words", "mixed", "sampled_labels", "stage", "table", "texts_of"]
+__all__ = ["F", "UnitCache", "chunks", "free_name", "hashed_words", "mixed", "sampled_labels", "stage", "table", "texts_of", "units"]
+
+#: Unicode white space, then what follows up to the next one. Tokens of the byte-level
+#: patterns never hold white space behind another character, so that a token starts
+#: where a unit starts, whatever comes before.
+_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+units = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
 
 #: Text bytes that one step inside a task works on at once.
 CHUNK_BYTES = 2_000_000
@@ -88,3 +95,25 @@ def sampled_labels(labels: DataFrame, column: str, rows: int) -> DataFrame:
         .limit(rows)
         .select("doc_id", "label")
     )
+
+
+class UnitCache:
+    """Ids of units seen by a task: at most ``size`` units of up to 64 characters, the older half goes when it is full."""
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], size: int = 300_000):
+        self.encode, self.size = encode, size
+        self.known: dict[str, list[int]] = {}
+
+    def ids(self, of: list[str]) -> list[int]:
+        """The units' ids one after the other."""
+        known = self.known
+        try:
+            return [i for u in of for i in known[u]]
+        except KeyError:
+            new = [u for u in dict.fromkeys(of) if u not in known]
+        found = dict(zip(new, self.encode(new)))
+        result = [i for u in of for i in (known.get(u) or found[u])]
+        if len(known) > self.size:
+            self.known = dict(list(known.items())[self.size // 2 :])
+        self.known.update((u, x) for u, x in found.items() if len(u) <= 64)
+        return result
