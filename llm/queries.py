@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm.common import F, table
 from llm import quality_rules as quality
+from llm.byte_bpe import Vocabulary, with_tokens
 from llm.line_dedup import SPACES, UPPER, dedup_lines
 from llm.minhash_dedup import with_components
+from llm.token_output import read_tokens, write_tokens
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +43,23 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"near_dup.{c}" for c in ("n_shingles", "component_id", "kept")])
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_tokens(docs, vocabulary, digests=True).select("doc_id", "tokens.*")
+
+
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    manifest, folder = write_tokens(table(spark, sf_dir, "documents"), definition, end_id=2)
+    return read_tokens(spark, manifest, folder).withColumnRenamed("id", "doc_id")
+
+
 LINE_DEDUP_SQL = f"""
 WITH split AS (
     SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
@@ -64,6 +83,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op4_line_dedup": op4_line_dedup,
         "op5_minhash_dedup": op5_minhash_dedup,
+        "op6_byte_bpe": op6_byte_bpe,
+        "op10_token_output": op10_token_output,
     }
 
 
