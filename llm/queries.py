@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from llm.common import F, table
 from llm import quality_rules as quality
 from llm.byte_bpe import Vocabulary, with_tokens
+from llm.decontaminate import with_leaks
 from llm.line_dedup import SPACES, UPPER, dedup_lines
 from llm.minhash_dedup import with_components
 from llm.token_output import read_tokens, write_tokens
@@ -51,6 +52,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_tokens(docs, vocabulary, digests=True).select("doc_id", "tokens.*")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it contains."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("leaks"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -84,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_byte_bpe": op6_byte_bpe,
+        "op9_decontaminate": op9_decontaminate,
         "op10_token_output": op10_token_output,
     }
 
