@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm.common import F, table
 from llm import quality_rules as quality
+from llm import toxicity
 from llm.byte_bpe import Vocabulary, with_tokens
 from llm.decontaminate import with_leaks
 from llm.line_dedup import SPACES, UPPER, dedup_lines
@@ -23,6 +24,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"quality_rules.{c}" for c in names])
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.with_toxicity(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "toxicity.score", "toxicity.predicted")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select(
@@ -89,6 +97,7 @@ FROM marked JOIN split USING (rid) GROUP BY rid, doc_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_rules": op2_quality_rules,
+        "op3_toxicity": op3_toxicity,
         "op4_line_dedup": op4_line_dedup,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_byte_bpe": op6_byte_bpe,
