@@ -115,12 +115,11 @@ class Coder:
             ids |= zip(spelled, self.processor.encode(list(spelled.values()), num_threads=1))
         return [[i for p in pieces for i in ids[p]] for pieces in split]
 
-    def encode(self, text: str) -> list[int]:
-        return self.known.ids(units(text))
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.known.ids(units(text)), "<u4")
 
-    def decode(self, ids: list[int]) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids])
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -150,7 +149,7 @@ def with_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out
             lists, decoded = [], []
             for t in batch.column(whole).to_pylist():
                 ids = coder.encode(t or "")
-                lists.append(np.array(ids, "<u4"))
+                lists.append(ids)
                 decoded.append(coder.decode(ids))
             if digests:
                 columns = [

@@ -41,34 +41,28 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and escapes of non-negative 64-bit values: each word takes as many as fit."""
     values = values.astype(np.uint64)
     n = len(values)
-    large = values >> np.uint64(60) > 0
     take = np.ones(n, np.int64)
-    selector = np.full(n, len(PER_WORD), np.int64)
-    todo = np.ones(n, bool)
-    left = n - np.arange(n)
-    for k, per in enumerate(PER_WORD):
-        width = 60 // per
-        over = np.concatenate([[0], np.cumsum(values >> np.uint64(width) > 0)])
-        ends = np.minimum(np.arange(n) + per, n)
-        fits = todo & (over[ends] == over[:-1])
-        take[fits], selector[fits] = np.minimum(per, left)[fits], k + 1
-        todo &= ~fits
-    selector[large], take[large] = 0, 1
+    selector = np.zeros(n, np.int64)
+    for k in reversed(range(len(PER_WORD))):
+        per = PER_WORD[k]
+        # behind the end everything fits, so that the last word may be partly empty
+        small = np.append(np.flatnonzero(values < np.uint64(1 << 60 // per)), np.arange(n, n + per - 1))
+        start = small[: len(small) - per + 1]
+        start = start[small[per - 1 :] - start == per - 1]
+        take[start], selector[start] = per, k + 1
     starts, at, steps = [], 0, take.tolist()
     while at < n:
         starts.append(at)
         at += steps[at]
     first = np.array(starts, np.int64)
-    chosen, counts = selector[first], take[first]
+    chosen = selector[first]
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([values, np.zeros(max(PER_WORD), np.uint64)])
     for k, per in enumerate(PER_WORD):
         rows = np.flatnonzero(chosen == k + 1)
-        width = np.uint64(60 // per)
-        for slot in range(per):
-            # a last word may have fewer values than room
-            inside = rows[counts[rows] > slot]
-            words[inside] |= padded[first[inside] + slot] << (np.uint64(slot) * width)
+        if len(rows):
+            slots = np.arange(per)
+            words[rows] |= np.bitwise_or.reduce(padded[first[rows][:, None] + slots] << (slots * (60 // per)).astype(np.uint64), axis=1)
     escaped = np.flatnonzero(chosen == 0)
     words[escaped] |= np.arange(len(escaped), dtype=np.uint64)
     return words, values[first[escaped]]
@@ -127,7 +121,7 @@ def read_blocks(data: bytes) -> Iterator[tuple[int, list[int | None], np.ndarray
 
 
 @lru_cache(maxsize=2)
-def _encoder(definition: str) -> Callable[[str], list[int]]:
+def _encoder(definition: str) -> Callable[[str], np.ndarray]:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -135,7 +129,7 @@ def _encoder(definition: str) -> Callable[[str], list[int]]:
 
     tokenizer = Tokenizer.from_str(definition)
     cache = UnitCache(lambda new: [x.ids for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
-    return lambda text: cache.ids(units(text))
+    return lambda text: np.frombuffer(cache.ids(units(text)), "<u4")
 
 
 def write_tokens(docs: DataFrame, definition: str, end_id: int, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
@@ -180,7 +174,7 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, id_column: str =
 
         for batch in chunks(batches, "text"):
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.array([*encode(t or ""), end_id], np.uint64)
+                ids = np.append(encode(t or ""), np.uint32(end_id))
                 doc_ids.append(i)
                 lists.append(ids)
                 held, in_block = held + len(ids), in_block + len(ids)
