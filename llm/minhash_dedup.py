@@ -27,9 +27,16 @@ PERMUTATIONS = 64
 BANDS = 32
 #: Members of a bucket that one step inside a task compares with as many others.
 BLOCK = 128
+#: How often the rest of a bucket is compared with a leader before blocks.
+LEADER_ROUNDS = 2
 
-_MULTIPLIERS = mixed(np.arange(1, PERMUTATIONS + 1)) | np.uint64(1)
-_OFFSETS = mixed(np.arange(1001, PERMUTATIONS + 1001))
+#: Permutations of the sketches that the blocks compare: 512 values, so that an estimate of 0.8 has a deviation below 0.018.
+SKETCH_PERMUTATIONS = 256
+#: Percent that an estimate may lie below the similarity before a pair of a block is ruled out: 3.6 deviations.
+SLACK = 6.5
+
+_MULTIPLIERS = mixed(np.arange(1, SKETCH_PERMUTATIONS + 1)) | np.uint64(1)
+_OFFSETS = mixed(np.arange(1001, SKETCH_PERMUTATIONS + 1001))
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -67,15 +74,15 @@ def shingle_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarr
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), bounds
 
 
-def signatures(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Min-max signatures (sets x 128) of non-empty sets: minima first, then maxima, of each permutation."""
-    out = np.empty((len(bounds) - 1, 2 * PERMUTATIONS), np.uint32)
+def signatures(keys: np.ndarray, bounds: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
+    """Min-max signatures (two values a permutation) of non-empty sets: minima first, then maxima, of each permutation."""
+    out = np.empty((len(bounds) - 1, 2 * permutations), np.uint32)
     high = np.uint64(32)
     with np.errstate(over="ignore"):
-        for p in range(PERMUTATIONS):
+        for p in range(permutations):
             moved = keys * _MULTIPLIERS[p] + _OFFSETS[p]
             out[:, p] = np.minimum.reduceat(moved, bounds[:-1]) >> high
-            out[:, PERMUTATIONS + p] = np.maximum.reduceat(moved, bounds[:-1]) >> high
+            out[:, permutations + p] = np.maximum.reduceat(moved, bounds[:-1]) >> high
     return out
 
 
@@ -131,14 +138,14 @@ def _measured(docs: DataFrame, id_column: str, text: str, width: int) -> DataFra
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have at least ``percent`` similarity; ``texts`` has (th, text), one row per node."""
-    sides = pairs.join(texts.select(F.col("th").alias("u"), F.col("text").alias("a")), "u")
-    sides = sides.join(texts.select(F.col("th").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
+    """The pairs (u, v) whose full sets have at least ``percent`` similarity; ``texts`` has (node, text)."""
+    sides = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
+    sides = sides.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: OrderedDict[bytes, frozenset[bytes]] = OrderedDict()
+        kept: OrderedDict[int, frozenset[bytes]] = OrderedDict()
 
-        def of(key: bytes, text: bytes) -> frozenset[bytes]:
+        def of(key: int, text: bytes) -> frozenset[bytes]:
             if key not in kept:
                 kept[key] = shingle_set(text, width)
                 if len(kept) > 16:
@@ -158,7 +165,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
             chosen = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(chosen), batch.column("v").filter(chosen)], ["u", "v"])
 
-    return sides.mapInArrow(run, "u binary, v binary")
+    return sides.mapInArrow(run, "u bigint, v bigint")
 
 
 def _fits(a: str, b: str, percent: int) -> Column:
@@ -166,47 +173,88 @@ def _fits(a: str, b: str, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _block_pairs(percent: int):
-    """Pairs of members of a bucket in different components, for rows sorted by (h, i, j)."""
+def _unsettled(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (h, node, n) of the buckets that hold several components, with their component; stored."""
+    named = members.join(found, "node", "left").select("h", "node", "n", F.coalesce("component", "node").alias("component"))
+    several = named.groupBy("h").agg(F.min("component").alias("_a"), F.max("component").alias("_z")).where("_a <> _z").select("h")
+    return stage(named.join(several, "h", "left_semi"))
+
+
+def _sketches(texts: DataFrame, width: int) -> DataFrame:
+    """(node, bands, sketch): the bands once more, and the low bytes of a longer signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            keys, bounds = shingle_hashes(texts_of(batch.column("text")), width)
+            signature = signatures(keys, bounds, SKETCH_PERMUTATIONS)
+            low, high = signature[:, :PERMUTATIONS], signature[:, SKETCH_PERMUTATIONS : SKETCH_PERMUTATIONS + PERMUTATIONS]
+            bands = bands_of(np.hstack([low, high]))
+            sketches = [row.tobytes() for row in (signature & 255).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(list(bands), pa.list_(pa.int64())), pa.array(sketches)], ["node", "bands", "sketch"])
+
+    return texts.mapInArrow(run, "node bigint, bands array<bigint>, sketch binary")
+
+
+def _block_rows(named: DataFrame, sketches: DataFrame) -> DataFrame:
+    """What is left to compare, in blocks: every member of a bucket in one block, and again, as a probe, in all blocks
+    every member outside the bucket's largest component. Sorted by (h, block).
+
+    Two members in different components are not both in the largest one, so that each
+    pair meets; and a large group with a few strays is copied once, not squared.
+    """
+    sizes = named.groupBy("h", "component").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("h").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("m"))
+    rows = named.join(largest, "h")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    home = rows.select("h", "node", "n", "component", F.pmod(F.hash("node"), blocks).alias("block"), F.lit(False).alias("probe"))
+    probes = rows.where("component <> top.component").select(
+        "h", "node", "n", "component", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("probe")
+    )
+    both = home.unionAll(probes).join(sketches, "node")
+    return both.repartition("h", "block").sortWithinPartitions("h", "block")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Rows that follow each other with equal keys, as one table each."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        now = now if held is None else pa.concat_tables([held, now]).combine_chunks()
+        values = np.stack([now.column(c).to_numpy() for c in keys])
+        cuts = np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1
+        edges = [0, *cuts.tolist()]
+        for start, stop in zip(edges, edges[1:]):
+            yield now.slice(start, stop - start)
+        held = now.slice(edges[-1])
+    if held is not None:
+        yield held
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch])
-            now = now if held is None else pa.concat_tables([held, now]).combine_chunks()
-            keys = np.stack([now.column(c).to_numpy() for c in ("h", "i", "j")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            edges = [0, *cuts.tolist()]
-            for start, stop in zip(edges, edges[1:]):
-                yield now.slice(start, stop - start)
-            held = now.slice(edges[-1])
-        if held is not None:
-            yield held
+
+def _block_pairs(percent: int):
+    """Pairs of a probe and a member of its block that lie in different components, for rows sorted by (h, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches):
-            h, i, j = (group.column(c)[0].as_py() for c in ("h", "i", "j"))
-            block = group.column("block").to_numpy()
-            n = group.column("n").to_numpy()
-            nodes, comps = group.column("node").to_pylist(), np.array(group.column("component").to_pylist(), object)
-            bands = np.array(group.column("bands").to_pylist(), np.int64).reshape(len(nodes), -1)
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for group in _groups(batches, ("h", "block")):
+            h = group.column("h")[0].as_py()
+            probe = group.column("probe").to_numpy()
+            node, n, component = (group.column(c).to_numpy() for c in ("node", "n", "component"))
+            bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+            home = np.flatnonzero(~probe)
             us, vs = [], []
-            for x in left:
-                others = right if i != j else right[right > x]
-                small, large = np.minimum(n[x], n[others]), np.maximum(n[x], n[others])
-                others = others[(100 * small >= percent * large) & (comps[others] != comps[x])]
-                if not len(others):
-                    continue
-                # a pair belongs to the first of the bands that it shares
-                same = bands[others] == bands[x]
-                own = bands[x][same.argmax(axis=1)] == h
-                for y in others[own]:
-                    us.append(min(nodes[x], nodes[y]))
-                    vs.append(max(nodes[x], nodes[y]))
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
+            for x in np.flatnonzero(probe):
+                small, large = np.minimum(n[x], n[home]), np.maximum(n[x], n[home])
+                others = home[(100 * small >= percent * large) & (component[home] != component[x])]
+                others = others[100 * (sketch[others] == sketch[x]).mean(axis=1) >= percent - SLACK]
+                if len(others):
+                    # a pair belongs to the first of the bands that it shares
+                    own = bands[x][(bands[others] == bands[x]).argmax(axis=1)] == h
+                    us.append(np.minimum(node[x], node[others[own]]))
+                    vs.append(np.maximum(node[x], node[others[own]]))
+            none = np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *x])) for x in (us, vs)], ["u", "v"])
 
     return run
 
@@ -221,51 +269,38 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     texts are different documents. An empty table gives an empty result.
     """
     rows = stage(_measured(docs, id_column, text, width))
-    full = rows.where("n > 0")
-    # equal sets are one node, named by its smallest text hash
-    classes = full.groupBy("mark").agg(F.min("th").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = stage(classes.select("node", "n", "bands", "mark"))
+    # equal sets are one node, with a number of its own and the smallest of its text hashes
+    classes = rows.where("n > 0").groupBy("mark").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()))
     buckets = classes.select("node", "n", F.explode("bands").alias("h"))
     leaders = buckets.groupBy("h").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("last")).where("lead.node <> last")
-    members = stage(buckets.join(leaders.select("h", "lead"), "h"))
-    pairs = stage(
-        members.where((F.col("node") != F.col("lead.node")) & _fits("n", "lead.n", percent))
-        .select(F.col("lead.node").alias("u"), F.col("node").alias("v")).distinct()
-    )
-    wanted = members.select(F.col("node").alias("th")).distinct()
+    members = stage(buckets.join(leaders.select("h", "lead"), "h").select("h", "node", "n", "lead"))
+    wanted = members.select("node").distinct().join(classes.select("node", "th"), "node")
     texts = docs.select(text_hash(F.col(text)).alias("th"), F.col(text).alias("text")).join(wanted, "th", "left_semi")
-    texts = stage(texts.groupBy("th").agg(F.first("text").alias("text")))
-    links = stage(_verified(pairs, texts, width, percent))
-    found = components(links)
+    texts = texts.groupBy("th").agg(F.first("text").alias("text")).join(wanted, "th").select("node", "text")
+    texts = stage(texts)
 
-    def spread(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Members of buckets that still hold several components, and those buckets' leaders of this round."""
-        named = members.select("h", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        named = stage(named)
-        mixed_up = named.groupBy("h").agg(
-            F.min(F.struct(F.xxhash64("h", "node").alias("o"), "node", "n", "component")).alias("lead"),
-            F.min("component").alias("_a"), F.max("component").alias("_z"), F.count(F.lit(1)).alias("m"),
-        ).where("_a <> _z").drop("_a", "_z")
-        return named, mixed_up
-
-    named, mixed_up = spread(found)
-    second = named.join(mixed_up, "h").where((F.col("component") != F.col("lead.component")) & _fits("n", "lead.n", percent))
-    second = second.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
-    second = stage(second.join(pairs, ["u", "v"], "left_anti"))
-    links = stage(links.unionAll(_verified(second, texts, width, percent)))
+    pairs = members.where((F.col("node") != F.col("lead.node")) & _fits("n", "lead.n", percent))
+    pairs = stage(pairs.select(F.col("lead.node").alias("u"), F.col("node").alias("v")).distinct())
+    links = stage(_verified(pairs, texts, width, percent))
     found = components(links)
-
-    named, mixed_up = spread(found)
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rest = named.join(mixed_up.select("h", "m"), "h").withColumn("block", F.pmod(F.hash("node"), blocks))
-    others = F.sequence(F.lit(0), blocks - 1)
-    rest = rest.withColumn("other", F.explode(others)).select(
-        "h", "node", "n", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
-    rest = rest.join(classes.select("node", "bands"), "node").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
-    third = rest.mapInArrow(_block_pairs(percent), "u binary, v binary").distinct()
-    third = stage(third.join(pairs, ["u", "v"], "left_anti").join(second, ["u", "v"], "left_anti"))
-    links = stage(links.unionAll(_verified(third, texts, width, percent)))
+    named = members.select("h", "node", "n")
+    for turn in range(LEADER_ROUNDS):
+        named = _unsettled(named, found)
+        leads = named.groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "node", F.lit(turn)).alias("o"), "node", "n", "component")).alias("lead"))
+        more = named.join(leads, "h").where((F.col("component") != F.col("lead.component")) & _fits("n", "lead.n", percent))
+        more = more.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
+        more = stage(more.join(pairs, ["u", "v"], "left_anti"))
+        links = stage(links.unionAll(_verified(more, texts, width, percent)))
+        pairs = stage(pairs.unionAll(more))
+        found = components(links)
+        named = named.drop("component")
+
+    named = _unsettled(named, found)
+    sketches = _sketches(texts.join(named.select("node").distinct(), "node", "left_semi"), width)
+    more = stage(_block_rows(named, stage(sketches)).mapInArrow(_block_pairs(percent), "u bigint, v bigint").distinct())
+    more = more.join(pairs, ["u", "v"], "left_anti")
+    links = stage(links.unionAll(_verified(more, texts, width, percent)))
     found = components(links)
 
     named = classes.select("mark", "node").join(found, "node", "left").select("mark", F.coalesce("component", "node").alias("component"))
