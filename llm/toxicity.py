@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from llm.common import F, chunks, free_name, hashed_words, mixed, sampled_labels, texts_of
 
 #: Labelled documents that the model is fitted on, at most.
-SAMPLE_ROWS = 24_000
+SAMPLE_ROWS = 16_000
 #: Features of fewer sampled documents get no weight.
 LEAST_DOCS = 2
-#: Weights that the model keeps, at most those that L1 leaves; the table of the tasks is bounded by the sample.
+#: Bits of a feature's hash.
 SPACE_BITS = 31
 
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -80,8 +80,11 @@ def fit_ftrl(
         return Weights(np.zeros(0, np.int32), np.zeros(0), -4.0)
     flat = np.concatenate(rows)
     bounds = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
-    counts = np.bincount(flat & 0xFFFFFF, minlength=1 << 24)
-    frequent = counts[flat & 0xFFFFFF] >= least_docs
+    # counted by the low bits and piece by piece, so that memory stays small
+    counts, pieces = np.zeros(1 << 22, np.int32), range(0, len(flat), 1 << 20)
+    for a in pieces:
+        counts += np.bincount(flat[a : a + (1 << 20)] & 0x3FFFFF, minlength=1 << 22).astype(np.int32)
+    frequent = np.concatenate([counts[flat[a : a + (1 << 20)] & 0x3FFFFF] >= least_docs for a in pieces])
     kept_before = np.concatenate([[0], np.cumsum(frequent)])
     hashes, local = np.unique(flat[frequent], return_inverse=True)
     bounds = kept_before[bounds]
@@ -143,7 +146,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
             ids += batch.column("doc_id").to_pylist()
             marks += batch.column("label").to_pylist()
             lists = batch.column("found")
-            rows += [lists[k].values.to_numpy() for k in range(len(lists))]
+            flat, cuts = lists.flatten().to_numpy().copy(), np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            rows += np.split(flat, cuts[:-1]) if len(cuts) else []
         # the order of arrival must not matter; a repeated id counts once
         first = {}
         for k in sorted(range(len(ids)), key=lambda k: (ids[k], len(rows[k]), rows[k][:1].tolist())):
