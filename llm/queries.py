@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from llm.common import F, table
+from llm import cotraining, secret_scan, toxicity
 from llm import quality_rules as quality
-from llm import secret_scan, toxicity
 from llm.byte_bpe import Vocabulary, with_tokens
 from llm.decontaminate import with_leaks
 from llm.line_dedup import SPACES, UPPER, dedup_lines
@@ -60,6 +60,12 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_tokens(docs, vocabulary, digests=True).select("doc_id", "tokens.*")
 
 
+def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    scored = cotraining.with_quality(docs, cotraining.fit_cotraining(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "quality.*")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per candidate of every document, with its score; the candidate itself is not shown."""
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -107,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_minhash_dedup": op5_minhash_dedup,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_cotraining": op7_cotraining,
         "op8_secret_scan": op8_secret_scan,
         "op9_decontaminate": op9_decontaminate,
         "op10_token_output": op10_token_output,
