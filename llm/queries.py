@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from llm.common import F, table
-from llm import cotraining, secret_scan, toxicity
+from llm import cotraining, html_extract, secret_scan, toxicity
 from llm import quality_rules as quality
 from llm.byte_bpe import Vocabulary, with_tokens
 from llm.decontaminate import with_leaks
@@ -16,6 +16,12 @@ from llm.minhash_dedup import with_components
 from llm.token_output import read_tokens, write_tokens
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_extract.with_main_text(pages, html_extract.fit_extractor(pages))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -108,6 +114,7 @@ FROM marked JOIN split USING (rid) GROUP BY rid, doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extract": op1_html_extract,
         "op2_quality_rules": op2_quality_rules,
         "op3_toxicity": op3_toxicity,
         "op4_line_dedup": op4_line_dedup,
