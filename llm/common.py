@@ -111,13 +111,13 @@ class UnitCache:
 
     def ids(self, of: list[str]) -> bytes:
         """The units' ids one after the other."""
-        new = set(of).difference(self.known)
-        if not new:
-            return b"".join(map(self.known.__getitem__, of))
-        ordered = sorted(new)
-        self.known.update((u, array("I", x).tobytes()) for u, x in zip(ordered, self.encode(ordered)))
+        found = list(map(self.known.get, of))
+        if None not in found:
+            return b"".join(found)
+        new = list({u for u, x in zip(of, found) if x is None})
+        self.known.update((u, array("I", x).tobytes()) for u, x in zip(new, self.encode(new)))
         result = b"".join(map(self.known.__getitem__, of))
-        for u in ordered:
+        for u in new:
             if len(u) > 64:
                 del self.known[u]
         if len(self.known) > self.size:

@@ -43,8 +43,12 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     take = np.ones(n, np.int64)
     selector = np.zeros(n, np.int64)
+    widest = int(values.max()).bit_length() if n else 0
     for k in reversed(range(len(PER_WORD))):
         per = PER_WORD[k]
+        if widest <= 60 // per:
+            take[:], selector[:] = per, k + 1
+            continue
         # behind the end everything fits, so that the last word may be partly empty
         small = np.append(np.flatnonzero(values < np.uint64(1 << 60 // per)), np.arange(n, n + per - 1))
         start = small[: len(small) - per + 1]
@@ -61,8 +65,10 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for k, per in enumerate(PER_WORD):
         rows = np.flatnonzero(chosen == k + 1)
         if len(rows):
-            slots = np.arange(per)
-            words[rows] |= np.bitwise_or.reduce(padded[first[rows][:, None] + slots] << (slots * (60 // per)).astype(np.uint64), axis=1)
+            at_rows, payload = first[rows], words[rows]
+            for slot in range(per):
+                payload |= padded[at_rows + slot] << np.uint64(slot * (60 // per))
+            words[rows] = payload
     escaped = np.flatnonzero(chosen == 0)
     words[escaped] |= np.arange(len(escaped), dtype=np.uint64)
     return words, values[first[escaped]]
