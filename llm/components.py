@@ -42,10 +42,22 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         now = links.agg(
             F.count(F.lit(1)), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0)), F.coalesce(F.sum(F.xxhash64("v", "u").bitwiseAND(0xFFFFFFFF)), F.lit(0))
         ).first()
-        if now == before:
+        if not now[0] or now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components are not settled after {rounds} rounds")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return stage(links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots))
+
+
+def joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The (node, component) table ``found`` after ``links`` (u, v) are added: only what they change between components is run."""
+    for end in ("u", "v"):
+        named = found.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+        links = links.join(named, end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+    merged = components(links)
+    moved = merged.select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    old = found.join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    # a component's name is one of its nodes, so that what is new has no row in found yet
+    return stage(old.unionAll(merged.join(found, "node", "left_anti").select("node", "component")))

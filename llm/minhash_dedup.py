@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from llm.common import F, chunks, free_name, hashed_words, mixed, stage, texts_of
-from llm.components import components
+from llm.components import components, joined
 
 PERMUTATIONS = 64
 BANDS = 32
@@ -282,8 +282,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
     pairs = members.where((F.col("node") != F.col("lead.node")) & _fits("n", "lead.n", percent))
     pairs = stage(pairs.select(F.col("lead.node").alias("u"), F.col("node").alias("v")).distinct())
-    links = stage(_verified(pairs, texts, width, percent))
-    found = components(links)
+    found = components(_verified(pairs, texts, width, percent))
     named = members.select("h", "node", "n")
     for turn in range(LEADER_ROUNDS):
         named = _unsettled(named, found)
@@ -291,17 +290,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         more = named.join(leads, "h").where((F.col("component") != F.col("lead.component")) & _fits("n", "lead.n", percent))
         more = more.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
         more = stage(more.join(pairs, ["u", "v"], "left_anti"))
-        links = stage(links.unionAll(_verified(more, texts, width, percent)))
-        pairs = stage(pairs.unionAll(more))
-        found = components(links)
+        found = joined(found, _verified(more, texts, width, percent))
+        pairs = pairs.unionAll(more)
         named = named.drop("component")
 
     named = _unsettled(named, found)
     sketches = _sketches(texts.join(named.select("node").distinct(), "node", "left_semi"), width)
     more = stage(_block_rows(named, stage(sketches)).mapInArrow(_block_pairs(percent), "u bigint, v bigint").distinct())
     more = more.join(pairs, ["u", "v"], "left_anti")
-    links = stage(links.unionAll(_verified(more, texts, width, percent)))
-    found = components(links)
+    found = joined(found, _verified(more, texts, width, percent))
 
     named = classes.select("mark", "node").join(found, "node", "left").select("mark", F.coalesce("component", "node").alias("component"))
     by_text = rows.groupBy("th").agg(F.first("mark").alias("mark"), F.first("n").alias("n_shingles"), F.min("id").alias("least"))
