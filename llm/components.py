@@ -34,17 +34,14 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
     Links may repeat; a link of a node with itself is ignored. No links: no rows.
     """
-    links = stage(links.where("u <> v").select("u", "v").distinct())
-    before = None
+    links = stage(links.where("u <> v").select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")))
     for _ in range(rounds):
         links = stage(_small_star(_large_star(links)).distinct())
-        # stars only: every node with a smaller neighbour has one, and it is nobody's larger end
-        now = links.agg(
-            F.count(F.lit(1)), F.coalesce(F.sum(F.hash("u", "v").cast("long")), F.lit(0)), F.coalesce(F.sum(F.xxhash64("v", "u").bitwiseAND(0xFFFFFFFF)), F.lit(0))
-        ).first()
-        if not now[0] or now == before:
+        # stars only: every larger end has one link, and is nobody's smaller end
+        ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionAll(links.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+        if ends.where("ups > 1 OR (ups = 1 AND low = 0)").isEmpty():
             break
-        before = now
     else:
         raise RuntimeError(f"components are not settled after {rounds} rounds")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
