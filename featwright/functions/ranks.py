@@ -94,15 +94,21 @@ def directed(unit: float) -> Column:
 def strict_positions(
     df: DataFrame, group: Sequence[str], value: str, tie: str, out: str = "rk"
 ) -> DataFrame:
-    """Positions 1, 2, 3… by falling ``value``; equal values in order of the unique number ``tie``."""
-    group = list(group)
-    by_value = with_ranks(df, group, value).withColumn("_first", lowest_descending())
+    """Positions 1, 2, 3… by falling ``value``; equal values in order of the unique number ``tie``.
+
+    Missing values (NULL or NaN) come last, in order of ``tie``.
+    """
+    group, ranked = list(group), [*group, "_missing", "_value"]
+    missing = F.col(value).isNull() | F.isnan(value)
+    df = df.withColumn("_missing", missing).withColumn("_value", F.when(missing, F.lit(0)).otherwise(F.col(value)))
+    present = df.groupBy(*group).agg(F.count_if(~F.col("_missing")).alias("_present"))
+    by_value = with_ranks(df, [*group, "_missing"], "_value").withColumn("_first", lowest_descending())
     by_value = by_value.drop("n_equal", "n_less", "n_total", "group_max", "has_null")
-    among_equals = value_ranks(df, [*group, value], tie).select(
-        *group, value, tie, F.col("n_less").alias("_later")
-    )
+    among_equals = value_ranks(df, ranked, tie).select(*ranked, tie, F.col("n_less").alias("_later"))
+    before = F.when(F.col("_missing"), F.col("_present")).otherwise(0)
     return (
-        by_value.join(among_equals, [*group, value, tie])
-        .withColumn(out, (F.col("_first") + F.col("_later")).cast("bigint"))
-        .drop("_first", "_later")
+        by_value.join(among_equals, [*ranked, tie])
+        .join(present, group)
+        .withColumn(out, (F.col("_first") + F.col("_later") + before).cast("bigint"))
+        .drop("_first", "_later", "_missing", "_value", "_present")
     )

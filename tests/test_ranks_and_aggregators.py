@@ -43,6 +43,13 @@ def test_strict_positions(values):
     assert (got.set_index("i").rk.sort_index() == want.sort_index()).all()
 
 
+def test_missing_values_come_last(spark):
+    rows = [("m1", 0, 0.9), ("m1", 1, None), ("m1", 2, 0.4), ("m1", 3, float("nan")), ("m2", 0, None), ("m2", 1, None)]
+    df = spark.createDataFrame(rows, "g string, i int, x double")
+    got = {(r.g, r.i): r.rk for r in ranks.strict_positions(df, ["g"], "x", "i").collect()}
+    assert got == {("m1", 0): 1, ("m1", 2): 2, ("m1", 1): 3, ("m1", 3): 4, ("m2", 0): 1, ("m2", 1): 2}
+
+
 def test_null_values_get_no_rank(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, None), ("a", 3, 1.0)], "g string, i int, x double")
     got = {r.i: r.r for r in ranks.with_ranks(df, ["g"], "x").select("i", ranks.average_ascending().alias("r")).collect()}
