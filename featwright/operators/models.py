@@ -279,8 +279,8 @@ def reverse_trees(
 ) -> DataFrame:
     """Reverse selection with trees for the given targets: pooled R² without and with the label.
 
-    A trial counts only if the label has an importance in every inner fold; the
-    best one only if its R² is above 0 and the outer refit weighs the label too.
+    With forests a trial counts only if the label has an importance in every inner
+    fold; the best one only if its R² is above 0 and the outer refit weighs the label too.
     """
     s = splits.settings
     spark = splits.samples.sparkSession
@@ -294,7 +294,7 @@ def reverse_trees(
                 params,
                 **options,
             )
-            if labeled and weights[0] == 0.0:
+            if labeled and weights[0] == 0.0 and regression is forest_regression:
                 return None
             pooled = done if pooled is None else pooled.unionByName(done)
         return RegressionEvaluator(metricName="r2").evaluate(pooled)

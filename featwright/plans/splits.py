@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featwright.operators.folds import expand_folds, stratified_folds
+from featwright.operators.prepare import require_no_missing
 from featwright.operators.transform import fitted_vectors, transform_vectors, yeojohnson_lambda
 from featwright.settings import Settings
 from featwright.sources.tables import cells_of_vectors
@@ -79,9 +80,9 @@ class Splits:
 
 
 def fit_splits(samples: DataFrame, settings: Settings = Settings(), refinements: int = 0) -> Splits:
-    """Deal the folds and fit the transform of every split on its train part."""
+    """Deal the folds and fit the transform of every split on its train part; missing values are an error."""
     dealt = stage(deal_nested(samples, settings))
-    cells = cells_of_vectors(dealt)
+    cells = require_no_missing(cells_of_vectors(dealt))
     outer = yeojohnson_lambda(cells.drop("inner_folds"), refinements=refinements).withColumn(
         "inner_fold", F.lit(None).cast("int")
     )
