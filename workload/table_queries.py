@@ -176,7 +176,7 @@ powered AS (
 likelihood AS (
   SELECT outer_fold, feature, lam, -count(*) / 2.0 * ln(var_pop(t)) + (lam - 1) * sum(slog) AS ll
   FROM powered GROUP BY 1, 2, 3),
-lambdas AS (
+lambdas AS MATERIALIZED (
   SELECT outer_fold, feature, lam FROM (
     SELECT *, row_number() OVER (PARTITION BY outer_fold, feature ORDER BY ll DESC, lam) AS place FROM likelihood)
   WHERE place = 1)"""
