@@ -247,8 +247,11 @@ def fit_extractor(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> trees.T
 
     Without a page that holds one article, nothing is known and nothing is kept.
     """
-    chosen = pages.where(F.col("html").isNotNull()).select("html", F.xxhash64("html").alias("o")).orderBy("o", "html").select("html").limit(sample_pages)
-    parsed = [Page(p) for p in training_pages([r["html"] for r in chosen.collect()])]
+    marked = pages.where(F.col("html").isNotNull()).select("html", F.xxhash64("html").alias("o"))
+    # hashes are chosen first, so that no task sends pages that are not in the sample
+    marks = marked.select("o").distinct().orderBy("o").limit(sample_pages)
+    chosen = marked.join(F.broadcast(marks), "o", "left_semi").groupBy("o").agg(F.min("html").alias("html"))
+    parsed = [Page(p) for p in training_pages([r["html"] for r in sorted(chosen.collect())])]
     if not parsed:
         return trees.constant(0.001)
     x, y = np.concatenate([p.features() for p in parsed]), np.concatenate([p.labels() for p in parsed])
