@@ -123,3 +123,18 @@ class UnitCache:
         if len(self.known) > self.size:
             self.known = dict(islice(self.known.items(), self.size // 2, None))
         return result
+
+    def ids_of(self, texts: list[list[str]], at_once: int = 10_000) -> list[bytes]:
+        """The ids of many texts; units that are new to any of them are encoded together, ``at_once`` a call."""
+        found = [list(map(self.known.get, units)) for units in texts]
+        new = list({u for units, ids in zip(texts, found) if None in ids for u, x in zip(units, ids) if x is None})
+        for k in range(0, len(new), at_once):
+            part = new[k : k + at_once]
+            self.known.update((u, array("I", x).tobytes()) for u, x in zip(part, self.encode(part)))
+        result = [b"".join(map(self.known.__getitem__, units) if None in ids else ids) for units, ids in zip(texts, found)]
+        for u in new:
+            if len(u) > 64:
+                del self.known[u]
+        if len(self.known) > self.size:
+            self.known = dict(islice(self.known.items(), self.size // 2, None))
+        return result

@@ -13,6 +13,8 @@ from llm.byte_bpe import Vocabulary, with_tokens
 from llm.decontaminate import with_leaks
 from llm.line_dedup import SPACES, UPPER, dedup_lines
 from llm.minhash_dedup import with_components
+from llm.periodic_runs import with_runs
+from llm.token_alignment import Tokenizers, align
 from llm.token_output import read_tokens, write_tokens
 
 
@@ -94,6 +96,43 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, manifest, folder).withColumnRenamed("id", "doc_id")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    both = Tokenizers.load(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = align(table(spark, sf_dir, "documents"), both, digests=True)
+    return found.withColumnsRenamed({"id": "doc_id", "groups": "groups_sha256"})
+
+
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """The contract's texts of the run query: where the id's CRC-32 is a multiple of ten, a part of the words repeats."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g"))
+    rows = rows.withColumn("n", F.when(F.size("w") > 0, F.size("w")))
+    rows = rows.withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    copies = F.ceil(rest / F.col("p")).cast("int")
+    repeated = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), copies)), F.lit(1), rest)
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), repeated), " ")
+    return rows.select("doc_id", F.when(F.col("n").isNotNull(), text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = planted_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    runs, most = F.col("periodic.runs"), F.col("periodic.most")
+    lines = F.transform(runs, lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    return with_runs(docs).select(
+        "doc_id",
+        F.size(runs).cast("bigint").alias("n_runs"),
+        "periodic.most.*",
+        F.floor(1000 * most["length"] / most["period"]).alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size(runs) > 0, "\n").otherwise("")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("periodic.collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 LINE_DEDUP_SQL = f"""
 WITH split AS (
     SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
@@ -124,6 +163,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_decontaminate": op9_decontaminate,
         "op10_token_output": op10_token_output,
+        "op11_token_alignment": op11_token_alignment,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 
