@@ -13,6 +13,7 @@ from llm.byte_bpe import Vocabulary, with_tokens
 from llm.decontaminate import with_leaks
 from llm.line_dedup import SPACES, UPPER, dedup_lines
 from llm.minhash_dedup import with_components
+from llm.packing import pack, token_pieces
 from llm.periodic_runs import with_runs
 from llm.token_alignment import Tokenizers, align
 from llm.token_output import read_tokens, write_tokens
@@ -133,6 +134,16 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    pieces = token_pieces(table(spark, sf_dir, "documents"), definition, end_id=1)
+    digests = pieces.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return pack(digests)
+
+
 LINE_DEDUP_SQL = f"""
 WITH split AS (
     SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
@@ -165,6 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_output": op10_token_output,
         "op11_token_alignment": op11_token_alignment,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_packing": op13_packing,
     }
 
 
