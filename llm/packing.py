@@ -14,7 +14,7 @@ shards, into far fewer shards of the next level, until one shard is left.
 from __future__ import annotations
 
 import random
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +28,7 @@ from llm.common import F, UnitCache, chunks, free_name, stage, texts_of
 SHARD_PIECES = 4096
 ISLANDS = 3
 EPOCHS = 3
-GENERATIONS = 16
+GENERATIONS = 80
 POPULATION = 6
 #: Individuals that migrate between epochs.
 ELITE = 2
@@ -91,66 +91,74 @@ def least_sequences(lengths: np.ndarray, size: int) -> int:
 
 
 class Packing:
-    """One individual: its sequences as lists of pieces, and the room left in each."""
+    """One individual: the sequence of each piece, and the room left in each sequence. Lengths fall from piece to piece."""
 
-    __slots__ = ("bins", "free")
+    __slots__ = ("places", "free")
 
-    def __init__(self, bins: list[list[int]], free: list[int]):
-        self.bins, self.free = bins, free
-
-    def fitness(self, size: int) -> tuple[int, int]:
-        """Fewer sequences are fitter, then those that leave their free room in few of them."""
-        return -len(self.bins), sum((size - f) ** 2 for f in self.free)
-
-    def put(self, pieces: list[int], lengths: list[int], size: int) -> Packing:
-        """Each piece goes where least room stays, else into a new sequence."""
-        bins, free = self.bins, self.free
-        room = sorted(f << 32 | b for b, f in enumerate(free) if f)
-        for i in pieces:
-            need = lengths[i]
-            at = bisect_left(room, need << 32)
-            if at < len(room):
-                b = room.pop(at) & 0xFFFFFFFF
-                bins[b].append(i)
-            else:
-                b = len(bins)
-                bins.append([i])
-                free.append(size)
-            free[b] -= need
-            if free[b]:
-                insort(room, free[b] << 32 | b)
-        return self
-
-    def places(self, n: int) -> np.ndarray:
-        """The sequence of each piece."""
-        out = np.empty(n, np.int32)
-        for b, pieces in enumerate(self.bins):
-            out[pieces] = b
-        return out
+    def __init__(self, places: np.ndarray, free: np.ndarray):
+        self.places, self.free = places, free
 
     @classmethod
     def of(cls, places: np.ndarray, lengths: np.ndarray, size: int) -> Packing:
-        order = np.argsort(places, kind="stable")
-        bounds = np.searchsorted(places[order], np.arange(1, places.max() + 1))
-        free = size - np.bincount(places, weights=lengths).astype(np.int64)
-        return cls([x.tolist() for x in np.split(order, bounds)], free.tolist())
-
+        return cls(places, size - np.bincount(places, weights=lengths).astype(np.int64))
 
-def crossover(a: Packing, b: Packing, lengths: list[int], size: int, rng: random.Random) -> Packing:
+    def fitness(self, size: int) -> tuple[int, int]:
+        """Fewer sequences are fitter, then those that leave their free room in few of them."""
+        return -len(self.free), int(((size - self.free) ** 2).sum())
+
+
+def best_fit(pieces: list[int], places: np.ndarray, free: np.ndarray, lengths: np.ndarray, size: int) -> Packing:
+    """Each piece goes where least room stays, else into a new sequence."""
+    n = len(free)
+    free = np.concatenate([free, np.full(len(pieces), -1)])
+    for i in pieces:
+        left = free[:n] - lengths[i]
+        fits = np.flatnonzero(left >= 0)
+        if len(fits):
+            k = fits[left[fits].argmin()]
+        else:
+            k, n = n, n + 1
+            free[k] = size
+        free[k] -= lengths[i]
+        places[i] = k
+    return Packing(places, free[:n])
+
+
+def exchange(displaced: list[int], places: np.ndarray, free: np.ndarray, lengths: np.ndarray) -> list[int]:
+    """Displaced pieces take the places of shorter ones where they fill the sequence better; who is displaced in the end."""
+    rest, pending = [], displaced[::-1]
+    while pending:
+        i = pending.pop()
+        gain = lengths[i] - lengths[i + 1 :]
+        owners = places[i + 1 :]
+        fits = np.flatnonzero((owners >= 0) & (gain > 0) & (gain <= free[owners]))
+        if len(fits):
+            j = i + 1 + int(fits[gain[fits].argmax()])
+            free[places[j]] -= lengths[i] - lengths[j]
+            places[i], places[j] = places[j], -1
+            insort(pending, j, key=lambda x: -x)
+        else:
+            rest.append(i)
+    return rest
+
+
+def crossover(a: Packing, b: Packing, lengths: np.ndarray, size: int, rng: random.Random) -> Packing:
     """A child of ``a`` with some well-filled sequences of ``b``, and with its own loosest one dissolved."""
-    mean = sum(b.free) / len(b.free)
-    filled = [k for k, f in enumerate(b.free) if f <= mean]
-    injected = rng.sample(filled, rng.randint(1, max(1, len(filled) // 8)))
-    taken = {i for k in injected for i in b.bins[k]}
-    hit = {k for k, pieces in enumerate(a.bins) if not taken.isdisjoint(pieces)}
-    loosest = max(range(len(a.free)), key=a.free.__getitem__)
-    hit |= {loosest, rng.randrange(len(a.bins))}
-    kept = [k for k in range(len(a.bins)) if k not in hit]
-    # piece numbers rise as lengths fall, so that the displaced are put back longest first
-    displaced = sorted(i for k in hit for i in a.bins[k] if i not in taken)
-    bins = [a.bins[k][:] for k in kept] + [b.bins[k][:] for k in injected]
-    child = Packing(bins, [a.free[k] for k in kept] + [b.free[k] for k in injected])
-    return child.put(displaced, lengths, size)
+    filled = np.flatnonzero(b.free <= b.free.mean())
+    injected = np.array(rng.sample(filled.tolist(), rng.randint(1, max(1, len(filled) // 16))))
+    number = np.full(len(b.free), -1)
+    number[injected] = np.arange(len(injected))
+    taken = number[b.places] >= 0
+    hit = np.zeros(len(a.free), bool)
+    hit[a.places[taken]] = True
+    hit[a.free.argmax()] = True
+    hit[rng.randrange(len(hit))] = True
+    kept = np.cumsum(~hit) - 1
+    places = np.where(hit[a.places], -1, kept[a.places]).astype(np.int32)
+    places[taken] = (~hit).sum() + number[b.places[taken]]
+    free = np.concatenate([a.free[~hit], b.free[injected]])
+    displaced = exchange(np.flatnonzero(places < 0).tolist(), places, free, lengths)
+    return best_fit(sorted(displaced), places, free, lengths, size)
 
 
 def evolve(lengths: np.ndarray, size: int, population: list[Packing], seed: str, generations: int = GENERATIONS) -> list[Packing]:
@@ -159,19 +167,23 @@ def evolve(lengths: np.ndarray, size: int, population: list[Packing], seed: str,
     It ends early once an individual needs no more sequences than the lower bound.
     """
     rng = random.Random(seed)
-    plain, least = lengths.tolist(), least_sequences(lengths, size)
+    least = least_sequences(lengths, size)
+
+    def founded(order: list[int]) -> Packing:
+        return best_fit(order, np.empty(len(lengths), np.int32), np.zeros(0, np.int64), lengths, size)
+
     if not population:
-        population = [Packing([], []).put(list(range(len(plain))), plain, size)]
-        while len(population) < POPULATION and len(population[0].bins) > least:
-            noisy = sorted(range(len(plain)), key=lambda i: -plain[i] * rng.uniform(0.8, 1.25))
-            population.append(Packing([], []).put(noisy, plain, size))
+        plain = lengths.tolist()
+        population = [founded(list(range(len(plain))))]
+        while len(population) < POPULATION and len(population[0].free) > least:
+            population.append(founded(sorted(range(len(plain)), key=lambda i: -plain[i] * rng.uniform(0.8, 1.25))))
     ranked = sorted(((p.fitness(size), k, p) for k, p in enumerate(population)), reverse=True)
     born = len(ranked)
     for _ in range(generations):
         if -ranked[0][0][0] <= least or len(ranked) < 2:
             break
         a, b = (ranked[min(rng.randrange(len(ranked)), rng.randrange(len(ranked)))][2] for _ in range(2))
-        child = crossover(a, b, plain, size, rng)
+        child = crossover(a, b, lengths, size, rng)
         fitness = child.fitness(size)
         if fitness > ranked[-1][0] and all(fitness != f for f, _, _ in ranked):
             born += 1
@@ -192,11 +204,11 @@ def _breed(states: DataFrame, size: int, seed: str) -> DataFrame:
                 row = batch.slice(k, 1)
                 shard, island = row.column("shard")[0].as_py(), row.column("island")[0].as_py()
                 lengths = row.column("lengths").flatten().to_numpy().astype(np.int64)
-                old = [Packing.of(np.array(p.as_py()), lengths, size) for p in row.column("population").flatten()]
+                old = [Packing.of(np.array(p.as_py(), np.int32), lengths, size) for p in row.column("population").flatten()]
                 bred = evolve(lengths, size, old, f"{seed}-{shard}-{island}")
                 least = least_sequences(lengths, size)
-                genes = pa.array([[p.places(len(lengths)) for p in bred]], pa.list_(pa.list_(pa.int32())))
-                best = len(bred[0].bins)
+                genes = pa.array([[p.places for p in bred]], pa.list_(pa.list_(pa.int32())))
+                best = len(bred[0].free)
                 columns = [*(row.column(c) for c in names[:4]), genes, pa.array([best], pa.int32()), pa.array([best <= least])]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
