@@ -8,6 +8,7 @@ read once, not once per split.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +16,10 @@ from pyspark.sql import functions as F
 from featwright.functions.expressions import yeo_johnson
 from featwright.functions.joins import join_null_safe
 from featwright.settings import Settings
+from featwright.storage import stage
 
 
-def lambda_grid(start: float = -3.0, end: float = 3.0, points: int = 61) -> list[float]:
+def lambda_grid(start: float, end: float, points: int) -> list[float]:
     steps = points - 1
     return [(start * (steps - i) + end * i) / steps for i in range(points)]
 
@@ -65,59 +67,151 @@ def held_out_moments(
     )
 
 
-def _best(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The highest score per key; the lowest exponent among equals."""
-    usable = F.col("score").isNotNull()
-    # a constant feature has no likelihood: leave it as near as can be to what it is
-    value = F.coalesce("score", -F.abs(F.col("lambda") - 1))
-    best = F.max(F.struct(usable, value, (-F.col("lambda")).alias("_order"), "lambda", "mean", "std"))
-    return scored.groupBy(*keys).agg(best.alias("_best")).select(
-        *keys, "_best.lambda", "_best.mean", "_best.std"
+#: First exponents looked at, even around 1 (no change).
+START = (-7.0, -3.0, -1.0, 0.0, 1.0, 2.0, 3.0, 5.0, 9.0)
+#: Beyond this size an exponent counts as without bound.
+FARTHEST = 1e7
+
+
+def _slope_terms(x: Column, lam: Column) -> list[Column]:
+    """The transform of ``x`` and its derivative by the exponent, both steady near their removable gaps."""
+    mirrored = x < 0
+    power = F.when(mirrored, 2.0 - lam).otherwise(lam)
+    size = F.log1p(F.abs(x))
+    step = power * size
+    near = F.abs(step) < 1e-3
+    grown = F.when(power == 0.0, size).otherwise(F.expm1(step) / power)
+    series = size * size * (0.5 + step / 3 + step * step / 8)
+    slope = F.when(near, series).otherwise((size * F.exp(step) - grown) / power)
+    # behind zero the power falls as the exponent grows, and the value is negative: the slope keeps its sign
+    return [F.when(mirrored, -grown).otherwise(grown), slope]
+
+
+def _slopes(cells: DataFrame, wanted: DataFrame, group: list[str], fold: str) -> DataFrame:
+    """For points ``(group…, fold, feature, lambda)``: ``n``, ``mean``, ``var`` after the transform, and ``slope``.
+
+    ``slope`` is the derivative of the log-likelihood over the other folds, per value; infinite, towards 1, where
+    the transform leaves the range of doubles. A cell is transformed once for each different exponent of its feature.
+    """
+    of = [*group, "feature"]
+    points = wanted.groupBy(*of).agg(F.array_sort(F.collect_set("lambda")).alias("_points"))  # a few per fold
+    powered = cells.select(*of, fold, "value").join(points, of).withColumn("lambda", F.explode("_points"))
+    t, dt = _slope_terms(F.col("value"), F.col("lambda"))
+    powered = powered.withColumn("_t", t).withColumn("_dt", dt)
+    per_fold = powered.groupBy(*of, "lambda", fold).agg(
+        F.count("value").alias("n"),
+        F.avg("_t").alias("t"),
+        F.avg("_dt").alias("dt"),
+        F.var_pop("_t").alias("var"),
+        F.covar_pop("_t", "_dt").alias("cov"),
+        F.avg(F.signum("value") * F.log1p(F.abs(F.col("value")))).alias("log"),
     )
+    # at most one row per fold
+    parts = per_fold.groupBy(*of, "lambda").agg(
+        F.array_sort(F.collect_list(F.struct(fold, "n", "t", "dt", "var", "cov", "log"))).alias("_parts")
+    )
+    merged = wanted.join(parts, [*of, "lambda"]).withColumn("_rest", F.filter("_parts", lambda p: p[fold] != F.col(fold)))
 
+    def mean(term) -> Column:
+        return F.aggregate("_rest", F.lit(0.0), lambda total, p: total + p["n"] * term(p)) / F.nullif("n", F.lit(0.0))
 
-def _likelihoods(cells: DataFrame, group: list[str], fold: str) -> DataFrame:
-    x = F.col("value")
-    powered = cells.withColumn("_t", yeo_johnson(x, F.col("lambda"))).withColumn(
-        "_slog", F.signum(x) * F.log1p(F.abs(x))
+    merged = merged.withColumn("n", F.aggregate("_rest", F.lit(0.0), lambda total, p: total + p["n"]))
+    merged = merged.withColumn("mean", mean(lambda p: p["t"])).withColumn("_mean_dt", mean(lambda p: p["dt"]))
+    off = F.col("mean")
+    merged = merged.withColumn("var", mean(lambda p: p["var"] + (p["t"] - off) * (p["t"] - off))).withColumn(
+        "_cov", mean(lambda p: p["cov"] + (p["t"] - off) * (p["dt"] - F.col("_mean_dt")))
     )
-    moments = held_out_moments(powered, [*group, "feature", "lambda"], fold, "_t", "_slog")
     # what merging leaves of a constant column is rounding, not spread
-    spread = F.when(F.col("var") > 1e-24 * F.col("mean") * F.col("mean"), F.col("var")).otherwise(0.0)
-    moments = moments.withColumn("var", spread)
-    likelihood = -F.col("n") / 2 * F.ln(F.nullif("var", F.lit(0.0))) + (F.col("lambda") - 1) * F.col("extra")
-    return moments.withColumn("score", likelihood).withColumn("std", F.sqrt("var"))
+    spread = F.when(F.col("var") > 1e-24 * off * off, F.col("var")).otherwise(F.when(F.isnan("var"), F.col("var")).otherwise(0.0))
+    merged = merged.withColumn("var", spread)
+    slope = mean(lambda p: p["log"]) - F.col("_cov") / F.nullif("var", F.lit(0.0))
+    lost = slope.isNull() | F.isnan(slope) | (F.abs(slope) == float("inf"))
+    towards_one = F.when(F.col("lambda") < 1, float("inf")).otherwise(float("-inf"))
+    return merged.withColumn("slope", F.when(lost, towards_one).otherwise(slope)).select(*wanted.columns, "n", "mean", "var", "slope")
+
+
+def _root(low: Column, low_slope: Column, high: Column, high_slope: Column) -> Column:
+    """Where the line through both ends meets 0; the middle where one end has no finite slope."""
+    steep = low_slope - high_slope
+    line = low + (high - low) * low_slope / F.nullif(steep, F.lit(0.0))
+    middle = (low + high) / 2
+    return F.when(F.abs(steep) == float("inf"), middle).otherwise(F.coalesce(line, middle))
+
+
+def _next_points(tolerance: float) -> Column:
+    """Exponents to look at next: beyond an open end, or inside the bracket around the line's root."""
+    a, b = F.col("low.lambda"), F.col("high.lambda")
+    width = b - a
+    root = _root(a, F.col("low.slope"), b, F.col("high.slope"))
+    root = F.least(F.greatest(root, a + width / 64), b - width / 64)
+    scale = F.greatest(F.lit(1.0), F.abs(a))
+    near = F.least(width / 8, F.greatest(width * width / (8 * scale), tolerance / 4 * scale))
+    inside = F.filter(F.array(root - near, root, root + near, (a + b) / 2), lambda p: (p > a) & (p < b))
+    left = F.array(*[b - (F.abs(b) + 1) * k for k in (1.0, 4.0, 16.0)])
+    right = F.array(*[a + (F.abs(a) + 1) * k for k in (1.0, 4.0, 16.0)])
+    return F.when(a.isNull(), left).when(b.isNull(), right).otherwise(inside)
 
 
 def yeojohnson_lambda(
     cells: DataFrame,
     fold: str = "outer_fold",
     within: Sequence[str] = (),
-    grid: Sequence[float] | None = None,
-    refinements: int = 0,
+    tolerance: float = 1e-8,
 ) -> DataFrame:
-    """The exponent of greatest likelihood per (held-out fold, feature), with mean and std after it.
-
-    ``refinements`` searches again between the neighbours of the best grid point.
+    """The exponent of greatest likelihood per (held-out fold, feature), without limits: ``lambda, mean, std, status``.
+
+    The log-likelihood is concave in the exponent, so that the sign of its slope says on which side
+    the optimum lies. All splits and features are bracketed at once: every step is one aggregate
+    at a few exponents of each, and who is bracketed within ``tolerance`` leaves. ``mean`` and ``std`` are those
+    after the transform. ``status`` is 'optimum'; 'constant' where the train part has no spread, with exponent 1; or
+    'unbounded' where no optimum lies in the range of doubles, with the last exponent inside it. ``cells`` are read once a step: pass
+    them stored.
     """
     group = list(within)
-    grid = list(grid or lambda_grid())
     keys = [*group, fold, "feature"]
-    scored = _likelihoods(
-        cells.withColumn("lambda", F.explode(F.array(*[F.lit(v) for v in grid]))), group, fold
-    )
-    best = _best(scored, keys)
-    step = (grid[-1] - grid[0]) / (len(grid) - 1)
-    for _ in range(refinements):
-        step /= 10
-        near = F.transform(F.sequence(F.lit(-10), F.lit(10)), lambda i: F.col("lambda") + i * step)
-        candidates = best.select(*group, "feature", F.explode(near).alias("lambda")).groupBy(*group, "feature").agg(
-            F.array_sort(F.collect_set("lambda")).alias("_near")  # neighbours only: at most 21 per fold
+    start = F.explode(F.array(*[F.lit(v) for v in START])).alias("lambda")
+    folds_of = cells.select(*group, fold).distinct()
+    features_of = cells.select(*group, "feature").distinct()
+    pairs = features_of.join(folds_of, group) if group else features_of.crossJoin(folds_of)
+    seen = _slopes(cells, pairs.select(*keys, start), group, fold)
+    constant = F.max(F.when((F.col("lambda") == 1.0), F.coalesce(F.col("var") == 0, F.lit(True))))
+
+    def bracket(rows: DataFrame) -> DataFrame:
+        end = F.struct("lambda", "slope")
+        return rows.groupBy(*keys).agg(
+            F.max(F.when(F.col("slope") > 0, end)).alias("low"),
+            F.min(F.when(F.col("slope") <= 0, end)).alias("high"),
+            constant.alias("constant"),
         )
-        finer = cells.join(candidates, [*group, "feature"])
-        scored = _likelihoods(finer.withColumn("lambda", F.explode("_near")).drop("_near"), group, fold)
-        best = _best(scored, keys)
-    return best
+
+    states = stage(bracket(seen))
+    parts = [states.where("constant")]
+    open_ = states.where("NOT constant OR constant IS NULL").drop("constant")
+    width = F.col("high.lambda") - F.col("low.lambda")
+    narrow = width <= tolerance * F.greatest(F.lit(1.0), F.abs(F.col("low.lambda")))
+    # slopes that the middle of a bracket cannot tell apart any more
+    stuck = F.size(_next_points(tolerance)) == 0
+    lost = F.greatest(F.abs("low.lambda"), F.abs("high.lambda")) > FARTHEST
+    done = F.coalesce(narrow | stuck, F.lit(False)) | F.coalesce(lost, F.lit(False))
+    while not open_.isEmpty():
+        wanted = open_.select(*keys, F.explode(_next_points(tolerance)).alias("lambda"))
+        slopes = _slopes(cells, wanted, group, fold).select(*keys, "lambda", "slope", F.lit(None).cast("double").alias("var"))
+        ends = open_.select(*keys, F.inline(F.filter(F.array("low", "high"), lambda e: e.isNotNull())), F.lit(None).cast("double").alias("var"))
+        states = stage(bracket(slopes.unionAll(ends)))
+        parts.append(states.where(done))
+        open_ = states.where(~done).drop("constant")
+    found = reduce(DataFrame.unionByName, parts)
+    finite = (F.abs("low.slope") < float("inf")) & (F.abs("high.slope") < float("inf")) & ~F.coalesce(lost, F.lit(False))
+    status = F.when(F.col("constant"), "constant").when(F.coalesce(finite, F.lit(False)), "optimum").otherwise("unbounded")
+    usable = F.when(F.abs("low.slope") < float("inf"), F.col("low.lambda")).when(F.abs("high.slope") < float("inf"), F.col("high.lambda"))
+    root = _root(F.col("low.lambda"), F.col("low.slope"), F.col("high.lambda"), F.col("high.slope"))
+    chosen = found.withColumn("status", status).select(
+        *keys,
+        "status",
+        F.when(F.col("status") == "optimum", root).when(F.col("status") == "constant", 1.0).otherwise(F.coalesce(usable, F.lit(1.0))).alias("lambda"),
+    )
+    moments = _slopes(cells, stage(chosen), group, fold)
+    return moments.select(*keys, "lambda", "mean", F.sqrt("var").alias("std"), "status")
 
 
 def yeojohnson_grid(

@@ -79,17 +79,17 @@ class Splits:
         return transform_vectors(rows.select(*SPLIT, "role", "sample_id", "label", "features"), self.fitted, SPLIT)
 
 
-def fit_splits(samples: DataFrame, settings: Settings = Settings(), refinements: int = 0) -> Splits:
+def fit_splits(samples: DataFrame, settings: Settings = Settings()) -> Splits:
     """Deal the folds and fit the transform of every split on its train part; missing values are an error."""
     dealt = stage(deal_nested(samples, settings))
     cells = require_no_missing(cells_of_vectors(dealt))
-    outer = yeojohnson_lambda(cells.drop("inner_folds"), refinements=refinements).withColumn(
+    outer = yeojohnson_lambda(cells.drop("inner_folds")).withColumn(
         "inner_fold", F.lit(None).cast("int")
     )
     inner_cells = cells.select(
         F.explode("inner_folds").alias("outer_fold", "inner_fold"), "feature", "value"
     )
-    inner = yeojohnson_lambda(inner_cells, "inner_fold", ["outer_fold"], refinements=refinements)
+    inner = yeojohnson_lambda(inner_cells, "inner_fold", ["outer_fold"])
     model = outer.unionByName(inner).withColumn(
         "feature_ord", F.regexp_extract("feature", r"(\d+)$", 1).cast("int")
     )

@@ -88,18 +88,39 @@ def test_lambda_is_the_most_likely(samples):
     dealt = folds.stratified_folds(df, 3)
     fold = dealt.select("sample_id", "outer_fold").toPandas().set_index("sample_id").outer_fold.sort_index().to_numpy()
     cells = tables.cells_of_vectors(dealt)
-    for refinements, grid in ((0, transform.lambda_grid()), (1, None)):
-        got = transform.yeojohnson_lambda(cells, refinements=refinements).toPandas()
-        for row in got.itertuples():
-            j = int(row.feature[2:])
-            v = x[fold != row.outer_fold, j]
-            if j == 2:
-                assert row[3] == 1.0
-                continue
-            ll = lambda lam: -len(v) / 2 * np.log(_yj(v, lam).var()) + (lam - 1) * (np.sign(v) * np.log1p(np.abs(v))).sum()
-            best = max(grid or np.arange(-300, 301) / 100, key=ll)
-            assert abs(row[3] - best) < 1e-6
-            np.testing.assert_allclose([row.mean, row.std], [_yj(v, row[3]).mean(), _yj(v, row[3]).std()], rtol=1e-9)
+    got = transform.yeojohnson_lambda(cells).toPandas()
+    for row in got.itertuples():
+        j = int(row.feature[2:])
+        v = x[fold != row.outer_fold, j]
+        if j == 2:
+            assert (row[3], row.status) == (1.0, "constant")
+            continue
+        ll = lambda lam: -len(v) / 2 * np.log(_yj(v, lam).var()) + (lam - 1) * (np.sign(v) * np.log1p(np.abs(v))).sum()
+        assert row.status == "optimum" and ll(row[3]) >= max(map(ll, np.arange(-2000, 2001) / 100))
+        assert ll(row[3]) >= max(ll(row[3] - 1e-4), ll(row[3] + 1e-4))
+        np.testing.assert_allclose([row.mean, row.std], [_yj(v, row[3]).mean(), _yj(v, row[3]).std()], rtol=1e-9)
+
+
+def test_lambda_has_no_edge(spark):
+    """Small values ask for exponents in the hundreds; a narrow column far out has none in the range of doubles."""
+    rng = np.random.default_rng(3)
+    x = np.stack([1e-3 * rng.exponential(size=60), 1e6 + rng.normal(size=60), rng.integers(0, 2, 60)], axis=1)
+    cells = spark.createDataFrame([(i % 2, f"f_{j}", float(v)) for i, row in enumerate(x) for j, v in enumerate(row)], "outer_fold int, feature string, value double")
+    found = {(r.feature, r.outer_fold): r for r in transform.yeojohnson_lambda(cells).collect()}
+    assert len(found) == 6
+    for fold in (0, 1):
+        v = x[1 - fold :: 2, 0]
+        size, side = np.log1p(np.abs(v)), np.sign(v)
+
+        def ll(lam):
+            p = np.where(v < 0, 2 - lam, lam)
+            return -len(v) / 2 * np.log((side * np.expm1(p * size) / p).var()) + (lam - 1) * (side * size).sum()
+
+        best = found["f_0", fold]
+        assert best.status == "optimum" and abs(best["lambda"]) > 10
+        assert ll(best["lambda"]) > max(ll(best["lambda"] - 1), ll(best["lambda"] + 1))
+        assert found["f_1", fold].status == "unbounded" and np.isfinite(found["f_1", fold].std)
+        assert found["f_2", fold].status == "optimum"
 
 
 def test_correlations_equal_numpy(samples, monkeypatch):

@@ -83,9 +83,14 @@ def check_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.check_splits(folds.nested_folds(samples))
 
 
+def _exponents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most likely exponents, to four decimals."""
+    found = transform.yeojohnson_lambda(stage(_fold_cells(spark, sf_dir)))
+    return found.select("outer_fold", "feature", rounded(F.col("lambda"), 4).alias("lambda"), "status")
+
+
 def yeojohnson_lambda(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = transform.yeojohnson_lambda(_fold_cells(spark, sf_dir))
-    return _value(found.select("outer_fold", "feature", "lambda"), "lambda")
+    return _exponents(spark, sf_dir)
 
 
 def yeojohnson_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +99,7 @@ def yeojohnson_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def yeojohnson_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lambdas = stage(transform.yeojohnson_lambda(_fold_cells(spark, sf_dir)))
-    done = transform.yeojohnson_apply(_split_cells(spark, sf_dir), lambdas)
+    done = transform.yeojohnson_apply(_split_cells(spark, sf_dir), stage(_exponents(spark, sf_dir)))
     return _value(done.select("outer_fold", "role", "sample_id", "feature", "value"))
 
 
@@ -168,18 +172,33 @@ def _yj(x: str, lam: str) -> str:
     )
 
 
+def _slope_of(u: str, p: str) -> tuple[str, str]:
+    """The size of the transform and its derivative by the power ``p``; ``u`` is ln(1 + |x|)."""
+    grown = f"CASE WHEN {p} = 0 THEN {u} ELSE (exp({p} * {u}) - 1) / {p} END"
+    slope = (
+        f"CASE WHEN abs({p} * {u}) < 1e-3 THEN {u} * {u} * (0.5 + {p} * {u} / 3 + {p} * {u} * {p} * {u} / 8)"
+        f" ELSE ({u} * exp({p} * {u}) - (exp({p} * {u}) - 1) / {p}) / {p} END"
+    )
+    return grown, slope
+
+
+_GROWN, _SLOPE = _slope_of("u", "p")
+# the likelihood's slope falls with the exponent: halve a wide bracket 48 times
 LAMBDAS = SPLIT_CELLS + f""",
-powered AS (
-  SELECT outer_fold, feature, lam, {_yj('value', 'lam')} AS t, sign(value) * ln(1 + abs(value)) AS slog
-  FROM split_cells, (SELECT (-3.0::DOUBLE * (60 - i) + 3.0::DOUBLE * i) / 60 AS lam FROM range(61) g(i))
-  WHERE role = 'train'),
-likelihood AS (
-  SELECT outer_fold, feature, lam, -count(*) / 2.0 * ln(var_pop(t)) + (lam - 1) * sum(slog) AS ll
-  FROM powered GROUP BY 1, 2, 3),
+train AS MATERIALIZED (
+  SELECT outer_fold, feature, sign(value) AS side, ln(1 + abs(value)) AS u FROM split_cells WHERE role = 'train'),
+halved AS (
+  SELECT outer_fold, feature, CAST(-64 AS DOUBLE) AS lo, CAST(64 AS DOUBLE) AS hi, 0 AS step FROM train GROUP BY 1, 2
+  UNION ALL
+  SELECT outer_fold, feature, CASE WHEN slope > 0 THEN mid ELSE lo END, CASE WHEN slope > 0 THEN hi ELSE mid END, step + 1
+  FROM (
+    SELECT outer_fold, feature, lo, hi, mid, step, avg(side * u) - covar_pop(t, dt) / var_pop(t) AS slope FROM (
+      SELECT *, CASE WHEN side < 0 THEN -({_GROWN}) ELSE {_GROWN} END AS t, {_SLOPE} AS dt FROM (
+        SELECT h.*, (lo + hi) / 2 AS mid, side, u, CASE WHEN side < 0 THEN 2 - (lo + hi) / 2 ELSE (lo + hi) / 2 END AS p
+        FROM halved h JOIN train t ON t.outer_fold = h.outer_fold AND t.feature = h.feature WHERE step < 48))
+    GROUP BY ALL)),
 lambdas AS MATERIALIZED (
-  SELECT outer_fold, feature, lam FROM (
-    SELECT *, row_number() OVER (PARTITION BY outer_fold, feature ORDER BY ll DESC, lam) AS place FROM likelihood)
-  WHERE place = 1)"""
+  SELECT outer_fold, feature, floor((lo + hi) / 2 * 1e4 + 0.5001) / 1e4 AS lam FROM halved WHERE step = 48)"""
 
 _MEASURES = (("quantity", "CAST(l_quantity AS BIGINT)"), ("price", pct("l_extendedprice")), ("discount", pct("l_discount")), ("tax", pct("l_tax")))
 ORDER_CELLS = (
@@ -255,13 +274,13 @@ def oracle_sql() -> dict[str, str]:
         " count(*) FILTER (WHERE role = 'valid') AS n_valid,"
         " count(*) FILTER (WHERE role = 'train') > count(*) FILTER (WHERE role = 'valid') AS train_larger,"
         " count(DISTINCT label) FILTER (WHERE role = 'train') = 2 AS both_classes FROM nested GROUP BY 1, 2",
-        "yeojohnson_lambda": f"WITH {LAMBDAS} SELECT outer_fold, feature, {q6('lam')} AS lambda FROM lambdas",
+        "yeojohnson_lambda": f"WITH RECURSIVE {LAMBDAS} SELECT outer_fold, feature, lam AS lambda, 'optimum' AS status FROM lambdas",
         "yeojohnson_grid": f"WITH {SPLIT_CELLS}, powered AS (SELECT outer_fold, feature, lam, {_yj('value', 'lam')} AS t"
         " FROM split_cells, (SELECT (-3.0::DOUBLE * (6 - i) + 3.0::DOUBLE * i) / 6 AS lam FROM range(7) g(i))"
         " WHERE role = 'train'), skews AS (SELECT outer_fold, feature, lam, abs(skewness(t)) AS s FROM powered GROUP BY 1, 2, 3)"
         f" SELECT outer_fold, feature, {q6('lam')} AS lambda FROM (SELECT *, row_number() OVER"
         " (PARTITION BY outer_fold, feature ORDER BY s, lam) AS place FROM skews) WHERE place = 1",
-        "yeojohnson_apply": f"WITH {LAMBDAS} SELECT outer_fold, role, sample_id, feature,"
+        "yeojohnson_apply": f"WITH RECURSIVE {LAMBDAS} SELECT outer_fold, role, sample_id, feature,"
         f" {q6(_yj('value', 'lam'))} AS value FROM split_cells JOIN lambdas USING (outer_fold, feature)",
         "standardize": f"WITH {SPLIT_CELLS}, moments AS (SELECT outer_fold, feature, avg(value) AS m, stddev_pop(value) AS s"
         " FROM split_cells WHERE role = 'train' GROUP BY 1, 2) SELECT outer_fold, role, sample_id, feature,"
