@@ -13,7 +13,10 @@ shards, into far fewer shards of the next level, until one shard is left.
 
 from __future__ import annotations
 
+import json
 import random
+import re
+import unicodedata
 from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from llm.common import F, UnitCache, chunks, free_name, stage, texts_of
+from llm.byte_bpe import byte_characters
+from llm.common import F, UnitCache, chunks, free_name, stage
 
 #: Pieces of a shard on average; hashes of different numbers deal them evenly.
 SHARD_PIECES = 4096
@@ -36,15 +40,69 @@ ELITE = 2
 LOOSE = 1 / 256
 
 
-@lru_cache(maxsize=2)
-def _words(definition: str) -> UnitCache:
-    import os
+#: Characters whose lower case and class are the same everywhere, and that no normal form changes: printable Latin, and white space.
+_PLAIN = "\t-\r -~\xa1-\u012f\u0131-\u024f"
+
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class WordCoder:
+    """Ids of whole texts by a tokenizer whose parts share no token, inside a task.
+
+    Where the tokenizer is one of lower case, a split by a pattern and word ends, texts of plain characters are split here; new parts
+    are encoded many in a row by the tokenizer's own model, and cut behind the tokens that end a word. All other texts go
+    word by word (ASCII white space in between) through the tokenizer itself. Both are kept, up to 500,000 each.
+    """
 
-    tokenizer = Tokenizer.from_str(definition)
-    return UnitCache(lambda new: [x.ids for x in tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)], 500_000)
+    def __init__(self, definition: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole = Tokenizer.from_str(definition)
+        spec = json.loads(definition)
+        steps = [[x["type"] for x in (spec[k] or {}).get(f"{k}s".replace("_", ""), [])] for k in ("normalizer", "pre_tokenizer")]
+        suffix = spec["model"].get("end_of_word_suffix") or ""
+        self.words = UnitCache(lambda new: [x.ids for x in self.whole.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)], 500_000)
+        self.plain = None
+        if suffix and steps == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and all(c + suffix in spec["model"]["vocab"] for c in byte_characters()):
+            pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            for kind in "LN":
+                members = "".join(re.escape(chr(c)) for c in range(33, 0x250) if unicodedata.category(chr(c))[0] == kind)
+                pattern = pattern.replace(f"\\p{{{kind}}}", members)
+            self.plain, self.split = re.compile(f"[{_PLAIN}]+").fullmatch, re.compile(pattern).findall
+            self.model = Tokenizer.from_str(definition)
+            self.model.normalizer = normalizers.Sequence([])
+            self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.ends = np.array([t.endswith(suffix) for t, _ in sorted(self.whole.get_vocab().items(), key=lambda x: x[1])])
+            self.parts = UnitCache(self._encode_parts, 500_000)
+
+    def _encode_parts(self, new: list[str], in_row: int = 500) -> list[bytes]:
+        out: list[bytes] = []
+        rows = [" ".join(new[k : k + in_row]) for k in range(0, len(new), in_row)]
+        for x in self.model.encode_batch_fast(rows, add_special_tokens=False):
+            ids = np.array(x.ids, "<u4")
+            data, at = ids.tobytes(), 0
+            for cut in (4 * np.flatnonzero(self.ends[ids]) + 4).tolist():
+                out.append(data[at:cut])
+                at = cut
+        return out
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each text, without an end token."""
+        # special tokens are matched in the raw text
+        plain = [k for k, t in enumerate(texts) if self.plain and self.plain(t) and "<|" not in t]
+        others = sorted(set(range(len(texts))).difference(plain))
+        out = [b""] * len(texts)
+        for k, ids in zip(plain, self.parts.ids_of([self.split(texts[k].lower()) for k in plain]) if plain else ()):
+            out[k] = ids
+        for k, ids in zip(others, self.words.ids_of([texts[k].encode().split() for k in others])):
+            out[k] = ids
+        return out
+
+
+@lru_cache(maxsize=2)
+def _coder(definition: str) -> WordCoder:
+    return WordCoder(definition)
 
 
 def token_pieces(docs: DataFrame, definition: str, end_id: int, size: int = 4096, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -60,10 +118,10 @@ def token_pieces(docs: DataFrame, definition: str, end_id: int, size: int = 4096
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _words(definition)
+        coder = _coder(definition)
         for batch in chunks(batches, "text"):
             out = []
-            found = cache.ids_of([t.split() for t in texts_of(batch.column("text"))])
+            found = coder.ids([t or "" for t in batch.column("text").to_pylist()])
             for doc_id, ids in zip(batch.column("id").to_pylist(), found):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * size)):
