@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from featwright.storage import stage
 
-__all__ = ["F", "UnitCache", "chunks", "free_name", "hashed_words", "mixed", "sampled_labels", "stage", "table", "texts_of", "units"]
+__all__ = ["F", "UnitCache", "byte_level_encoder", "chunks", "free_name", "hashed_words", "mixed", "sampled_labels", "stage", "table", "texts_of", "units"]
 
 #: Unicode white space, then what follows up to the next one. Tokens of the byte-level
 #: patterns never hold white space behind another character, so that a token starts
@@ -126,15 +126,43 @@ class UnitCache:
 
     def ids_of(self, texts: list[list[str]], at_once: int = 10_000) -> list[bytes]:
         """The ids of many texts; units that are new to any of them are encoded together, ``at_once`` a call."""
-        found = [list(map(self.known.get, units)) for units in texts]
-        new = list({u for units, ids in zip(texts, found) if None in ids for u, x in zip(units, ids) if x is None})
+        new = list(set().union(*texts).difference(self.known))
         for k in range(0, len(new), at_once):
             part = new[k : k + at_once]
-            self.known.update((u, array("I", x).tobytes()) for u, x in zip(part, self.encode(part)))
-        result = [b"".join(map(self.known.__getitem__, units) if None in ids else ids) for units, ids in zip(texts, found)]
+            self.known.update(zip(part, (x if isinstance(x, bytes) else array("I", x).tobytes() for x in self.encode(part))))
+        result = [b"".join(map(self.known.__getitem__, units)) for units in texts]
         for u in new:
             if len(u) > 64:
                 del self.known[u]
         if len(self.known) > self.size:
             self.known = dict(islice(self.known.items(), self.size // 2, None))
         return result
+
+
+def byte_level_encoder(tokenizer, sizes: np.ndarray) -> Callable[[list[str]], list[bytes]]:
+    """Ids of units by a byte-level tokenizer of the tokenizers library, many units in one text.
+
+    A token starts where a unit of white space and text starts, so that such units are encoded in a row, and
+    cut by the bytes of their tokens (``sizes`` by id). Others are encoded one by one.
+    """
+
+    def whole(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(new: list[str], in_row: int = 500) -> list[bytes]:
+        out = [b""] * len(new)
+        safe = [k for k, u in enumerate(new) if u[0] in " \n\r\t" and not u[-1].isspace()]
+        rows = [safe[k : k + in_row] for k in range(0, len(safe), in_row)]
+        for row, ids in zip(rows, whole(["".join([new[k] for k in row]) for row in rows])):
+            ends = np.cumsum([len(new[k].encode()) for k in row])
+            cuts = np.searchsorted(np.cumsum(sizes[ids]), ends) + 1
+            data, at = ids.tobytes(), 0
+            for k, cut in zip(row, (4 * cuts).tolist()):
+                out[k] = data[at:cut]
+                at = cut
+        single = sorted(set(range(len(new))).difference(safe))
+        for k, ids in zip(single, whole([new[k] for k in single])):
+            out[k] = ids.tobytes()
+        return out
+
+    return encode

@@ -15,16 +15,17 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from llm.byte_bpe import _field, byte_characters
-from llm.common import F, UnitCache, chunks, stage, units
+from llm.common import F, UnitCache, byte_level_encoder, chunks, stage, units
 
 #: Text bytes of a block.
 BLOCK_BYTES = 4_000_000
@@ -52,6 +53,32 @@ class Tokenizers:
             return cls(text.read(), model.read())
 
 
+def _checked(encode: Callable, spelled: list[bytes], sizes: np.ndarray) -> Callable[[list[str]], list[bytes]]:
+    """``encode`` with its ids as bytes; a unit that its tokens do not spell gets the id ``UNFAITHFUL``."""
+
+    def checked(new: list[str]) -> list[bytes]:
+        coded = encode(new)
+        if coded and not isinstance(coded[0], bytes):
+            flat = np.fromiter(chain.from_iterable(coded), np.uint32)
+            counts = np.array([len(x) for x in coded])
+        else:
+            flat = np.frombuffer(b"".join(coded), "<u4")
+            counts = np.array([len(x) // 4 for x in coded])
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        data, cuts = flat.astype("<u4").tobytes(), (4 * bounds).tolist()
+        out = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+        wanted = [u.encode() for u in new]
+        lengths = np.diff(np.concatenate([[0], np.cumsum(sizes[flat])])[bounds])
+        words = list(map(spelled.__getitem__, flat.tolist()))
+        # with equal lengths, equal bytes of all units are equal bytes of each
+        if [*map(len, wanted)] == lengths.tolist() and b"".join(words) == b"".join(wanted):
+            return out
+        bad = np.uint32(UNFAITHFUL).astype("<u4").tobytes()
+        return [x if b"".join(words[a:b]) == w else bad for x, w, a, b in zip(out, wanted, bounds, bounds[1:])]
+
+    return checked
+
+
 class Coder:
     """Both tokenizers inside a task: ids of texts, and the bytes of ids."""
 
@@ -82,21 +109,14 @@ class Coder:
             if "\n" in piece or "▁" in piece.lstrip("▁"):
                 raise ValueError(f"piece {i} holds a space behind a character, or a line feed")
             self.second_bytes.append(piece.replace("▁", " ").encode())
-        self.first = UnitCache(self._faithful(lambda new: [x.ids for x in first.encode_batch_fast(new, add_special_tokens=False)], self.first_bytes), KEPT_UNITS)
-        self.second = UnitCache(self._faithful(lambda new: second.encode(new, num_threads=1), self.second_bytes), KEPT_UNITS)
-        self.second_units = re.compile("\n| *[^ \n]+| +").findall
         self.first_sizes = np.array([len(b) for b in self.first_bytes], np.int64)
         self.second_sizes = np.array([len(b) for b in self.second_bytes], np.int64)
+        self.first = UnitCache(_checked(byte_level_encoder(first, self.first_sizes), self.first_bytes, self.first_sizes), KEPT_UNITS)
+        self.second = UnitCache(_checked(lambda new: second.encode(new, num_threads=1), self.second_bytes, self.second_sizes), KEPT_UNITS)
+        self.second_units = re.compile("\n| *[^ \n]+| +").findall
         # decimal ids with what follows them: the next of the group, or the end of the group's list
         self.printed = [f"{i}{c}" for i in range(len(self.first_bytes)) for c in ",|"] + [f"{i}{c}" for i in range(len(self.second_bytes)) for c in ",;"]
 
-    @staticmethod
-    def _faithful(encode, spelled):
-        def checked(new: list[str]) -> list[list[int]]:
-            return [x if b"".join(map(spelled.__getitem__, x)) == u.encode() else [UNFAITHFUL] for u, x in zip(new, encode(new))]
-
-        return checked
-
     def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of a space and each text by both; none where the text is empty or one of them does not spell it."""
         spaced = [" " + t for t in texts]
