@@ -1,264 +1,383 @@
 """Elections over strict ballots: ``ballots(election_id, method, feature, feature_ord, rk)``, 1 = best.
 
-All ties go to the lower ``feature_ord``. Every election first cuts its ballots,
-exactly, to what can still matter for the next winners, so that a task holds a
-number of candidates set by ``top_k`` or ``block`` and the voters, not by the
-size of the election. ``top_k=None`` ranks all candidates, block by block.
+Every election ranks all its candidates: the winner gets the next place and leaves,
+and the election is held again. All ties go to the lower ``feature_ord``. A candidate that a ballot does not name is
+last on it, after those it names, in order of ``feature_ord``.
+
+A candidate is one row with its position on every ballot. Places are dealt out in blocks: which
+candidates can win one of the next ``block`` places is read off the positions, exactly, and only those
+meet in a task (at most ``block`` times the voters and one). Then the winners' positions are taken out
+of all others', in chunks of candidates. There is one way for every size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featwright.functions.ranks import strict_positions, with_ranks
+from featwright.functions.ranks import strict_positions, value_ranks
 from featwright.storage import stage
 
-_PLACES = "election_id string, feature string, place int"
 _VOTER = ["election_id", "method"]
-_CANDIDATE = ["election_id", "feature", "feature_ord"]
+_CANDIDATE = "election_id string, feature string, feature_ord bigint, positions array<int>"
+_WON = f"{_CANDIDATE}, place int"
+#: Candidates whose positions one task lowers at once.
+CHUNK = 100_000
 
 
-def _matrix(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions (candidates × voters), in ``feature_ord`` order, with names and numbers."""
-    wide = group.pivot(index=["feature_ord", "feature"], columns="method", values="rk").sort_index()
-    names = wide.index.get_level_values("feature").to_numpy()
-    return wide.to_numpy(dtype="int64"), names, wide.index.get_level_values("feature_ord").to_numpy()
+def candidates(ballots: DataFrame) -> DataFrame:
+    """One row per candidate: its positions on the ballots of its election, in order of the voters' names, without gaps; stored.
 
+    ``ballots`` must be stored. A voter who names a candidate twice means the better place.
+    """
+    once = ballots.groupBy(*_VOTER, "feature", "feature_ord").agg((-F.min("rk")).alias("_back"))
+    ranked = strict_positions(stage(once), _VOTER, "_back", "feature_ord")
+    voters = ranked.groupBy("election_id").agg(F.sort_array(F.collect_set("method")).alias("_voters"))
+    entries = F.collect_list(F.struct("method", F.col("rk").cast("int").alias("rk"))).alias("_entries")
+    rows = ranked.groupBy("election_id", "feature", "feature_ord").agg(entries).join(voters, "election_id")
+    named = F.transform("_voters", lambda v: F.get(F.filter("_entries", lambda e: e["method"] == v), F.lit(0))["rk"])
+    rows = stage(rows.select("election_id", "feature", "feature_ord", named.alias("positions")))
+    holes = rows.select("election_id", "feature_ord", F.posexplode("positions").alias("voter", "rk"))
+    counted = holes.groupBy("election_id", "voter").agg(F.count("rk").alias("_named"))
+    behind = value_ranks(holes.where("rk IS NULL"), ["election_id", "voter"], "feature_ord").join(counted, ["election_id", "voter"])
+    position = (F.col("_named") + F.col("n_less") + 1).cast("int")
+    filled = behind.groupBy("election_id", "feature_ord").agg(
+        F.map_from_entries(F.collect_list(F.struct("voter", position.alias("rk")))).alias("_filled")
+    )
+    whole = F.transform("positions", lambda p, v: F.coalesce(p, F.col("_filled")[v]))
+    return stage(rows.join(filled, ["election_id", "feature_ord"], "left").select("election_id", "feature", "feature_ord", whole.alias("positions")))
 
-def _votes(choices: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(choices, minlength=n)
 
+def _positions(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray]:
+    """The candidates in order of ``feature_ord`` and their positions, candidates × voters."""
+    group = group.sort_values("feature_ord", ignore_index=True)[["election_id", "feature", "feature_ord", "positions"]]
+    return group, np.stack(group.positions.to_numpy()).astype(np.int64)
 
-# ---- instant runoff --------------------------------------------------------
 
+def _without(positions: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Positions once the candidates at the positions ``gone`` have left."""
+    out = positions.copy()
+    for voter in range(positions.shape[1]):
+        out[:, voter] -= np.searchsorted(np.sort(gone[:, voter]), positions[:, voter])
+    return out
 
-def _runoff_winner(positions: np.ndarray, pool: np.ndarray, together: bool) -> int:
-    """Index of the winner among ``pool``; lower indexes win ties."""
-    # whoever is nobody's first choice leaves before all others
-    alive = np.unique(pool[positions[pool].argmin(axis=0)])
-    while len(alive) > 1:
-        votes = _votes(positions[alive].argmin(axis=0), len(alive))
-        if votes.max() * 2 > positions.shape[1]:
-            return alive[votes.argmax()]
-        last = votes == votes.min()
-        if together:
-            if last.all():
-                return alive[0]
-            alive = alive[~last]
-        else:
-            alive = np.delete(alive, np.flatnonzero(last)[-1])
-    return alive[0]
-
-
-def _runoff_places(together: bool, n_places: int, first: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        positions, names, _ = _matrix(group)
-        pool = np.arange(len(names))
-        rows = []
-        for place in range(first, first + min(n_places, len(names))):
-            winner = _runoff_winner(positions, pool, together)
-            rows.append((group.election_id.iloc[0], names[winner], place))
-            pool = pool[pool != winner]
-        return pd.DataFrame(rows, columns=["election_id", "feature", "place"])
 
-    return run
+def _shrunken(left: DataFrame, gone: DataFrame, largest: int) -> DataFrame:
+    """``left`` without the candidates ``gone``, its positions lowered by those of them in front; stored."""
+    chunks = -(-largest // CHUNK)
 
+    def lower(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        ours = ours[~ours.feature_ord.isin(theirs.feature_ord)]
+        if len(ours) and len(theirs):
+            new = _without(np.stack(ours.positions.to_numpy()), np.stack(theirs.positions.to_numpy()))
+            ours = ours.assign(positions=list(new))
+        return ours[["election_id", "feature", "feature_ord", "positions"]]
 
-def _front(ballots: DataFrame, depth: int) -> DataFrame:
-    """All positions of the candidates that some voter has among the first ``depth``.
-
-    The first choice of a voter, when ``i`` winners are gone, is among the first
-    ``i + 1``; nobody else gets a vote. At most depth × voters candidates remain.
-    """
-    near = ballots.where(F.col("rk") <= depth).select("election_id", "feature").distinct()
-    return ballots.join(near, ["election_id", "feature"], "left_semi")
+    dealt = left.withColumn("_chunk", F.pmod(F.xxhash64("feature_ord"), F.lit(chunks)).cast("int"))
+    # named anew: both sides may come from one table
+    own = [F.col(c).alias(c) for c in ("election_id", "feature_ord", "positions")]
+    copies = gone.select(*own, F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"))
+    by = ["election_id", "_chunk"]
+    return stage(dealt.groupBy(*by).cogroup(copies.groupBy(*by)).applyInPandas(lower, _CANDIDATE))
 
 
-def _renumbered(ballots: DataFrame) -> DataFrame:
-    """Positions among the candidates that are left; ``ballots`` must be stored."""
-    return strict_positions(
-        ballots.withColumn("_back", -F.col("rk")).drop("rk"), _VOTER, "_back", "feature_ord"
-    ).drop("_back")
+def _largest(pool: DataFrame) -> int:
+    return pool.groupBy("election_id").count().agg(F.max("count")).first()[0] or 0
 
 
-def _ranking(ballots: DataFrame, top_k: int | None, block: int, together: bool) -> DataFrame:
-    if top_k is not None and top_k <= block:
-        return _front(ballots, top_k).groupBy("election_id").applyInPandas(
-            _runoff_places(together, top_k, 1), _PLACES
-        )
-    places: DataFrame | None = None
-    left, first = ballots, 1
-    while top_k is None or first <= top_k:
-        count = block if top_k is None else min(block, top_k - first + 1)
-        found = stage(
-            _front(left, count).groupBy("election_id").applyInPandas(_runoff_places(together, count, first), _PLACES)
-        )
-        places = found if places is None else places.unionByName(found)
-        left = stage(left.join(found, ["election_id", "feature"], "left_anti"))
-        if left.isEmpty():
-            break
-        left = stage(_renumbered(left))
-        first += count
-    return places
+def _ranking(ballots: DataFrame, block: int, pool_of: Callable[[DataFrame], DataFrame], winners: Callable[[np.ndarray], Iterator[int]]) -> DataFrame:
+    """Places block by block. ``winners`` yields the next winner's row among a block's candidates, again and again."""
 
+    def places(first: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            group, positions = _positions(group)
+            order = list(islice(winners(positions), block))
+            return group.iloc[order].assign(place=range(first, first + len(order)))
 
-def elect_instant_runoff(ballots: DataFrame, top_k: int | None = 20, block: int = 1000) -> DataFrame:
-    """Rank by repeated instant runoff; the one lowest candidate leaves in each round."""
-    return _ranking(ballots, top_k, block, together=False)
+        return run
 
+    left = candidates(ballots)
+    size, first, found = _largest(left), 1, []
+    while size > 0:
+        won = stage(pool_of(left).groupBy("election_id").applyInPandas(places(first), _WON))
+        found.append(won.select("election_id", "feature", "place"))
+        size, first = size - block, first + block
+        if size > 0:
+            left = _shrunken(left, won, size + block)
+    return reduce(DataFrame.unionAll, found) if found else left.select("election_id", "feature", F.lit(0).alias("place"))
 
-def elect_instant_runoff_simultaneous(ballots: DataFrame, top_k: int | None = 20, block: int = 1000) -> DataFrame:
-    """Rank by repeated instant runoff; all lowest candidates leave together."""
-    return _ranking(ballots, top_k, block, together=True)
 
+# ---- instant runoff --------------------------------------------------------
 
-# ---- Coombs ----------------------------------------------------------------
 
+def _runoff(choices: list[list[int]], pool: list[int], together: bool) -> int:
+    """The winner among ``pool``, who are all somebody's first choice; ``choices`` are their positions by voter."""
+    alive = list(range(len(pool)))
+    head = [min(alive, key=own.__getitem__) for own in choices]
+    while True:
+        votes = Counter(head)
+        most = max(votes.values())
+        if 2 * most > len(head) or len(alive) == 1:
+            return pool[min(c for c in alive if votes[c] == most)]
+        least = min(votes[c] for c in alive)
+        last = [c for c in alive if votes[c] == least]
+        if together and len(last) == len(alive):
+            return pool[alive[0]]
+        leaving = set(last) if together else {last[-1]}
+        alive = [c for c in alive if c not in leaving]
+        # only the ballots of those who leave move on
+        head = [min(alive, key=choices[v].__getitem__) if c in leaving else c for v, c in enumerate(head)]
+
+
+def _runoff_winners(together: bool) -> Callable[[np.ndarray], Iterator[int]]:
+    """Each ballot keeps a pointer to its first candidate that is left; nobody else gets a vote.
+
+    Whoever is nobody's first choice leaves before all others, so that an election is one among the heads.
+    """
 
-def _coombs_steps(positions: np.ndarray, alive: np.ndarray, steps: int) -> tuple[int | None, list[int]]:
-    """Up to ``steps`` eliminations of whoever is last most often; stops at a majority of first choices."""
-    out: list[int] = []
-    for _ in range(steps):
-        votes = _votes(positions[alive].argmin(axis=0), len(alive))
-        if votes.max() * 2 > positions.shape[1] or len(alive) == 1:
-            return alive[votes.argmax()], out
-        lasts = _votes(positions[alive].argmax(axis=0), len(alive))
-        loser = np.flatnonzero(lasts == lasts.max())[-1]
-        out.append(alive[loser])
-        alive = np.delete(alive, loser)
-    return None, out
-
-
-def _coombs_whole(top_k: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        positions, names, _ = _matrix(group)
-        pool = np.arange(len(names))
-        rows = []
-        for place in range(1, min(top_k or len(names), len(names)) + 1):
-            winner, _ = _coombs_steps(positions, pool, len(pool) + 1)
-            rows.append((group.election_id.iloc[0], names[winner], place))
-            pool = pool[pool != winner]
-        return pd.DataFrame(rows, columns=["election_id", "feature", "place"])
+    def run(positions: np.ndarray) -> Iterator[int]:
+        ballots = [positions[:, v].argsort().tolist() for v in range(positions.shape[1])]
+        rows = positions.tolist()
+        gone = [False] * len(rows)
+        pointer = [0] * len(ballots)
+        for _ in rows:
+            pool = sorted({ballot[p] for ballot, p in zip(ballots, pointer)})
+            winner = _runoff([[rows[c][v] for c in pool] for v in range(len(ballots))], pool, together)
+            gone[winner] = True
+            yield winner
+            for v, ballot in enumerate(ballots):
+                while pointer[v] < len(ballot) and gone[ballot[pointer[v]]]:
+                    pointer[v] += 1
 
     return run
 
 
-_OUTCOME = "election_id string, feature string, won boolean"
+def _fronts(block: int) -> Callable[[DataFrame], DataFrame]:
+    """Candidates that some voter has among the first ``block``: a head is among the first i + 1 when i are gone."""
+    return lambda left: left.where(F.array_min("positions") <= block)
 
 
-def _coombs_block(block: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        positions, names, _ = _matrix(group)
-        winner, out = _coombs_steps(positions, np.arange(len(names)), block)
-        election = group.election_id.iloc[0]
-        # the losers of a decided round come back for the next place
-        rows = [(election, names[winner], True)] if winner is not None else [(election, names[i], False) for i in out]
-        return pd.DataFrame(rows, columns=["election_id", "feature", "won"])
+def elect_instant_runoff(ballots: DataFrame, block: int = 50_000) -> DataFrame:
+    """Rank all by repeated instant runoff; the one lowest candidate leaves in each round."""
+    return _ranking(ballots, block, _fronts(block), _runoff_winners(together=False))
 
-    return run
 
+def elect_instant_runoff_simultaneous(ballots: DataFrame, block: int = 50_000) -> DataFrame:
+    """Rank all by repeated instant runoff; all lowest candidates leave together."""
+    return _ranking(ballots, block, _fronts(block), _runoff_winners(together=True))
 
-def _both_ends(ballots: DataFrame, depth: int) -> DataFrame:
-    """All positions of the candidates among the first or last ``depth`` of some voter.
 
-    So many eliminations cannot reach past either end.
-    """
-    sizes = ballots.groupBy("election_id").agg(F.max("rk").alias("_n"))
-    sized = ballots.join(stage(sizes), "election_id")
-    ends = sized.where((F.col("rk") <= depth) | (F.col("rk") > F.col("_n") - depth))
-    return ballots.join(ends.select("election_id", "feature").distinct(), ["election_id", "feature"], "left_semi")
-
-
-def elect_coombs(ballots: DataFrame, top_k: int | None = 20, block: int = 1000) -> DataFrame:
-    """Rank by repeated Coombs elections.
+# ---- Bucklin ---------------------------------------------------------------
 
-    Each elimination depends on the one before, so a large election runs in jobs
-    of ``block`` eliminations, each on the ends of the ballots only.
+_SWEEP = 64  # places between two looks at all candidates of a block
+
+
+def _levels(positions: np.ndarray) -> np.ndarray:
+    """The depth at which each candidate has a majority: an order statistic of its positions."""
+    half = positions.shape[1] // 2
+    return np.partition(positions, half, axis=1)[:, half]
+
+
+def _bucklin_winners(positions: np.ndarray) -> Iterator[int]:
+    """Sweeps: when j are gone a level is at most j lower, so that few candidates can win one of the next places."""
+    rows = np.arange(len(positions))
+    while len(rows):
+        levels = _levels(positions)
+        n = min(_SWEEP, len(rows))
+        near = np.flatnonzero(levels <= np.partition(levels, n - 1)[n - 1] + n - 1)
+        own, left = positions[near], near
+        taken = []
+        for _ in range(n):
+            level = _levels(own)
+            votes = (own <= level[:, None]).sum(axis=1)
+            # rows are in order of feature_ord, the first of equals wins
+            best = int((level * (own.shape[1] + 1) - votes).argmin())
+            yield int(rows[left[best]])
+            taken.append(left[best])
+            own = np.delete(own - (own > own[best]), best, axis=0)
+            left = np.delete(left, best)
+        gone = positions[taken]
+        positions = np.delete(_without(positions, gone), taken, axis=0)
+        rows = np.delete(rows, taken)
+
+
+def elect_bucklin(ballots: DataFrame, block: int = 20_000) -> DataFrame:
+    """Rank all by repeated Bucklin elections: smallest depth with a majority, most votes at it.
+
+    A candidate that wins one of the next k places has a depth of at most k - 1 more than the k-th
+    smallest. A depth is the position of a candidate on some ballot, so that at most a few voters' worth share one.
     """
-    largest = ballots.agg(F.max("rk")).first()[0] or 0
-    if largest <= block:
-        return ballots.groupBy("election_id").applyInPandas(_coombs_whole(top_k), _PLACES)
-    pool = ballots.select(*_VOTER, "feature", "feature_ord", "rk")
-    left = pool
-    winners = None
-    counts: DataFrame | None = None
-    while not left.isEmpty():
-        outcome = stage(_both_ends(left, block + 1).groupBy("election_id").applyInPandas(_coombs_block(block), _OUTCOME))
-        won = outcome.where("won")
-        earlier = counts if counts is not None else won.select("election_id", F.lit(0).alias("_n")).limit(0)
-        placed = won.join(earlier, "election_id", "left").select(
-            "election_id", "feature", (F.coalesce("_n", F.lit(0)) + 1).cast("int").alias("place")
-        )
-        winners = stage(placed if winners is None else winners.unionByName(placed))
-        counts = winners.groupBy("election_id").agg(F.count("*").alias("_n"))
-        # elections with a new winner start again without it, the others go on
-        pool = stage(pool.join(won, ["election_id", "feature"], "left_anti"))
-        if top_k is not None:
-            pool = stage(pool.join(counts.where(F.col("_n") >= top_k), "election_id", "left_anti"))
-        again = pool.join(won.select("election_id"), "election_id", "left_semi")
-        on = left.join(won.select("election_id"), "election_id", "left_anti").join(
-            outcome, ["election_id", "feature"], "left_anti"
-        )
-        left = stage(on.unionByName(again))
-        left = stage(_renumbered(left))
-    return winners
 
+    def near(left: DataFrame) -> DataFrame:
+        middle = F.floor(F.size("positions") / 2).cast("int")
+        levelled = stage(left.withColumn("_level", F.get(F.array_sort("positions"), middle)))
+        ranks = value_ranks(levelled.select("election_id", "_level"), ["election_id"], "_level")
+        bound = ranks.where(F.col("n_less") < block).groupBy("election_id").agg((F.max("_level") + block - 1).alias("_bound"))
+        return levelled.join(bound, "election_id").where("_level <= _bound").drop("_level", "_bound")
 
-# ---- Bucklin ---------------------------------------------------------------
+    return _ranking(ballots, block, near, _bucklin_winners)
 
 
-def _levels(candidates: DataFrame, positions) -> DataFrame:
-    """The depth at which a candidate has a majority, and its votes there."""
-    majority = F.floor(F.size(positions) / 2).cast("int")
-    with_level = candidates.withColumn("_now", positions).withColumn(
-        "level", F.get(F.array_sort("_now"), majority)
-    )
-    return with_level.withColumn("votes", F.size(F.filter("_now", lambda p: p <= F.col("level")))).drop("_now")
+# ---- Coombs ----------------------------------------------------------------
 
 
-def elect_bucklin(ballots: DataFrame, top_k: int = 20) -> DataFrame:
-    """Rank by repeated Bucklin elections: smallest depth with a majority, most votes at it.
+class _Eliminations:
+    """The log of a Coombs election's eliminations, kept from place to place.
 
-    One aggregate per place. When ``i`` winners are gone a depth is at most ``i``
-    lower than at the start, so only candidates up to the k-th smallest depth
-    plus ``k - 1`` can be among the first k.
+    Who leaves depends on the last places only. So when a winner is taken out, the log stays right up to
+    the time when that winner first stood last on a ballot: only what follows is undone and held again.
     """
-    positions = F.array_sort(F.collect_list(F.struct("method", "rk")))
-    candidates = ballots.groupBy(*_CANDIDATE).agg(positions.getField("rk").alias("positions"))
-    scored = stage(_levels(candidates, F.col("positions")))
-    bound = (
-        with_ranks(scored.select("election_id", "level"), ["election_id"], "level")
-        .where(F.col("n_less") < top_k)
-        .groupBy("election_id")
-        .agg((F.max("level") + top_k - 1).alias("_bound"))
-    )
-    near = stage(
-        scored.join(bound, "election_id").where("level <= _bound").select(*_CANDIDATE, "positions")
-    )
-    winners: DataFrame | None = None
-    for place in range(1, top_k + 1):
-        current = F.col("positions")
-        pool = near
-        if winners is not None:
-            gone = winners.groupBy("election_id").agg(
-                F.collect_list("positions").alias("_gone"), F.collect_list("feature").alias("_names")
-            )
-            # an election without candidates left has no row here and drops out
-            pool = near.join(gone, "election_id").where(~F.array_contains("_names", F.col("feature")))
-            current = F.transform(
-                "positions",
-                lambda p, voter: p - F.size(F.filter("_gone", lambda g: F.get(g, voter) < p)),
-            )
-        best = F.min(F.struct("level", (-F.col("votes")).alias("_votes"), "feature_ord", "feature", "positions"))
-        found = stage(
-            _levels(pool, current).groupBy("election_id").agg(best.alias("_best")).select(
-                "election_id", "_best.feature", "_best.positions", F.lit(place).alias("place")
-            )
+
+    def __init__(self, positions: np.ndarray):
+        n, voters = positions.shape
+        self.ballots = [positions[:, v].argsort().tolist() for v in range(voters)]
+        self.place = [np.argsort(ballot).tolist() for ballot in self.ballots]
+        self.gone = [False] * n
+        self.never = n + 1
+        self.out = [self.never] * n  # number of the elimination, if any
+        self.log: list[int] = []
+        self.tail = [n - 1] * voters
+        self.head = [0] * voters
+        self.stood: dict[int, int] = {}  # eliminations before a candidate first stood last
+        self.order: list[int] = []
+        self._note()
+
+    def _note(self) -> None:
+        """Move the tails to candidates that are left."""
+        for v, ballot in enumerate(self.ballots):
+            k = self.tail[v]
+            while k >= 0 and (self.gone[ballot[k]] or self.out[ballot[k]] < self.never):
+                k -= 1
+            self.tail[v] = k
+            if k >= 0 and ballot[k] not in self.stood:
+                self.stood[ballot[k]] = len(self.log)
+                self.order.append(ballot[k])
+
+    def eliminate(self) -> None:
+        """Whoever is last most often leaves; among equals the one with the highest number."""
+        lasts = Counter(ballot[k] for ballot, k in zip(self.ballots, self.tail))
+        loser = max(lasts, key=lambda c: (lasts[c], c))
+        self.log.append(loser)
+        self.out[loser] = len(self.log)
+        self._note()
+
+    def winner(self) -> int:
+        """Follow the first choices through the log, and prolong it until one of them has a majority."""
+        at = list(self.head)
+        heads = [ballot[k] for ballot, k in zip(self.ballots, at)]
+        while True:
+            leader, votes = Counter(heads).most_common(1)[0]
+            if 2 * votes > len(heads):
+                return leader
+            time = min(self.out[c] for c in heads)
+            while time == self.never:
+                self.eliminate()
+                time = min(self.out[c] for c in heads)
+            for v, ballot in enumerate(self.ballots):
+                k = at[v]
+                while self.gone[ballot[k]] or self.out[ballot[k]] <= time:
+                    k += 1
+                at[v], heads[v] = k, ballot[k]
+
+    def take_out(self, winner: int) -> None:
+        self.gone[winner] = True
+        since = self.stood.get(winner)
+        if since is not None:
+            undone = self.log[since:]
+            del self.log[since:]
+            for c in undone:
+                self.out[c] = self.never
+            for v, place in enumerate(self.place):
+                self.tail[v] = max([self.tail[v], *(place[c] for c in undone)])
+            while self.order and self.stood[self.order[-1]] > since:
+                del self.stood[self.order.pop()]
+            self._note()
+        for v, ballot in enumerate(self.ballots):
+            while self.head[v] < len(ballot) and self.gone[ballot[self.head[v]]]:
+                self.head[v] += 1
+
+
+def _coombs_winners(positions: np.ndarray) -> Iterator[int]:
+    election = _Eliminations(positions)
+    for _ in range(len(positions)):
+        winner = election.winner()
+        yield winner
+        election.take_out(winner)
+
+
+def _coombs_steps(positions: np.ndarray, steps: int) -> tuple[int | None, list[int]]:
+    """The winner, or the first ``steps`` eliminations if there is none so far."""
+    election = _Eliminations(positions)
+    head = list(election.head)
+    for _ in range(steps + 1):
+        heads = []
+        for v, ballot in enumerate(election.ballots):
+            while election.out[ballot[head[v]]] < election.never:
+                head[v] += 1
+            heads.append(ballot[head[v]])
+        leader, votes = Counter(heads).most_common(1)[0]
+        if 2 * votes > len(heads):
+            return leader, election.log
+        if len(election.log) < steps:
+            election.eliminate()
+    return None, election.log
+
+
+def elect_coombs(ballots: DataFrame, block: int = 100_000) -> DataFrame:
+    """Rank all by repeated Coombs elections: a majority of first places wins, else whoever is last most often leaves.
+
+    An election of up to ``block`` candidates is held in one task from its first place to its last. In a larger one a job
+    makes up to ``block`` eliminations on both ends of the ballots, which no more of them can reach past, until a
+    majority; the winner leaves for good, the eliminated come back, and so on until ``block`` candidates are left.
+    """
+    pool = candidates(ballots)
+    running = pool
+    found: DataFrame | None = None
+    while True:
+        sizes = pool.groupBy("election_id").agg(F.count("*").alias("_whole"))
+        alive = running.groupBy("election_id").agg(F.count("*").alias("_left"))
+        counts = stage(sizes.join(alive, "election_id"))
+        largest = counts.agg(F.max("_whole")).first()[0]
+        if not largest:
+            break
+        ends = (F.array_min("positions") <= block + 1) | (F.array_max("positions") > F.col("_left") - block - 1)
+
+        def hold(group: pd.DataFrame) -> pd.DataFrame:
+            whole = int(group._whole.iloc[0])
+            group, positions = _positions(group)
+            if whole <= block and whole == len(group):
+                order = list(_coombs_winners(positions))
+                return group.iloc[order].assign(place=range(1, whole + 1))
+            winner, out = _coombs_steps(positions, block)
+            # 0: eliminated for now, -1: the winner
+            return group.iloc[out].assign(place=0) if winner is None else group.iloc[[winner]].assign(place=-1)
+
+        near = running.join(counts, "election_id").where(ends)
+        outcome = stage(near.groupBy("election_id").applyInPandas(hold, _WON))
+        before = F.lit(0)
+        ranked = outcome.where("place <> 0")
+        if found is not None:
+            taken = found.groupBy("election_id").agg(F.count("*").alias("_taken"))
+            ranked, before = ranked.join(taken, "election_id", "left"), F.coalesce("_taken", F.lit(0))
+        placed = ranked.select("election_id", "feature", "feature_ord", (F.abs("place") + before).cast("int").alias("place"))
+        found = stage(placed if found is None else found.unionAll(placed))
+        if largest <= block:
+            unfinished = outcome.where("place <= 0")
+            if unfinished.isEmpty():
+                break
+        # winners leave the pool; a decided election starts again with all that are left in it
+        pool_gone = pool.join(found.select("election_id", "feature_ord"), ["election_id", "feature_ord"], "left_semi")
+        new_pool = _shrunken(pool, pool_gone, largest)
+        decided = outcome.where("place <> 0").select("election_id").distinct()
+        going_on = running.join(decided, "election_id", "left_anti")
+        pool, running = new_pool, stage(
+            _shrunken(going_on, outcome.where("place = 0"), largest).unionAll(new_pool.join(decided, "election_id", "left_semi"))
         )
-        winners = found if winners is None else winners.unionByName(found)
-    return winners.select("election_id", "feature", "place")
+    return found.select("election_id", "feature", "place") if found is not None else pool.select("election_id", "feature", F.lit(0).alias("place"))

@@ -91,7 +91,7 @@ def _slopes(cells: DataFrame, wanted: DataFrame, group: list[str], fold: str) ->
     """For points ``(group…, fold, feature, lambda)``: ``n``, ``mean``, ``var`` after the transform, and ``slope``.
 
     ``slope`` is the derivative of the log-likelihood over the other folds, per value; infinite, towards 1, where
-    the transform leaves the range of doubles. A cell is transformed once for each different exponent of its feature.
+    doubles cannot hold the transform or tell its values apart. A cell is transformed once for each different exponent of its feature.
     """
     of = [*group, "feature"]
     points = wanted.groupBy(*of).agg(F.array_sort(F.collect_set("lambda")).alias("_points"))  # a few per fold
@@ -125,7 +125,8 @@ def _slopes(cells: DataFrame, wanted: DataFrame, group: list[str], fold: str) ->
     spread = F.when(F.col("var") > 1e-24 * off * off, F.col("var")).otherwise(F.when(F.isnan("var"), F.col("var")).otherwise(0.0))
     merged = merged.withColumn("var", spread)
     slope = mean(lambda p: p["log"]) - F.col("_cov") / F.nullif("var", F.lit(0.0))
-    lost = slope.isNull() | F.isnan(slope) | (F.abs(slope) == float("inf"))
+    # with a spread near the rounding of the values the slope is noise
+    lost = slope.isNull() | F.isnan(slope) | (F.abs(slope) == float("inf")) | (F.col("var") <= 1e-12 * off * off)
     towards_one = F.when(F.col("lambda") < 1, float("inf")).otherwise(float("-inf"))
     return merged.withColumn("slope", F.when(lost, towards_one).otherwise(slope)).select(*wanted.columns, "n", "mean", "var", "slope")
 

@@ -1,4 +1,4 @@
-"""Elections per brand: the first places, each with its SQL twin."""
+"""Elections per brand: the places of all parts, each with its SQL twin."""
 
 from __future__ import annotations
 
@@ -8,13 +8,11 @@ from featwright.operators import elections as V
 from workload import inputs
 from workload.score_queries import BALLOTS
 
-TOP_K = 5  # places reported
-
 
 def _query(elect):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ballots = inputs.ballots(inputs.brand_votes(spark, sf_dir))
-        return elect(ballots, top_k=TOP_K)
+        return elect(ballots)
 
     return run
 
@@ -46,11 +44,9 @@ def _count(of: str, choices: str) -> str:
 def _finish(state: str) -> str:
     names = "(SELECT DISTINCT election_id, feature, feature_ord FROM ballots) n"
     return (
-        f" SELECT s.election_id, n.feature, CAST(w.place AS INTEGER) AS place FROM {state} s,"
-        f" (SELECT unnest(range(1, {TOP_K + 1})) AS place) w"
-        f" JOIN {names} ON n.election_id = s.election_id AND n.feature_ord = s.winners[w.place]"
-        " JOIN papers p ON p.election_id = s.election_id"
-        f" WHERE len(s.winners) = least({TOP_K}, len(p.papers[1]))"
+        " SELECT s.election_id, n.feature, s.place FROM (SELECT r.election_id, unnest(winners) AS feature_ord,"
+        f" CAST(generate_subscripts(winners, 1) AS INTEGER) AS place FROM {state} r JOIN papers USING (election_id)"
+        f" WHERE len(winners) = len(papers[1])) s JOIN {names} USING (election_id, feature_ord)"
     )
 
 
@@ -75,7 +71,7 @@ rounds AS (
   FROM (SELECT *, list_transform(heads, lambda t: {_count('t', 'heads')}) AS counts FROM (
     SELECT r.election_id, winners, list_transform(papers, lambda p: list_filter(p, lambda x:
              CASE WHEN alive IS NULL THEN NOT list_contains(winners, x) ELSE list_contains(alive, x) END)[1]) AS heads
-    FROM rounds r JOIN papers USING (election_id) WHERE len(winners) < least({TOP_K}, len(papers[1]))))
+    FROM rounds r JOIN papers USING (election_id) WHERE len(winners) < len(papers[1])))
 )""" + _finish("rounds")
 
 
@@ -96,34 +92,26 @@ rounds AS (
            list_transform(remaining, lambda p: p[len(p)]) AS tails
     FROM (SELECT r.election_id, winners, outs, list_transform(papers, lambda p: list_filter(p, lambda x:
             NOT list_contains(winners, x) AND NOT list_contains(outs, x))) AS remaining
-          FROM rounds r JOIN papers USING (election_id) WHERE len(winners) < least({TOP_K}, len(papers[1])))))
+          FROM rounds r JOIN papers USING (election_id) WHERE len(winners) < len(papers[1]))))
 )""" + _finish("rounds")
 
 
 def _bucklin_sql() -> str:
-    parts = ["WITH " + BALLOTS]
-    winners = []
-    for place in range(1, TOP_K + 1):
-        gone = " AND ".join(f"(election_id, feature) NOT IN (SELECT election_id, feature FROM win{i})" for i in winners)
-        parts.append(
-            f""",
-pos{place} AS (
-  SELECT election_id, feature, feature_ord,
-         row_number() OVER (PARTITION BY election_id, method ORDER BY rk) AS pos
-  FROM ballots {'WHERE ' + gone if gone else ''}),
-level{place} AS (
-  SELECT election_id, feature, feature_ord, list(pos) AS ps, list_sort(list(pos))[len(list(pos)) // 2 + 1] AS level
-  FROM pos{place} GROUP BY 1, 2, 3),
-win{place} AS (
-  SELECT election_id, feature FROM (
-    SELECT *, row_number() OVER (PARTITION BY election_id
-      ORDER BY level, len(list_filter(ps, lambda p: p <= level)) DESC, feature_ord) AS n FROM level{place})
-  WHERE n = 1)"""
-        )
-        winners.append(place)
-    return "".join(parts) + " UNION ALL ".join(
-        f" SELECT election_id, feature, CAST({i} AS INTEGER) AS place FROM win{i}" for i in winners
-    )
+    """State: the winners so far. A key holds depth, votes at it and the number of a candidate."""
+    majority = "len(ps) // 2 + 1"
+    key = f"(list_sort(ps)[{majority}] * 1000 - len(list_filter(ps, lambda q: q <= list_sort(ps)[{majority}]))) * {_BIG} + c"
+    return f"""WITH RECURSIVE {LISTS},
+rounds AS (
+  SELECT election_id, CAST([] AS BIGINT[]) AS winners FROM papers
+  UNION ALL
+  SELECT election_id, list_append(any_value(winners), min({key}) % {_BIG})
+  FROM (
+    SELECT election_id, winners, c, list_transform(remaining, lambda r: list_position(r, c)) AS ps
+    FROM (SELECT *, unnest(remaining[1]) AS c FROM (
+      SELECT r.election_id, winners, list_transform(papers, lambda p: list_filter(p, lambda x: NOT list_contains(winners, x))) AS remaining
+      FROM rounds r JOIN papers USING (election_id) WHERE len(winners) < len(papers[1]))))
+  GROUP BY election_id
+)""" + _finish("rounds")
 
 
 def oracle_sql() -> dict[str, str]:
