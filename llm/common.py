@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from featwright.storage import stage
 
-__all__ = ["F", "UnitCache", "byte_level_encoder", "chunks", "free_name", "hashed_words", "mixed", "sampled_labels", "stage", "table", "texts_of", "units"]
+__all__ = ["F", "UnitCache", "byte_level_encoder", "byte_level_entries", "chunks", "free_name", "hashed_words", "mixed", "sampled_labels", "stage", "table", "texts_of", "units"]
 
 #: Unicode white space, then what follows up to the next one. Tokens of the byte-level
 #: patterns never hold white space behind another character, so that a token starts
@@ -139,6 +139,19 @@ class UnitCache:
         return result
 
 
+def byte_level_entries(tokenizer) -> list[bytes]:
+    """The bytes of each id of a byte-level tokenizer; an added token's entry is plain text."""
+    from llm.byte_bpe import byte_characters
+
+    byte_of = {c: b for b, c in enumerate(byte_characters())}
+    entries = tokenizer.get_vocab(with_added_tokens=True)
+    out = [b""] * (max(entries.values()) + 1)
+    for entry, i in entries.items():
+        spelled = all(c in byte_of for c in entry)
+        out[i] = bytes(byte_of[c] for c in entry) if spelled else entry.encode()
+    return out
+
+
 def byte_level_encoder(tokenizer, sizes: np.ndarray) -> Callable[[list[str]], list[bytes]]:
     """Ids of units by a byte-level tokenizer of the tokenizers library, many units in one text.
 

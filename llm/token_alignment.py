@@ -24,8 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from llm.byte_bpe import _field, byte_characters
-from llm.common import F, UnitCache, byte_level_encoder, chunks, stage, units
+from llm.byte_bpe import _field
+from llm.common import F, UnitCache, byte_level_encoder, byte_level_entries, chunks, stage, units
 
 #: Text bytes of a block.
 BLOCK_BYTES = 4_000_000
@@ -93,13 +93,7 @@ class Coder:
         first.encode_special_tokens = True
         # units carry their own space in front: a second normaliser message, which readers merge with the first, adds none
         second = SentencePieceProcessor(model_proto=tokenizers.second + _field(3, _field(3, 0)))
-        byte_of = {c: b for b, c in enumerate(byte_characters())}
-        entries = first.get_vocab(with_added_tokens=True)
-        self.first_bytes = [b""] * (max(entries.values()) + 1)
-        for entry, i in entries.items():
-            # an added token's entry is plain text
-            spelled = all(c in byte_of for c in entry)
-            self.first_bytes[i] = bytes(byte_of[c] for c in entry) if spelled else entry.encode()
+        self.first_bytes = byte_level_entries(first)
         self.second_bytes = []
         for i in range(second.get_piece_size()):
             piece = second.id_to_piece(i)

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from featwright.storage import shared_dir
-from llm.common import F, UnitCache, chunks, stage, units
+from llm.common import F, UnitCache, byte_level_encoder, byte_level_entries, chunks, stage, units
 
 MAGIC = b"SIMPLE8B"
 #: Fixed values of Simple-8b: ids per word by selector 1 to 14; the width is 60 divided by it. Selector 0 is the escape.
@@ -54,11 +54,7 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         start = small[: len(small) - per + 1]
         start = start[small[per - 1 :] - start == per - 1]
         take[start], selector[start] = per, k + 1
-    starts, at, steps = [], 0, take.tolist()
-    while at < n:
-        starts.append(at)
-        at += steps[at]
-    first = np.array(starts, np.int64)
+    first = _walk(np.arange(n) + take)
     chosen = selector[first]
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([values, np.zeros(max(PER_WORD), np.uint64)])
@@ -74,6 +70,27 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, values[first[escaped]]
 
 
+def _walk(after: np.ndarray, stride: int = 64) -> np.ndarray:
+    """The places met from 0 on, when ``after`` names the next of each: strides of 64 steps by doubling, then all between them."""
+    n = len(after)
+    if not n:
+        return np.zeros(0, np.int64)
+    steps = np.append(np.minimum(after, n), n)
+    far = steps
+    for _ in range(stride.bit_length() - 1):
+        far = far[far]
+    marks, at, jumps = [], 0, far.tolist()
+    while at < n:
+        marks.append(at)
+        at = jumps[at]
+    rows = np.empty((stride, len(marks)), np.int64)
+    rows[0] = marks
+    for k in range(1, stride):
+        rows[k] = steps[rows[k - 1]]
+    met = rows.T.ravel()
+    return met[met < n]
+
+
 def unpack(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` values of a block."""
     selector = (words >> np.uint64(60)).astype(np.int64)
@@ -127,15 +144,14 @@ def read_blocks(data: bytes) -> Iterator[tuple[int, list[int | None], np.ndarray
 
 
 @lru_cache(maxsize=2)
-def _encoder(definition: str) -> Callable[[str], np.ndarray]:
+def _cache(definition: str) -> UnitCache:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(definition)
-    cache = UnitCache(lambda new: [x.ids for x in tokenizer.encode_batch_fast(new, add_special_tokens=False)])
-    return lambda text: np.frombuffer(cache.ids(units(text)), "<u4")
+    return UnitCache(byte_level_encoder(tokenizer, np.array([len(b) for b in byte_level_entries(tokenizer)])))
 
 
 def write_tokens(docs: DataFrame, definition: str, end_id: int, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
@@ -149,7 +165,9 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, id_column: str =
     the end id alone. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    # tasks write where Spark reads: the path with the scheme of the session's own file system
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     rows = docs.select(F.col(id_column).cast("bigint").alias("id"), F.col(text).alias("text"))
     # the last key only splits a crowd of equal rows between tasks
     rows = rows.orderBy("id", F.xxhash64("text"), F.monotonically_increasing_id())
@@ -157,9 +175,9 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, id_column: str =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        encode = _encoder(definition)
+        cache = _cache(definition)
         part, seq = TaskContext.get().partitionId(), 0
-        target, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        target, base = fs.FileSystem.from_uri(folder)
         blocks: list[tuple[list[int | None], list[np.ndarray]]] = []
         doc_ids: list[int | None] = []
         lists: list[np.ndarray] = []
@@ -179,8 +197,9 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, id_column: str =
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "seq", "name", "n_docs", "n_ids"])
 
         for batch in chunks(batches, "text"):
-            for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.append(encode(t or ""), np.uint32(end_id))
+            encoded = cache.ids_of([units(t or "") for t in batch.column("text").to_pylist()])
+            for i, found in zip(batch.column("id").to_pylist(), encoded):
+                ids = np.append(np.frombuffer(found, "<u4"), np.uint32(end_id))
                 doc_ids.append(i)
                 lists.append(ids)
                 held, in_block = held + len(ids), in_block + len(ids)
@@ -199,16 +218,19 @@ def read_tokens(spark: SparkSession, manifest: DataFrame, folder: str, with_ids:
     """The documents of the manifest's files: (id, start, n_tokens, ids_crc32), with ``with_ids`` also ids (array<bigint>).
 
     ``start`` counts the ids of all documents before. Files are read by Spark and
-    decoded block by block; the window runs over one row per file.
+    decoded block by block; one window runs over a row per part, the others inside the parts.
     """
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    files = manifest.select("name", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before"))
+    earlier = Window.unboundedPreceding, -1
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("_n"))
+    parts = parts.select("part", F.coalesce(F.sum("_n").over(Window.orderBy("part").rowsBetween(*earlier)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(*earlier)), F.lit(0))
+    files = manifest.withColumn("_inside", inside).join(parts, "part").select("name", (F.col("_before") + F.col("_inside")).alias("before"))
     if manifest.isEmpty():
         content = spark.createDataFrame([], "name string, content binary")
     else:
         content = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder)
         content = content.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    rows = content.join(F.broadcast(files), "name").select("before", "content")
+    rows = content.join(files, "name").select("before", "content")
     schema = "id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<bigint>" if with_ids else "")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
