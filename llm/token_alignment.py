@@ -21,6 +21,7 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -28,7 +29,7 @@ from llm.byte_bpe import _field
 from llm.common import F, UnitCache, byte_level_encoder, byte_level_entries, chunks, stage, units
 
 #: Text bytes of a block.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 3_000_000
 #: Units a task keeps for each tokenizer.
 KEPT_UNITS = 300_000
 #: Stands for a unit whose tokens do not spell it.
@@ -40,8 +41,8 @@ class Tokenizers:
     """What tasks need, bounded by the two vocabularies.
 
     ``first``: a byte-level tokenizer's own JSON, ``second``: a serialised sentencepiece model. Tokens
-    of the first must start where a unit of white space and text starts, pieces of the second hold
-    spaces only in front and line feeds only as bytes; the latter is checked.
+    of the first must start where a unit of white space and text starts; pieces of the second hold
+    spaces only in front and line feeds only by themselves, which is checked.
     """
 
     first: str
@@ -95,26 +96,34 @@ class Coder:
         second = SentencePieceProcessor(model_proto=tokenizers.second + _field(3, _field(3, 0)))
         self.first_bytes = byte_level_entries(first)
         self.second_bytes = []
+        inner: set[str] = set()  # white space that a piece holds behind a character
         for i in range(second.get_piece_size()):
             piece = second.id_to_piece(i)
             if second.is_byte(i):
                 self.second_bytes.append(bytes([int(piece[3:-1], 16)]))
                 continue
-            if "\n" in piece or "▁" in piece.lstrip("▁"):
-                raise ValueError(f"piece {i} holds a space behind a character, or a line feed")
-            self.second_bytes.append(piece.replace("▁", " ").encode())
+            plain = piece.replace("▁", " ")
+            if not (second.is_control(i) or second.is_unknown(i)):
+                inner.update(part[0] for part in units(plain)[1:])
+            self.second_bytes.append(plain.encode())
+        if inner & {" ", "\n"}:
+            raise ValueError("a piece holds a space or line feed behind a character")
+        self.inner = re.compile(f"[{re.escape(''.join(inner))}]").search if inner else lambda text: None
+        # merges do not cross these either, whatever the text
+        self.second_units = re.compile("\n| *[^ \n]+| +").findall
         self.first_sizes = np.array([len(b) for b in self.first_bytes], np.int64)
         self.second_sizes = np.array([len(b) for b in self.second_bytes], np.int64)
         self.first = UnitCache(_checked(byte_level_encoder(first, self.first_sizes), self.first_bytes, self.first_sizes), KEPT_UNITS)
         self.second = UnitCache(_checked(lambda new: second.encode(new, num_threads=1), self.second_bytes, self.second_sizes), KEPT_UNITS)
-        self.second_units = re.compile("\n| *[^ \n]+| +").findall
         # decimal ids with what follows them: the next of the group, or the end of the group's list
         self.printed = [f"{i}{c}" for i in range(len(self.first_bytes)) for c in ",|"] + [f"{i}{c}" for i in range(len(self.second_bytes)) for c in ",;"]
 
     def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of a space and each text by both; none where the text is empty or one of them does not spell it."""
         spaced = [" " + t for t in texts]
-        both = self.first.ids_of([units(t) for t in spaced]), self.second.ids_of([self.second_units(t) for t in spaced])
+        split = [units(t) for t in spaced]
+        own = [self.second_units(t) if self.inner(t) else x for t, x in zip(spaced, split)]
+        both = self.first.ids_of(split), self.second.ids_of(own)
         none = np.zeros(0, np.int64)
         out: tuple[list[np.ndarray], list[np.ndarray]] = [], []
         for text, *found in zip(texts, *both):
@@ -139,9 +148,9 @@ def gallop(values: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.nda
     up = ends[guess] < values
     left = np.where(up, guess, first - 1)  # below the value, or in front of the range
     right = np.where(up, last, guess)  # not below it, or behind the range
-    active, step = np.arange(len(values)), 1
+    active, step = np.arange(len(values), dtype=guess.dtype), 1
     while len(active):
-        probe = guess[active] + np.where(up[active], step, -step)
+        probe = guess[active] + np.where(up[active], guess.dtype.type(step), guess.dtype.type(-step))
         inside = (probe >= first[active]) & (probe < last[active])
         active, probe = active[inside], probe[inside]
         less = ends[probe] < values[active]
@@ -149,7 +158,7 @@ def gallop(values: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.nda
         right[active[~less]] = probe[~less]
         active = active[less == up[active]]
         step *= 2
-    active = np.flatnonzero(right - left > 1)
+    active = np.flatnonzero(right - left > 1).astype(guess.dtype)
     while len(active):
         middle = (left[active] + right[active]) >> 1
         less = ends[middle] < values[active]
@@ -171,10 +180,11 @@ def common_ends(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np
         sizes, others = np.diff(starts), np.diff(begins)
         chosen = np.flatnonzero((sizes <= others if short == 0 else sizes < others) & (sizes > 0))
         n = sizes[chosen]
-        rank = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        rank = np.arange(n.sum(), dtype=n.dtype) - np.repeat((np.cumsum(n) - n).astype(n.dtype), n)
         at = np.repeat(starts[:-1][chosen], n) + rank
         first, last = np.repeat(begins[:-1][chosen], n), np.repeat(begins[1:][chosen], n)
-        guess = first + rank * (last - first) // np.repeat(n, n)
+        # both in proportion: the rank times the other list's share of this one
+        guess = np.minimum(first + (rank * np.repeat(others[chosen] / n, n)).astype(n.dtype), last - 1)
         found = gallop(values[at], ends, first, last, guess)
         met = found < last
         met[met] = ends[found[met]] == values[at[met]]
@@ -196,7 +206,10 @@ def _block(coder: Coder, doc_ids: pa.Array, texts: list[str], digests: bool) ->
     a, b = (np.concatenate(x) for x in lists)
     a_starts, b_starts = (np.concatenate([[0], np.cumsum([len(i) for i in x])]) for x in lists)
     # the two spell the same bytes, so that offsets may run on from text to text
-    in_a, in_b = common_ends(np.cumsum(coder.first_sizes[a]), a_starts, np.cumsum(coder.second_sizes[b]), b_starts)
+    ends_a, ends_b = np.cumsum(coder.first_sizes[a]), np.cumsum(coder.second_sizes[b])
+    # a block seldom needs long integers
+    kind = np.int32 if not len(a) or ends_a[-1] < 1 << 30 else np.int64
+    in_a, in_b = common_ends(ends_a.astype(kind), a_starts.astype(kind), ends_b.astype(kind), b_starts.astype(kind))
     closes_a, closes_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     closes_a[in_a] = 1
     closes_b[in_b] = 1
@@ -210,7 +223,7 @@ def _block(coder: Coder, doc_ids: pa.Array, texts: list[str], digests: bool) ->
     for lo, hi in zip(a_starts[:-1] + b_starts[:-1], a_starts[1:] + b_starts[1:]):
         text = "".join(map(coder.printed.__getitem__, printed[lo:hi].tolist()))[:-1]
         groups.append(hashlib.sha256(text.encode()).hexdigest() if digests and text else text)
-    pairs, number = np.unique(a[in_a] * len(coder.second_bytes) + b[in_b], return_inverse=True)
+    number, pairs = pd.factorize(a[in_a] * len(coder.second_bytes) + b[in_b])
     width = max(len(pairs), 1)
     linked, times = np.unique(np.repeat(np.arange(len(texts)), n_groups) * width + number, return_counts=True)
     link_starts = np.searchsorted(linked, np.arange(len(texts) + 1) * width)
