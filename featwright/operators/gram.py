@@ -17,23 +17,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from featwright.functions.joins import join_null_safe
 from featwright.functions.ranks import average_ascending, with_ranks
 from featwright.sources.tables import vectors_of
-from featwright.storage import stage
 
 BLOCK = 256
 _HELD_BYTES = 256 << 20  # products a task holds before it emits them
-_BLOCK_FIELDS = "bi int, bj int, n double, mean_i array<double>, mean_j array<double>, products array<double>"
+_BLOCK_FIELDS = (
+    "bi int, bj int, n double, mean_i array<double>, mean_j array<double>, "
+    "squares_i array<double>, squares_j array<double>, products array<double>"
+)
 
 
-def _merge(a: tuple, n: float, mean_i: np.ndarray, mean_j: np.ndarray, products: np.ndarray) -> tuple:
-    """Add one block of centred products to another (pairwise update of co-moments)."""
-    n_a, mi_a, mj_a, p_a = a
+def _merge(a: tuple, b: tuple) -> tuple:
+    """Add one block ``(n, mean_i, mean_j, squares_i, squares_j, products)`` to another (pairwise update of co-moments)."""
+    n_a, mi_a, mj_a, si_a, sj_a, p_a = a
+    n, mean_i, mean_j, squares_i, squares_j, products = b
     total = n_a + n
     di, dj = mean_i - mi_a, mean_j - mj_a
-    p = p_a + products + np.outer(di, dj) * (n_a * n / total)
-    return total, mi_a + di * (n / total), mj_a + dj * (n / total), p
+    part = n_a * n / total
+    return (
+        total,
+        mi_a + di * (n / total),
+        mj_a + dj * (n / total),
+        si_a + squares_i + di * di * part,
+        sj_a + squares_j + dj * dj * part,
+        p_a + products + np.outer(di, dj) * part,
+    )
 
 
 def _partial_blocks(keys: list[str], schema: pa.Schema):
@@ -43,8 +52,8 @@ def _partial_blocks(keys: list[str], schema: pa.Schema):
 
         def emit():
             columns: list[list] = [[] for _ in schema]
-            for (key, bi, bj), (n, mi, mj, p) in held.items():
-                row = [*key, bi, bj, float(n), mi, mj, p.ravel()]
+            for (key, bi, bj), (n, *parts, p) in held.items():
+                row = [*key, bi, bj, float(n), *parts, p.ravel()]
                 for column, cell in zip(columns, row):
                     column.append(cell)
             arrays = [pa.array(c, type=f.type) for c, f in zip(columns, schema)]
@@ -66,15 +75,17 @@ def _partial_blocks(keys: list[str], schema: pa.Schema):
                 x = rows[index]
                 mean = x.mean(axis=0)
                 x = x - mean
+                squares = (x * x).sum(axis=0)
                 for bi in range(0, x.shape[1], BLOCK):
                     for bj in range(bi, x.shape[1], BLOCK):
                         p = x[:, bi : bi + BLOCK].T @ x[:, bj : bj + BLOCK]
-                        mi, mj = mean[bi : bi + BLOCK], mean[bj : bj + BLOCK]
+                        i, j = slice(bi, bi + BLOCK), slice(bj, bj + BLOCK)
+                        block = (len(x), mean[i], mean[j], squares[i], squares[j], p)
                         name = (key, bi // BLOCK, bj // BLOCK)
                         if name in held:
-                            held[name] = _merge(held[name], len(x), mi, mj, p)
+                            held[name] = _merge(held[name], block)
                         else:
-                            held[name] = (len(x), mi, mj, p)
+                            held[name] = block
                             size += p.nbytes
             if size > _HELD_BYTES:
                 yield emit()
@@ -90,16 +101,16 @@ def _merge_stream(columns: list[str]):
         merged = None
         for frame in frames:
             for row in frame.itertuples(index=False):
-                block = (row.n, np.asarray(row.mean_i), np.asarray(row.mean_j))
-                p = np.asarray(row.products).reshape(len(block[1]), len(block[2]))
+                sides = [np.asarray(x) for x in (row.mean_i, row.mean_j, row.squares_i, row.squares_j)]
+                block = (row.n, *sides, np.asarray(row.products).reshape(len(sides[0]), len(sides[1])))
                 if merged is None:
-                    merged, head = (*block, p), [getattr(row, c) for c in columns]
+                    merged, head = block, [getattr(row, c) for c in columns]
                 else:
-                    merged = _merge(merged, *block, p)
+                    merged = _merge(merged, block)
         if merged is not None:
-            n, mi, mj, p = merged
-            out = dict(zip(columns, head)) | {"n": n}
-            yield pd.DataFrame([out | {"mean_i": mi, "mean_j": mj, "products": p.ravel()}])
+            names = ["n", "mean_i", "mean_j", "squares_i", "squares_j", "products"]
+            out = dict(zip(columns, head)) | dict(zip(names, merged))
+            yield pd.DataFrame([out | {"products": merged[-1].ravel()}])
 
     return run
 
@@ -115,9 +126,9 @@ def _typed(frames_fn):
 
 
 def gram_blocks(vectors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Upper-triangle blocks per key: ``(keys…, bi, bj, n, mean_i, mean_j, products)``.
+    """Upper-triangle blocks per key: ``(keys…, bi, bj, n, mean_i, mean_j, squares_i, squares_j, products)``.
 
-    ``products`` are sums of ``(x_i - mean_i)(x_j - mean_j)``, row by row.
+    ``products`` are sums of ``(x_i - mean_i)(x_j - mean_j)``, row by row; ``squares`` those of ``(x - mean)²``.
     """
     keys = list(keys)
     fields = [vectors.schema[k] for k in keys] + list(T._parse_datatype_string(_BLOCK_FIELDS).fields)
@@ -133,42 +144,37 @@ def gram_blocks(vectors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return partial.groupBy(*by).applyInPandas(_typed(_merge_stream(by)), schema)
 
 
-def gram_cells(blocks: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per pair ``ord_i <= ord_j`` with its centred product."""
-    width = F.size("mean_j")
-    return (
-        blocks.select(*keys, "bi", "bj", "n", width.alias("_w"), F.posexplode("products").alias("_pos", "product"))
-        .select(
-            *keys,
-            (F.col("bi") * BLOCK + F.floor(F.col("_pos") / F.col("_w"))).cast("int").alias("ord_i"),
-            (F.col("bj") * BLOCK + F.col("_pos") % F.col("_w")).cast("int").alias("ord_j"),
-            "n",
-            "product",
-        )
-        .where("ord_i <= ord_j")
-    )
-
+def correlations(vectors: DataFrame, keys: Sequence[str] = (), prefix: str = "f_", at_most: float | None = None) -> DataFrame:
+    """Pearson's r for every pair of features of every split; NULL where one is constant.
 
-def correlations(vectors: DataFrame, keys: Sequence[str] = (), prefix: str = "f_") -> DataFrame:
-    """Pearson's r for every pair of features of every split; NULL where one is constant."""
+    With ``at_most``, only pairs with |r| up to it leave the task that holds their block.
+    """
     keys = list(keys)
-    products = gram_cells(stage(gram_blocks(vectors, keys)), keys)
-    spread = stage(
-        products.where("ord_i = ord_j").select(*keys, F.col("ord_i").alias("ord"), F.sqrt("product").alias("s"))
-    )
-    si = spread.withColumnsRenamed({"ord": "ord_i", "s": "s_i"})
-    sj = spread.withColumnsRenamed({"ord": "ord_j", "s": "s_j"})
+    blocks = gram_blocks(vectors, keys).select(*keys, "bi", "bj", "squares_i", "squares_j", "products")
+    fields = [vectors.schema[k] for k in keys] + list(T._parse_datatype_string("ord_i int, ord_j int, r double").fields)
+    schema = T.StructType(fields)
+    names = schema.names
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                si, sj, p = (row.column(c).flatten().to_numpy() for c in ("squares_i", "squares_j", "products"))
+                bi, bj = row.column("bi")[0].as_py(), row.column("bj")[0].as_py()
+                size = np.outer(np.sqrt(si), np.sqrt(sj))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    r = np.where(size > 0, p.reshape(size.shape) / size, np.nan)
+                wanted = np.ones(r.shape, bool) if at_most is None else np.abs(r) <= at_most
+                i, j = np.nonzero(np.triu(wanted, 1) if bi == bj else wanted)
+                cells = r[i, j]
+                own = [pa.array([row.column(c)[0].as_py()] * len(i), f.type) for c, f in zip(keys, to_arrow_schema(schema))]
+                found = [pa.array(i + bi * BLOCK, pa.int32()), pa.array(j + bj * BLOCK, pa.int32()), pa.array(cells, mask=np.isnan(cells))]
+                yield pa.RecordBatch.from_arrays([*own, *found], names)
 
     def name(ord_column: str) -> Column:
         return F.concat(F.lit(prefix), F.col(ord_column).cast("string"))
 
-    pairs = join_null_safe(products.where("ord_i < ord_j"), si, [*keys, "ord_i"])
-    return join_null_safe(pairs, sj, [*keys, "ord_j"]).select(
-        *keys,
-        name("ord_i").alias("feature_i"),
-        name("ord_j").alias("feature_j"),
-        (F.col("product") / F.nullif(F.col("s_i") * F.col("s_j"), F.lit(0.0))).alias("r"),
-    )
+    return blocks.mapInArrow(pairs, schema).select(*keys, name("ord_i").alias("feature_i"), name("ord_j").alias("feature_j"), "r")
 
 
 def spearman_correlations(cells: DataFrame, keys: Sequence[str] = (), prefix: str = "f_") -> DataFrame:

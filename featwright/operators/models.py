@@ -21,7 +21,6 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featwright.operators.gram import correlations
 from featwright.operators.prepare import uncorrelated_features
 from featwright.plans.splits import SPLIT, Splits
 
@@ -232,8 +231,8 @@ def _allowed_columns(splits: Splits, targets: Sequence[int]) -> dict[tuple, list
     One pass over the rows for all splits; the driver keeps at most
     targets × features numbers per split.
     """
-    r = correlations(splits.rows().where("role = 'train'"), SPLIT, prefix="")
-    weak = uncorrelated_features(r, splits.settings.train_correlation_threshold)
+    train = splits.rows().where("role = 'train'")
+    weak = uncorrelated_features(train, SPLIT, splits.settings.train_correlation_threshold, prefix="")
     rows = (
         weak.where(F.col("target").cast("int").isin(list(targets)))
         .groupBy(*SPLIT, F.col("target").cast("int").alias("target"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featwright.operators.gram import correlations
 from featwright.storage import stage
 
 
@@ -54,14 +57,13 @@ def drop_separating_features(cells: DataFrame, pos_label: int = 1) -> DataFrame:
     return cells.join(stage(separating_features(cells, pos_label)), "feature", "left_anti")
 
 
-def uncorrelated_features(correlations: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """For every target feature, the features with |r| at most ``threshold``.
+def uncorrelated_features(vectors: DataFrame, keys: Sequence[str] = (), threshold: float = 0.3, prefix: str = "f_") -> DataFrame:
+    """For every target feature of every split, the features with |r| at most ``threshold``.
 
-    ``correlations(…, feature_i, feature_j, r)`` holds each pair once; the
-    target itself has r = 1 and so never appears.
+    Pairs above the threshold never leave the task that holds their block; the target itself has r = 1 and
+    so never appears, nor does a constant feature.
     """
-    weak = correlations.where(F.abs("r") <= threshold)
-    keys = [c for c in correlations.columns if c not in ("feature_i", "feature_j", "r")]
+    weak = correlations(vectors, keys, prefix, at_most=threshold)
     both = F.array(
         F.struct(F.col("feature_i").alias("target"), F.col("feature_j").alias("feature")),
         F.struct(F.col("feature_j").alias("target"), F.col("feature_i").alias("feature")),

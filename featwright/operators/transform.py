@@ -73,18 +73,22 @@ START = (-7.0, -3.0, -1.0, 0.0, 1.0, 2.0, 3.0, 5.0, 9.0)
 FARTHEST = 1e7
 
 
-def _slope_terms(x: Column, lam: Column) -> list[Column]:
-    """The transform of ``x`` and its derivative by the exponent, both steady near their removable gaps."""
-    mirrored = x < 0
-    power = F.when(mirrored, 2.0 - lam).otherwise(lam)
-    size = F.log1p(F.abs(x))
+def _with_slope_terms(cells: DataFrame) -> DataFrame:
+    """``_t`` and ``_dt``: the transform of ``value`` and its derivative by ``lambda``, both steady near their removable gaps.
+
+    Step by step, so that logarithm and exponential are taken once a cell.
+    """
+    mirrored = F.col("value") < 0
+    df = cells.withColumn("_size", F.log1p(F.abs("value")))
+    df = df.withColumn("_power", F.when(mirrored, 2.0 - F.col("lambda")).otherwise(F.col("lambda")))
+    size, power = F.col("_size"), F.col("_power")
+    df = df.withColumn("_grown", F.expm1(power * size))
+    df = df.withColumn("_h", F.when(power == 0.0, size).otherwise(F.col("_grown") / power))
     step = power * size
-    near = F.abs(step) < 1e-3
-    grown = F.when(power == 0.0, size).otherwise(F.expm1(step) / power)
     series = size * size * (0.5 + step / 3 + step * step / 8)
-    slope = F.when(near, series).otherwise((size * F.exp(step) - grown) / power)
+    slope = F.when(F.abs(step) < 1e-3, series).otherwise((size * (F.col("_grown") + 1.0) - F.col("_h")) / power)
     # behind zero the power falls as the exponent grows, and the value is negative: the slope keeps its sign
-    return [F.when(mirrored, -grown).otherwise(grown), slope]
+    return df.withColumn("_t", F.when(mirrored, -F.col("_h")).otherwise(F.col("_h"))).withColumn("_dt", slope)
 
 
 def _slopes(cells: DataFrame, wanted: DataFrame, group: list[str], fold: str) -> DataFrame:
@@ -95,16 +99,14 @@ def _slopes(cells: DataFrame, wanted: DataFrame, group: list[str], fold: str) ->
     """
     of = [*group, "feature"]
     points = wanted.groupBy(*of).agg(F.array_sort(F.collect_set("lambda")).alias("_points"))  # a few per fold
-    powered = cells.select(*of, fold, "value").join(points, of).withColumn("lambda", F.explode("_points"))
-    t, dt = _slope_terms(F.col("value"), F.col("lambda"))
-    powered = powered.withColumn("_t", t).withColumn("_dt", dt)
+    powered = _with_slope_terms(cells.select(*of, fold, "value").join(points, of).withColumn("lambda", F.explode("_points")))
     per_fold = powered.groupBy(*of, "lambda", fold).agg(
         F.count("value").alias("n"),
         F.avg("_t").alias("t"),
         F.avg("_dt").alias("dt"),
         F.var_pop("_t").alias("var"),
         F.covar_pop("_t", "_dt").alias("cov"),
-        F.avg(F.signum("value") * F.log1p(F.abs(F.col("value")))).alias("log"),
+        F.avg(F.signum("value") * F.col("_size")).alias("log"),
     )
     # at most one row per fold
     parts = per_fold.groupBy(*of, "lambda").agg(
@@ -147,7 +149,9 @@ def _next_points(tolerance: float) -> Column:
     root = F.least(F.greatest(root, a + width / 64), b - width / 64)
     scale = F.greatest(F.lit(1.0), F.abs(a))
     near = F.least(width / 8, F.greatest(width * width / (8 * scale), tolerance / 4 * scale))
-    inside = F.filter(F.array(root - near, root, root + near, (a + b) / 2), lambda p: (p > a) & (p < b))
+    # a root close to an end may creep: the middle keeps the bracket shrinking
+    creeping = (root - a < width / 8) | (b - root < width / 8)
+    inside = F.filter(F.array(root - near, root + near, F.when(creeping, (a + b) / 2)), lambda p: (p > a) & (p < b))
     left = F.array(*[b - (F.abs(b) + 1) * k for k in (1.0, 4.0, 16.0)])
     right = F.array(*[a + (F.abs(a) + 1) * k for k in (1.0, 4.0, 16.0)])
     return F.when(a.isNull(), left).when(b.isNull(), right).otherwise(inside)
@@ -157,13 +161,14 @@ def yeojohnson_lambda(
     cells: DataFrame,
     fold: str = "outer_fold",
     within: Sequence[str] = (),
-    tolerance: float = 1e-8,
+    tolerance: float = 1e-4,
 ) -> DataFrame:
     """The exponent of greatest likelihood per (held-out fold, feature), without limits: ``lambda, mean, std, status``.
 
     The log-likelihood is concave in the exponent, so that the sign of its slope says on which side
     the optimum lies. All splits and features are bracketed at once: every step is one aggregate
-    at a few exponents of each, and who is bracketed within ``tolerance`` leaves. ``mean`` and ``std`` are those
+    at a few exponents of each, and who is bracketed within ``tolerance`` leaves with the root of the line between the
+    ends, whose error is of the order of its square. ``mean`` and ``std`` are those
     after the transform. ``status`` is 'optimum'; 'constant' where the train part has no spread, with exponent 1; or
     'unbounded' where no optimum lies in the range of doubles, with the last exponent inside it. ``cells`` are read once a step: pass
     them stored.
@@ -175,9 +180,10 @@ def yeojohnson_lambda(
     features_of = cells.select(*group, "feature").distinct()
     pairs = features_of.join(folds_of, group) if group else features_of.crossJoin(folds_of)
     seen = _slopes(cells, pairs.select(*keys, start), group, fold)
-    constant = F.max(F.when((F.col("lambda") == 1.0), F.coalesce(F.col("var") == 0, F.lit(True))))
+    # exponent 1 is in the first look only as a point of its own
+    unchanged = F.coalesce(F.max(F.when(F.col("lambda") == 1.0, F.coalesce(F.col("var") == 0, F.lit(True)))), F.lit(False))
 
-    def bracket(rows: DataFrame) -> DataFrame:
+    def bracket(rows: DataFrame, constant: Column) -> DataFrame:
         end = F.struct("lambda", "slope")
         return rows.groupBy(*keys).agg(
             F.max(F.when(F.col("slope") > 0, end)).alias("low"),
@@ -185,22 +191,24 @@ def yeojohnson_lambda(
             constant.alias("constant"),
         )
 
-    states = stage(bracket(seen))
-    parts = [states.where("constant")]
-    open_ = states.where("NOT constant OR constant IS NULL").drop("constant")
     width = F.col("high.lambda") - F.col("low.lambda")
     narrow = width <= tolerance * F.greatest(F.lit(1.0), F.abs(F.col("low.lambda")))
-    # slopes that the middle of a bracket cannot tell apart any more
-    stuck = F.size(_next_points(tolerance)) == 0
     lost = F.greatest(F.abs("low.lambda"), F.abs("high.lambda")) > FARTHEST
-    done = F.coalesce(narrow | stuck, F.lit(False)) | F.coalesce(lost, F.lit(False))
+    done = F.col("constant") | F.coalesce(narrow, F.lit(False)) | F.coalesce(lost, F.lit(False))
+
+    def looked_at(rows: DataFrame, constant: Column = F.lit(False)) -> DataFrame:
+        return stage(bracket(rows, constant).withColumn("done", done).withColumn("points", F.when(~F.col("done"), _next_points(tolerance))))
+
+    states = looked_at(seen, unchanged)
+    parts = [states.where("done")]
+    open_ = states.where("NOT done")
     while not open_.isEmpty():
-        wanted = open_.select(*keys, F.explode(_next_points(tolerance)).alias("lambda"))
-        slopes = _slopes(cells, wanted, group, fold).select(*keys, "lambda", "slope", F.lit(None).cast("double").alias("var"))
-        ends = open_.select(*keys, F.inline(F.filter(F.array("low", "high"), lambda e: e.isNotNull())), F.lit(None).cast("double").alias("var"))
-        states = stage(bracket(slopes.unionAll(ends)))
-        parts.append(states.where(done))
-        open_ = states.where(~done).drop("constant")
+        wanted = open_.select(*keys, F.explode("points").alias("lambda"))
+        slopes = _slopes(cells, wanted, group, fold).select(*keys, "lambda", "slope")
+        ends = open_.select(*keys, F.inline(F.filter(F.array("low", "high"), lambda e: e.isNotNull())))
+        states = looked_at(slopes.unionAll(ends))
+        parts.append(states.where("done"))
+        open_ = states.where("NOT done")
     found = reduce(DataFrame.unionByName, parts)
     finite = (F.abs("low.slope") < float("inf")) & (F.abs("high.slope") < float("inf")) & ~F.coalesce(lost, F.lit(False))
     status = F.when(F.col("constant"), "constant").when(F.coalesce(finite, F.lit(False)), "optimum").otherwise("unbounded")

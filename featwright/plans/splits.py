@@ -81,7 +81,7 @@ class Splits:
 
 def fit_splits(samples: DataFrame, settings: Settings = Settings()) -> Splits:
     """Deal the folds and fit the transform of every split on its train part; missing values are an error."""
-    dealt = stage(deal_nested(samples, settings))
+    dealt = stage(deal_nested(samples, settings), spread="sample_id")
     cells = require_no_missing(cells_of_vectors(dealt))
     outer = yeojohnson_lambda(cells.drop("inner_folds")).withColumn(
         "inner_fold", F.lit(None).cast("int")

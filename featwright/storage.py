@@ -29,9 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once and return the stored table."""
+def stage(df: DataFrame, partition_by: list[str] | None = None, spread: str | None = None) -> DataFrame:
+    """Write ``df`` once and return the stored table.
+
+    ``spread`` names a column of many values by which rows are dealt to all cores, for a table that is read
+    for much work again and again and may come in a single small file.
+    """
     spark = df.sparkSession
+    if spread:
+        df = df.repartition(spark.sparkContext.defaultParallelism, spread)
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:

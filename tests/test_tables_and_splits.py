@@ -135,6 +135,19 @@ def test_correlations_equal_numpy(samples, monkeypatch):
         assert len(got) == 10
 
 
+def test_uncorrelated_features_of_every_split(samples, monkeypatch):
+    """Blocks of two features: pairs above the threshold stay inside, in diagonal blocks and others."""
+    _, x, df = samples
+    monkeypatch.setattr(gram, "BLOCK", 2)
+    keyed = df.withColumn("part", F.col("sample_id") % 2)
+    found = {(r.part, r.target, r.feature) for r in prepare.uncorrelated_features(keyed, ["part"], 0.1).collect()}
+    want = set()
+    for part in (0, 1):
+        r = pd.DataFrame(x[part::2]).corr().abs()
+        want |= {(part, f"f_{i}", f"f_{j}") for i in r for j in r if i != j and r.loc[i, j] <= 0.1}
+    assert found == want and want
+
+
 def test_spearman_equals_pandas(samples):
     _, x, df = samples
     got = gram.spearman_correlations(tables.cells_of_vectors(df)).toPandas()
