@@ -39,6 +39,24 @@ def check_standard(importances: DataFrame, n_inner_folds: int) -> DataFrame:
     )
 
 
+def check_complete(importances: DataFrame, fits: DataFrame) -> DataFrame:
+    """Runs that lack their metric or parameters, have them twice, or have them without importances."""
+    known = fits.groupBy(*_RUN).agg(
+        F.count("*").alias("n_fits"),
+        F.count_if(_bad("validation_metric")).alias("missing_metrics"),
+        F.count_if(F.coalesce(F.size("best_params") < 1, F.lit(True))).alias("missing_parameters"),
+    )
+    runs = importances.groupBy(*_RUN).agg(F.count("*").alias("n_importances"))
+    both = runs.join(known, _RUN, "full").fillna(0, ["n_importances", "n_fits", "missing_metrics", "missing_parameters"])
+    return both.where("n_fits <> 1 OR n_importances = 0 OR missing_metrics > 0 OR missing_parameters > 0")
+
+
+def check_names(results: DataFrame) -> DataFrame:
+    """Methods with values whose feature has no name."""
+    unnamed = F.col("feature").isNull() | (F.col("feature") == "")
+    return results.where(unnamed).groupBy("experiment_id", "method").agg(F.count("*").alias("n_unnamed"))
+
+
 def check_reverse(raw_reverse: DataFrame) -> DataFrame:
     """Runs with a missing quality. Columns of another type are an error at once."""
     for name in ("unlabeled", "labeled"):

@@ -18,6 +18,7 @@ from featwright.operators.prepare import require_no_missing
 from featwright.operators.transform import fitted_vectors, transform_vectors, yeojohnson_lambda
 from featwright.settings import Settings
 from featwright.sources.tables import cells_of_vectors
+from featwright.sources.versions import fingerprint, latest, publish, write_version
 from featwright.storage import stage
 
 SPLIT = ["outer_fold", "inner_fold"]
@@ -79,6 +80,23 @@ class Splits:
         return transform_vectors(rows.select(*SPLIT, "role", "sample_id", "label", "features"), self.fitted, SPLIT)
 
 
+def prepared_splits(samples: DataFrame, folder: str, settings: Settings = Settings(), name: str = "") -> tuple[Splits, bool]:
+    """The splits of ``samples``, and whether they were there: prepared once for the same input files, settings and ``name``.
+
+    ``name`` stands for what was done to the files to get ``samples``. What was prepared is published whole or not at all.
+    """
+    spark = samples.sparkSession
+    key = fingerprint(samples, settings, name)
+    version = latest(spark, folder, [key]).get(key)
+    if version is not None:
+        stored = {part: spark.read.parquet(f"{folder}/{part}/{version}") for part in ("samples", "fitted")}
+        return Splits(stored["samples"], stored["fitted"], settings), True
+    splits = fit_splits(samples, settings)
+    version, stored = write_version(folder, {"samples": splits.samples, "fitted": splits.fitted})
+    publish(spark, folder, key, version, stored)
+    return Splits(stored["samples"], stored["fitted"], settings), False
+
+
 def fit_splits(samples: DataFrame, settings: Settings = Settings()) -> Splits:
     """Deal the folds and fit the transform of every split on its train part; missing values are an error."""
     dealt = stage(deal_nested(samples, settings), spread="sample_id")

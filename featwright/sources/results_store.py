@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featwright.model import IMPORTANCES
-from featwright.operators.expectations import check_standard, require_empty
+from featwright.model import IMPORTANCES, RAW_REVERSE, RAW_STANDARD
+from featwright.operators.expectations import check_complete, check_names, check_reverse, check_standard, require_empty
+from featwright.sources import versions as V
 
 
 def store_results(importances: DataFrame, folder: str, n_inner_folds: int | None = None) -> DataFrame:
@@ -39,6 +41,47 @@ def load_results(spark: SparkSession, folder: str, experiment_id: int, methods:
     return found if methods is None else found.where(F.col("method").isin(list(methods)))
 
 
+_PARTS = {"importances": IMPORTANCES, "fits": RAW_STANDARD, "reverse": RAW_REVERSE}
+
+
+@dataclass(frozen=True)
+class Run:
+    """Raw results of experiments: macro, micro and shap importances, metric and parameters per outer fold, reverse qualities."""
+
+    importances: DataFrame
+    fits: DataFrame
+    reverse: DataFrame
+
+
+def store_run(run: Run, folder: str, experiment_id: int, n_inner_folds: int) -> str:
+    """Store one experiment's results as a new version; the version's id.
+
+    It is published only after every part was read back and found whole: all five parts of every standard run, both
+    qualities of every reverse run, a name with every value. Otherwise an error, and readers see nothing of it.
+    """
+    spark = run.importances.sparkSession
+    own = F.col("experiment_id") == experiment_id
+    parts = {}
+    for part, schema in _PARTS.items():
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+        parts[part] = getattr(run, part).where(own).select(*columns)
+    version, stored = V.write_version(folder, parts)
+    require_empty(check_standard(stored["importances"], n_inner_folds), "incomplete importances")
+    require_empty(check_complete(stored["importances"], stored["fits"]), "incomplete fits")
+    require_empty(check_reverse(stored["reverse"]), "incomplete reverse results")
+    for part in ("importances", "reverse"):
+        require_empty(check_names(stored[part]), f"{part} without a feature name")
+    V.publish(spark, folder, str(experiment_id), version, stored)
+    return version
+
+
+def load_run(spark: SparkSession, folder: str, experiment_ids: Sequence[int] | None = None) -> Run:
+    """The latest published results of some or all experiments."""
+    wanted = None if experiment_ids is None else [str(i) for i in experiment_ids]
+    found = sorted(V.latest(spark, folder, wanted).values())
+    return Run(**{part: V.read_versions(spark, folder, part, found, schema) for part, schema in _PARTS.items()})
+
+
 _RUN = ["experiment_id", "method", "outer_fold", "kind"]
 
 
@@ -88,6 +131,17 @@ def export_csv(scores: DataFrame, folder: str, columns: Sequence[str]) -> None:
     wide.write.mode("overwrite").partitionBy("cv_aggregator").csv(folder, header=True)
 
 
+def append_log(entries: DataFrame, folder: str) -> DataFrame:
+    """Append benchmark entries to the log in ``folder``, all or none of them; the whole log, older entries first by ``seq``."""
+    spark = entries.sparkSession
+    version, stored = V.write_version(folder, {"entries": entries})
+    V.publish(spark, folder, "log", version, stored)
+    written = V.manifest(spark, folder).select("seq", "version")
+    rows = spark.read.schema(entries.schema).parquet(*[f"{folder}/entries/{r.version}" for r in written.select("version").collect()])
+    of = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return rows.withColumn("version", of).join(written, "version").drop("version")
+
+
 def log_benchmark(durations: DataFrame, energy: DataFrame) -> DataFrame:
     """Seconds and energy of every workflow element, per node."""
     return durations.join(energy, ["experiment_id", "element"], "left").select(

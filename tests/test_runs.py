@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,8 +11,10 @@ from featwright.operators import expectations as Q
 from featwright.operators import metering as M
 from featwright.operators import scores as S
 from featwright.plans.ensemble import cv_aggregate, ensemble_aggregate
+from featwright.plans.splits import prepared_splits
 from featwright.settings import Settings
 from featwright.sources import results_store as R
+from featwright.sources import versions as V
 from featwright.streaming.power import sample_stream, write_power_windows
 
 T0 = dt.datetime(2024, 1, 1)
@@ -91,6 +94,63 @@ def test_store(spark, tmp_path):
         R.store_results(_importances(spark, drop={0, 4, 8}).where("not (kind = 'macro' and inner_fold = 0)"), str(tmp_path / "bad"), 2)
 
 
+def test_runs_are_stored_whole_or_not_at_all(spark, tmp_path):
+    folder = str(tmp_path / "runs")
+    imp = _importances(spark)
+    rows = [(1, m, o, 0.5, {"alpha": 0.1}) for m, o in {(r.method, r.outer_fold) for r in imp.select("method", "outer_fold").distinct().collect()}]
+    fits = spark.createDataFrame(rows, "experiment_id bigint, method string, outer_fold int, validation_metric double, best_params map<string,double>")
+    run = R.Run(imp, fits, _reverse(spark))
+    assert R.load_run(spark, folder).importances.isEmpty()
+    first = R.store_run(run, folder, 1, 2)
+    assert R.load_run(spark, folder).importances.count() == imp.where("experiment_id = 1").count()
+    better = R.Run(imp, fits.withColumn("validation_metric", F.lit(0.75)), run.reverse)
+    second = R.store_run(better, folder, 1, 2)
+    hole = F.when(F.col("outer_fold") == 1, float("nan")).otherwise(F.col("validation_metric"))
+    broken = (
+        R.Run(imp, fits.where("outer_fold = 0"), run.reverse),
+        R.Run(imp, fits.withColumn("validation_metric", hole), run.reverse),
+        R.Run(imp, fits.withColumn("best_params", F.lit(None)), run.reverse),
+        R.Run(imp, fits.unionAll(fits), run.reverse),
+        R.Run(imp.where("kind <> 'micro'"), fits, run.reverse),
+        R.Run(imp.withColumn("feature", F.lit("")), fits, run.reverse),
+        R.Run(imp, fits, run.reverse.withColumn("labeled", F.lit(None).cast("double"))),
+    )
+    for bad in broken:
+        with pytest.raises(ValueError):
+            R.store_run(bad, folder, 1, 2)
+    loaded = R.load_run(spark, folder, [1])
+    assert {r.validation_metric for r in loaded.fits.collect()} == {0.75}
+    assert loaded.reverse.count() == run.reverse.where("experiment_id = 1").count()
+    seen = {r.version: (r["seq"], r.parts["fits"]) for r in V.manifest(spark, folder).collect()}
+    assert seen == {first: (1, len(rows)), second: (2, len(rows))}
+    assert R.load_run(spark, folder, [7]).fits.isEmpty()
+
+
+def test_log_entries_are_appended(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    entries = spark.createDataFrame([(1, "a", 2.0)], "experiment_id bigint, element string, seconds double")
+    R.append_log(entries, folder)
+    log = R.append_log(entries.withColumn("seconds", F.lit(3.0)), folder)
+    assert sorted((r["seq"], r.seconds) for r in log.collect()) == [(1, 2.0), (2, 3.0)]
+
+
+def test_prepared_splits_are_read_again(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, 1 + i % 2, rng.normal(size=3).tolist()) for i in range(40)]
+    path, folder = str(tmp_path / "samples"), str(tmp_path / "splits")
+    spark.createDataFrame(rows, "sample_id bigint, label int, features array<double>").write.parquet(path)
+    settings = Settings(n_outer_folds=2, n_inner_folds=2)
+    first, there = prepared_splits(spark.read.parquet(path), folder, settings)
+    assert not there
+    again, there = prepared_splits(spark.read.parquet(path), folder, settings)
+    assert there and again.rows().exceptAll(first.rows()).isEmpty() and again.rows().count() == first.rows().count()
+    assert not prepared_splits(spark.read.parquet(path), folder, Settings(n_outer_folds=2, n_inner_folds=2, seed=1))[1]
+    spark.createDataFrame(rows[:1], "sample_id bigint, label int, features array<double>").write.mode("append").parquet(path)
+    assert V.fingerprint(spark.read.parquet(path), settings) not in V.latest(spark, folder)
+    with pytest.raises(ValueError):
+        V.fingerprint(spark.range(3), settings)
+
+
 def test_experiments(spark, tmp_path):
     empty = spark.createDataFrame([], "experiment_id long, created timestamp, settings map<string,string>")
     assert R.next_experiment_id(empty).first()[0] == 1

@@ -131,6 +131,24 @@ def importances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.unionByName(micro).select(*keys, "inner_fold", "kind", "feature", "value")
 
 
+def fits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation metric and best parameters of every run: mean discount, mean tax and largest quantity of its lines."""
+    return (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(
+            (1 + F.col("l_partkey") % 2).alias("experiment_id"),
+            F.concat(F.lit("m_"), "l_returnflag").alias("method"),
+            (F.col("l_linenumber") - 1).alias("outer_fold"),
+        )
+        .agg(
+            (F.sum(percent("l_discount")) / F.count("*")).alias("validation_metric"),
+            F.create_map(
+                F.lit("alpha"), F.sum(percent("l_tax")) / F.count("*"), F.lit("depth"), F.max("l_quantity").cast("double")
+            ).alias("best_params"),
+        )
+    )
+
+
 def raw_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reverse results: line status = method, discount and tax = the two qualities."""
     return (

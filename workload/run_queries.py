@@ -47,6 +47,29 @@ def load_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.load_results(spark, folder, 2, ["m_A", "m_N"]).select(*_IMPORTANCE_COLUMNS)
 
 
+def store_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both experiments stored whole; the first again with other metrics, and once more with a hole, which readers never see."""
+    folder = _new_folder(spark, "runs")
+    run = R.Run(*[stage(f(spark, sf_dir)) for f in (inputs.importances, inputs.fits, inputs.raw_reverse)])
+    doubled = R.Run(run.importances, run.fits.withColumn("validation_metric", F.col("validation_metric") * 2), run.reverse)
+    broken = R.Run(run.importances, run.fits.where("outer_fold <> 3"), run.reverse)
+    for experiment, what in ((1, run), (2, run), (1, doubled)):
+        R.store_run(what, folder, experiment, 3)
+    try:
+        R.store_run(broken, folder, 2, 3)
+    except ValueError:
+        pass
+    else:
+        raise RuntimeError("a run without metrics was stored")
+    loaded = R.load_run(spark, folder)
+    keys = ["experiment_id", "method", "outer_fold"]
+    values = loaded.importances.groupBy(*keys).agg(F.count("*").alias("n_values"), F.sum("value").alias("total"))
+    reverse = loaded.reverse.groupBy("experiment_id").agg(F.count("*").alias("n_reverse"), F.sum("labeled").alias("labeled"))
+    rows = values.join(loaded.fits, keys).join(reverse, "experiment_id")
+    params = {c: F.col("best_params")[c] for c in ("alpha", "depth")}
+    return _value(rows.withColumns(params).drop("best_params"), "total", "labeled", "validation_metric", "alpha", "depth")
+
+
 def flatten_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     nested = R.nest_results(inputs.importances(spark, sf_dir))
     return R.flatten_results(nested).select(*_IMPORTANCE_COLUMNS)
@@ -220,6 +243,7 @@ def queries() -> dict:
     return {
         "store_results": store_results,
         "load_results": load_results,
+        "store_run": store_run,
         "flatten_results": flatten_results,
         "experiment_catalog": experiment_catalog,
         "export_results": export_results,
@@ -251,6 +275,14 @@ def oracle_sql() -> dict[str, str]:
     return {
         "store_results": everything,
         "flatten_results": everything,
+        "store_run": f"WITH {RAW_RESULTS}, v AS (SELECT experiment_id, method, outer_fold, count(*) AS n_values, sum(value) AS total"
+        " FROM importances GROUP BY 1, 2, 3), f AS (SELECT 1 + l_partkey % 2 AS experiment_id, 'm_' || l_returnflag AS method,"
+        f" l_linenumber - 1 AS outer_fold, sum({pct('l_discount')}) / count(*) AS metric, sum({pct('l_tax')}) / count(*) AS alpha,"
+        " max(l_quantity) AS depth FROM lineitem GROUP BY 1, 2, 3),"
+        " r AS (SELECT experiment_id, count(*) AS n_reverse, sum(labeled) AS labeled FROM raw_reverse GROUP BY 1)"
+        f" SELECT experiment_id, method, outer_fold, n_values, {q6('total')} AS total, n_reverse, {q6('labeled')} AS labeled,"
+        f" {q6('metric * CASE WHEN experiment_id = 1 THEN 2 ELSE 1 END')} AS validation_metric, {q6('alpha')} AS alpha,"
+        f" {q6('CAST(depth AS DOUBLE)')} AS depth FROM v JOIN f USING (experiment_id, method, outer_fold) JOIN r USING (experiment_id)",
         "load_results": everything + " WHERE experiment_id = 2 AND method <> 'm_R'",
         "experiment_catalog": "SELECT o_custkey AS experiment_id, min(o_orderdate) AS created,"
         " CAST(count(*) AS VARCHAR) AS orders, max(o_custkey) OVER () + 1 AS next_id FROM orders GROUP BY o_custkey",

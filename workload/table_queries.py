@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featwright.functions.expressions import rounded
 from featwright.operators import folds, prepare, transform
 from featwright.operators.gram import correlations, spearman_correlations
+from featwright.plans.splits import prepared_splits
 from featwright.settings import Settings
 from featwright.sources import tables
-from featwright.storage import stage
+from featwright.storage import shared_dir, stage
 from workload import inputs
 from workload.score_queries import pct, q6
 
@@ -127,6 +130,19 @@ def uncorrelated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.uncorrelated_features(_train_vectors(spark, sf_dir), ["outer_fold"], 0.05)
 
 
+def reuse_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prepared twice: the second time the stored splits of the same files and settings are read. Their outer exponents."""
+    folder = f"{shared_dir(spark)}/splits-{uuid.uuid4().hex}"
+    samples = inputs.embedding_samples(spark, sf_dir)
+    for there in (False, True):
+        splits, found = prepared_splits(samples, folder, SETTINGS, "embeddings")
+        if found != there:
+            raise RuntimeError("prepared splits were not stored, or read too early")
+    outer = splits.fitted.where("inner_fold IS NULL").select("outer_fold", F.inline("_fit"))
+    name = F.concat(F.lit("f_"), F.col("feature_ord").cast("string"))
+    return outer.select("outer_fold", name.alias("feature"), rounded(F.col("lambda"), 4).alias("lambda"))
+
+
 # ---- the same in SQL -------------------------------------------------------
 
 CELLS = """
@@ -234,6 +250,7 @@ def queries() -> dict:
         "yeojohnson_lambda": yeojohnson_lambda,
         "yeojohnson_grid": yeojohnson_grid,
         "yeojohnson_apply": yeojohnson_apply,
+        "reuse_splits": reuse_splits,
         "standardize": standardize,
         "corr_pearson": corr_pearson,
         "corr_spearman": corr_spearman,
@@ -280,6 +297,7 @@ def oracle_sql() -> dict[str, str]:
         " WHERE role = 'train'), skews AS (SELECT outer_fold, feature, lam, abs(skewness(t)) AS s FROM powered GROUP BY 1, 2, 3)"
         f" SELECT outer_fold, feature, {q6('lam')} AS lambda FROM (SELECT *, row_number() OVER"
         " (PARTITION BY outer_fold, feature ORDER BY s, lam) AS place FROM skews) WHERE place = 1",
+        "reuse_splits": f"WITH RECURSIVE {LAMBDAS} SELECT outer_fold, feature, lam AS lambda FROM lambdas",
         "yeojohnson_apply": f"WITH RECURSIVE {LAMBDAS} SELECT outer_fold, role, sample_id, feature,"
         f" {q6(_yj('value', 'lam'))} AS value FROM split_cells JOIN lambdas USING (outer_fold, feature)",
         "standardize": f"WITH {SPLIT_CELLS}, moments AS (SELECT outer_fold, feature, avg(value) AS m, stddev_pop(value) AS s"
