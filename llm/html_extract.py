@@ -18,6 +18,8 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,12 +49,91 @@ BAD_TAGS = frozenset("nav header footer aside form dialog button menu fieldset".
 TAGS = ("p", "li", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "ul", "table", "blockquote", "pre", "body")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Opaque elements whose content ends at the first end tag, however they begin.
+RAW = frozenset("script style textarea title".split())
+_OPEN = re.compile(r"<(?=[!?/a-zA-Z])")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTE = re.compile(r"=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|x-main|x-not)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?]")
 
 
+class _Tags:
+    """The tags of a source in order, in one pass: no place is looked at more than a few times, however broken the source is."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.found: dict[str, int] = {}
+        self.matches: dict[str, tuple[dict[int, int], list[int]]] = {}
+
+    def _next(self, sign: str, at: int) -> int:
+        """The first ``sign`` from ``at`` on, or -1; looked for anew only behind the last one found."""
+        place = self.found.get(sign, -2)
+        if place != -1 and place < at:
+            place = self.found[sign] = self.source.find(sign, at)
+        return place
+
+    def __iter__(self) -> Iterator[tuple[int, int, bool, str, str]]:
+        """(begin, end, whether it closes, name, attributes); comments and the like have an empty name.
+
+        A quote that is not closed before the next tag is an ordinary character; without a > there is no tag.
+        """
+        source, at = self.source, 0
+        while opened := _OPEN.search(source, at):
+            begin = opened.start()
+            ended = next((e for s, e in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<!", ">"), ("<?", ">")) if source.startswith(s, begin)), None)
+            if ended:
+                end = self._next(ended, begin + 2 + 2 * (ended == "-->"))
+                at = len(source) if end < 0 else end + len(ended)
+                yield begin, at, False, "", ""
+                continue
+            named = _NAME.match(source, begin)
+            if not named:
+                at = begin + 1
+                continue
+            place = named.end()
+            while True:
+                end = self._next(">", place)
+                quote = _QUOTE.search(source, place, end) if end >= 0 else None
+                if not quote:
+                    break
+                closing = self._next(quote[1], quote.end())
+                tag = self._next("<", quote.end())
+                if closing < 0 or end < tag < closing:
+                    break
+                place = closing + 1
+            if end < 0:
+                return
+            at = end + 1
+            yield begin, at, bool(named[1]), named[2].lower(), source[named.end() : end]
+
+    def content_end(self, name: str, begin: int, at: int) -> int | None:
+        """Where the element that begins at ``begin`` is over; None if it is never closed."""
+        if name not in self.matches:
+            opened: list[int] = []
+            ends: dict[int, int] = {}
+            closes: list[int] = []
+            for m in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])", self.source, re.I):
+                if m[1]:
+                    closes.append(m.start())
+                    if opened:
+                        ends[opened.pop()] = m.start()
+                elif self.source[self.source.find(">", m.end(), m.end() + 10_000) - 1] != "/":
+                    opened.append(m.start())
+            self.matches[name] = ends, closes
+        ends, closes = self.matches[name]
+        if name in RAW:
+            k = bisect_left(closes, at)
+            place = closes[k] if k < len(closes) else None
+        else:
+            place = ends.get(begin)
+        if place is None:
+            return None
+        end = self.source.find(">", place)
+        return len(self.source) if end < 0 else end + 1
+
+
 class Page:
     """Block nodes in page order (a parent before its children) and the pieces of text that they own."""
 
@@ -65,31 +146,35 @@ class Page:
         #: (node, block number, text, inside a link)
         self.pieces: list[tuple[int, int, str, bool]] = []
         stack: list[tuple[str, int]] = [("#root", 0)]
+        standing = Counter(["#root"])  # open elements by name
         block = at = links = 0
-        for m in _TAG.finditer(source):
-            if m.start() < at:
+        tags = _Tags(source)
+        for begin, end, closes, name, rest in tags:
+            if begin < at:
                 continue
-            if m.start() > at:
-                self.pieces.append((stack[-1][1], block, html.unescape(source[at : m.start()]), links > 0))
-            at = m.end()
-            name = (m[2] or "").lower()
+            if begin > at:
+                self.pieces.append((stack[-1][1], block, html.unescape(source[at:begin]), links > 0))
+            at = end
             if not name:
                 continue
-            if m[1]:
+            alone = rest.rstrip().endswith("/")
+            if closes:
                 if name == "a":
                     links = max(0, links - 1)
                 if name in INLINE:
                     continue
                 block += 1
-                if any(t == name for t, _ in stack):
-                    while stack.pop()[0] != name:
-                        pass
-                    if not stack:
-                        stack.append(("#root", 0))
+                while standing[name]:
+                    ended, _ = stack.pop()
+                    standing[ended] -= 1
+                    if ended == name:
+                        break
                 continue
             if name in OPAQUE:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else len(source)
+                # who closes itself or is never closed has no content, but scripts and the like run to the end
+                if name in RAW or not alone:
+                    over = tags.content_end(name, begin, at)
+                    at = over if over is not None else len(source) if name in RAW else at
                 block += 1
                 continue
             if name in INLINE:
@@ -102,12 +187,11 @@ class Page:
                 continue
             block += 1
             links = 0
-            if stack[-1][0] == "p":
-                stack.pop()
-            for ended in ITEMS.get(name, ()):
+            for ended in ("p", *ITEMS.get(name, ())):
                 if stack[-1][0] == ended:
                     stack.pop()
-            attributes = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(m[3])} if m[3] else {}
+                    standing[ended] -= 1
+            attributes = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(rest)} if rest else {}
             marked = 1 if "x-main" in attributes else -1 if "x-not" in attributes else 0
             tokens = frozenset(t for k, v in attributes.items() if k[:2] != "x-" for t in _TOKEN.findall(v))
             self.tag.append(name)
@@ -115,8 +199,9 @@ class Page:
             self.tokens.append(tokens)
             self.marked.append(marked)
             self.inline_tags.append(0)
-            if not m[3].rstrip().endswith("/"):
+            if not alone:
                 stack.append((name, len(self.tag) - 1))
+                standing[name] += 1
         if at < len(source):
             self.pieces.append((stack[-1][1], block, html.unescape(source[at:]), False))
 
