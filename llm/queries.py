@@ -78,7 +78,7 @@ def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per candidate of every document, with its score; the candidate itself is not shown."""
     found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return found.select("doc_id", "position", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
+    return found.select("doc_id", "position", "place", F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
