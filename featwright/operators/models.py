@@ -6,6 +6,7 @@ a time. The driver sees one importance vector per fit.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
@@ -32,6 +33,7 @@ class Fit:
     score: float | None
     weights: list[float]
     model: object = None
+    cuts: list[tuple[int, float]] | None = None  # of 0/1 columns the model was fitted on
 
 
 def with_vectors(rows: DataFrame) -> DataFrame:
@@ -143,7 +145,7 @@ def _thresholds(train: DataFrame, per_feature: int, seed: int) -> list[tuple[int
     ]
 
 
-def _encoded(rows: DataFrame, thresholds: list[tuple[int, float]], label: Column) -> DataFrame:
+def encoded(rows: DataFrame, thresholds: list[tuple[int, float]], label: Column) -> DataFrame:
     """0/1 columns ``x > threshold``."""
     columns = ", ".join(str(j) for j, _ in thresholds)
     cuts = ", ".join(f"{t!r}D" for _, t in thresholds)
@@ -176,9 +178,9 @@ def extra_trees(train: DataFrame, valid: DataFrame | None, params: dict, num_tre
         minInstancesPerNode=int(params["min_samples_leaf"]),
         seed=seed,
         **_EXTRA,
-    ).fit(_encoded(train, thresholds, label))
-    score = None if valid is None else _accuracy(model, _encoded(valid, thresholds, label))
-    return Fit(score, _by_feature(model, thresholds))
+    ).fit(encoded(train, thresholds, label))
+    score = None if valid is None else _accuracy(model, encoded(valid, thresholds, label))
+    return Fit(score, _by_feature(model, thresholds), model, thresholds)
 
 
 # ---- the runs over splits and trials ----------------------------------------
@@ -214,6 +216,85 @@ def score_trials(
     return spark.createDataFrame(found, FITS)
 
 
+@dataclass(frozen=True)
+class Search:
+    """A search that gave up poor trials early; the driver keeps a score and a weight vector per fit."""
+
+    fits: DataFrame  # as of score_trials, for the fits that were made
+    best: DataFrame  # outer_fold, trial_id, score
+    models: dict[tuple, Fit]  # (outer_fold, inner_fold) -> fit of the best trial
+
+
+def rungs(n_folds: int, reduction: int = 4, first: int = 1) -> set[int]:
+    """Numbers of folds after which a search halves its trials: ``first``, ``first·reduction``, …"""
+    found, at = set(), first
+    while at < n_folds:
+        found.add(at)
+        at *= reduction
+    return found
+
+
+def promoted(scores: dict[int, list[float]], maximize: bool, reduction: int = 4) -> list[int]:
+    """The best ``1/reduction`` of the trials (one at least) by mean score; lower ids first among equals."""
+    sign = -1 if maximize else 1
+    order = sorted(scores, key=lambda t: (sign * sum(scores[t]) / len(scores[t]), t))
+    return sorted(order[: max(1, len(order) // reduction)])
+
+
+def search_trials(
+    splits: Splits, scorer: Scorer, trials: Sequence[dict], maximize: bool = True, reduction: int = 4, parallelism: int = 4, **options
+) -> Search:
+    """Successive halving over the inner folds: all trials are fitted on the first, the best go on at every rung.
+
+    A trial without a weight, or without a score, in some fold is out at once. Only the best trial is refitted
+    on the outer train part. An outer fold without a trial left has no row in ``best``.
+    """
+    s = splits.settings
+    spark = splits.samples.sparkSession
+    at_rung = rungs(s.n_inner_folds, reduction)
+    found: list[tuple] = []
+    best: list[tuple] = []
+    models: dict[tuple, Fit] = {}
+    pool = ThreadPool(parallelism)
+    try:
+        for outer in range(s.n_outer_folds):
+            scores: dict[int, list[float]] = {t: [] for t in range(len(trials))}
+            kept: dict[int, list[Fit]] = {t: [] for t in scores}
+            for inner in range(s.n_inner_folds):
+                with split_rows(splits, outer, inner) as (train, valid):
+
+                    @inheritable_thread_target(spark)
+                    def one(trial_id, train=train, valid=valid):
+                        return trial_id, scorer(train, valid, trials[trial_id], **options)
+
+                    done = pool.map(one, list(scores))
+                for trial_id, fit in done:
+                    found.append((outer, inner, trial_id, fit.score, fit.weights))
+                    if fit.score is None or math.isnan(fit.score) or not any(fit.weights):
+                        del scores[trial_id], kept[trial_id]
+                    else:
+                        scores[trial_id].append(fit.score)
+                        kept[trial_id].append(fit)
+                if scores and inner + 1 in at_rung:
+                    alive = promoted(scores, maximize, reduction)
+                    scores, kept = {t: scores[t] for t in alive}, {t: kept[t] for t in alive}
+            if not scores:
+                continue
+            chosen = promoted(scores, maximize, max(len(scores), 1))[0]
+            with split_rows(splits, outer, None) as (train, _):
+                fit = scorer(train, None, trials[chosen], **options)
+            found.append((outer, None, chosen, None, fit.weights))
+            best.append((outer, chosen, sum(scores[chosen]) / len(scores[chosen])))
+            models |= {(outer, inner): f for inner, f in enumerate(kept[chosen])} | {(outer, None): fit}
+    finally:
+        pool.close()
+    return Search(
+        spark.createDataFrame(found, FITS),
+        spark.createDataFrame(best, "outer_fold int, trial_id int, score double"),
+        models,
+    )
+
+
 # ---- reverse selection with trees -------------------------------------------
 
 
@@ -263,8 +344,8 @@ def extra_trees_regression(train: DataFrame, valid: DataFrame, params: dict, num
         minInstancesPerNode=int(params["min_samples_leaf"]),
         seed=seed,
         **_EXTRA,
-    ).fit(_encoded(train, thresholds, F.col("label")))
-    done = model.transform(_encoded(valid, thresholds, F.col("label")))
+    ).fit(encoded(train, thresholds, F.col("label")))
+    done = model.transform(encoded(valid, thresholds, F.col("label")))
     return _by_feature(model, thresholds), done.select("label", "prediction")
 
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from featwright.operators.attribution import leaves_of, tree_attribution
 from featwright.operators.lasso import lasso_trials, reverse_lasso
+from featwright.operators.models import Scorer, Search, search_trials
 from featwright.operators.trials import best_trial
 from featwright.plans.splits import SPLIT, Splits
 from featwright.storage import stage
@@ -64,6 +67,31 @@ def select_lasso(splits: Splits, blocks: DataFrame, alphas: Sequence[float]) ->
     return Selection(best, importances_of(fits, best).unionByName(linear_shap(splits, fits, best)))
 
 
+def tree_shap(splits: Splits, search: Search) -> DataFrame:
+    """Sum over the inner validation rows of |Shapley value| under the best trial's model of that fold."""
+    spark = splits.samples.sparkSession
+    tables = [
+        leaves_of(fit.model, spark, fit.cuts).withColumns({"outer_fold": F.lit(outer), "inner_fold": F.lit(inner)})
+        for (outer, inner), fit in search.models.items()
+        if inner is not None
+    ]
+    valid = splits.rows().where("inner_fold is not null and role = 'valid'")
+    sums = tree_attribution(valid, stage(reduce(DataFrame.unionByName, tables)), SPLIT)
+    return sums.select(*SPLIT, F.lit("shap").alias("kind"), "feature_ord", "value")
+
+
+def select_by_search(
+    splits: Splits, scorer: Scorer, trials: Sequence[dict], maximize: bool = True, linear: bool = False, **options
+) -> Selection:
+    """Any method: search with early stopping, macro and micro importances and attributions of the best trial."""
+    search = search_trials(splits, scorer, trials, maximize, **options)
+    fits, best = stage(search.fits), stage(search.best)
+    if not search.models:
+        return Selection(best, importances_of(fits, best))
+    shap = linear_shap(splits, fits, best) if linear else tree_shap(splits, search)
+    return Selection(best, importances_of(fits, best).unionByName(shap))
+
+
 def named(results: DataFrame, feature_names: Sequence[str], method: str, experiment_id: int = 1) -> DataFrame:
     """Raw results with feature names in place of column numbers."""
     name: Column = F.element_at(F.array(*[F.lit(n) for n in feature_names]), F.col("feature_ord") + 1)

@@ -9,11 +9,13 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from featwright.operators import attribution, lasso, models
+from featwright.operators.gram import gram_blocks
 from featwright.operators.reverse_quality import label_weight_filter, pooled_r2, reverse_best
 from featwright.operators.trials import best_trial, draw_trials, drop_empty_trials, prune_trials
-from featwright.plans.selection import select_lasso
+from featwright.plans.selection import select_by_search, select_lasso
 from featwright.plans.splits import fit_splits
 from featwright.settings import Settings
+from featwright.storage import stage
 
 SETTINGS = Settings(n_outer_folds=2, n_inner_folds=3)
 ALPHAS = [0.01, 0.05, 0.2]
@@ -85,6 +87,41 @@ def test_lasso_equals_mllib(spark, blocks, splits):
     np.testing.assert_allclose(got.weights, model.coefficients.toArray(), atol=1e-5)
 
 
+def test_small_working_sets_reach_the_same_weights(blocks):
+    """Four of six features move a round, so that the fits take several."""
+    one = blocks.where("outer_fold = 1 and inner_fold = 0")
+    want = lasso.lasso_trials(one, ALPHAS).toPandas()
+    got = lasso.lasso_trials(one, ALPHAS, working=4).toPandas()
+    both = got.merge(want, on=["outer_fold", "inner_fold", "trial_id"])
+    assert len(both) == len(got) == 3
+    np.testing.assert_allclose(np.stack(both.weights_x), np.stack(both.weights_y), atol=1e-5)
+    np.testing.assert_allclose(both.score_x, both.score_y, atol=1e-5)
+
+
+def test_lasso_of_more_features_than_a_task_holds(spark):
+    """1,300 columns in six panels a side; a task moves 200. The weights meet the optimality conditions on the rows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 1300))
+    x[:, 1] = 2.0  # constant
+    x[:, 2] = x[:, 700]  # the same column twice
+    y = x[:, [5, 300, 700, 1299]].sum(axis=1) + rng.normal(size=90) * 0.1
+    frame = pd.DataFrame({"sample_id": range(90), "role": ["train"] * 60 + ["valid"] * 30, "features": list(np.column_stack([x, y]))})
+    rows = spark.createDataFrame(frame).select(
+        F.lit(0).alias("outer_fold"), F.lit(None).cast("int").alias("inner_fold"), "role", "features"
+    )
+    blocks = stage(gram_blocks(rows, ["outer_fold", "inner_fold", "role"]))
+    got = lasso.lasso_trials(blocks, [0.02, 0.3, 50.0], working=200).toPandas().sort_values("trial_id")
+    xc, yc = x[:60] - x[:60].mean(axis=0), y[:60] - y[:60].mean()
+    for r in got.itertuples():
+        w = np.asarray(r.weights)
+        gradient = xc.T @ (yc - xc @ w) / 60
+        assert (np.abs(gradient) <= r.alpha + 1e-5).all()
+        np.testing.assert_allclose(gradient[w != 0], r.alpha * np.sign(w[w != 0]), atol=1e-5)
+        left = y[60:] - y[:60].mean() - (x[60:] - x[:60].mean(axis=0)) @ w
+        assert abs(r.score - (1 - (left**2).sum() / ((y[60:] - y[60:].mean()) ** 2).sum())) < 1e-8
+    assert [(np.asarray(w) != 0).any() for w in got.weights] == [True, True, False]
+
+
 def test_selection_has_all_parts(splits, blocks):
     chosen = select_lasso(splits, blocks, ALPHAS)
     got = chosen.importances.groupBy("outer_fold", "kind").count().toPandas()
@@ -174,12 +211,19 @@ def _game(x, leaves, known):
     )
 
 
+def _listed(leaves):
+    return [(r.value, [(p.feature, p.low, p.high, p.share) for p in r.path]) for r in leaves.collect()]
+
+
 def test_tree_attribution_is_shapley(spark, splits):
     with models.split_rows(splits, 0, None) as (train, valid):
         fit = models.random_forest(train, None, {"max_depth": 3, "min_samples_leaf": 2}, num_trees=3)
-        leaves = attribution.leaves_of(fit.model, spark)
+        table = attribution.leaves_of(fit.model, spark).withColumn("outer_fold", F.lit(0))
+        leaves = _listed(table)
         x = np.stack(valid.toPandas().features)[:6]
-        total = attribution.tree_attribution(valid, leaves).toPandas().set_index("feature_ord").value.sort_index()
+        # small parts: several tasks add to the same row
+        total = attribution.tree_attribution(valid, table, rows_per_task=20, leaves_per_task=5)
+        total = total.toPandas().set_index("feature_ord").value.sort_index()
         every = np.stack(valid.toPandas().features)
     phi = attribution.shapley_of_leaves(x, leaves)
     for row, got in zip(x, phi):
@@ -191,9 +235,43 @@ def test_tree_attribution_is_shapley(spark, splits):
                 for known in itertools.combinations(others, n):
                     want += weight * (_game(row, leaves, {*known, f}) - _game(row, leaves, set(known)))
             assert abs(got[f] - want) < 1e-12
+    assert list(total.index) == list(range(6))
     np.testing.assert_allclose(total, np.abs(attribution.shapley_of_leaves(every, leaves)).sum(axis=0))
 
 
+def test_search_gives_up_poor_trials(splits):
+    """The score is the trial's own parameter: the best trial is known, and most fits are not made."""
+
+    def scorer(train, valid, params):
+        return models.Fit(None if valid is None else params["q"], [params["w"]] * 6)
+
+    trials = [{"q": float(q % 7), "w": 1.0} for q in range(16)] + [{"q": 99.0, "w": 0.0}, {"q": float("nan"), "w": 1.0}]
+    search = models.search_trials(splits, scorer, trials)
+    made = search.fits.groupBy("outer_fold", "inner_fold").count().toPandas()
+    counts = {(r[0], None if pd.isna(r[1]) else int(r[1])): r[2] for r in made.itertuples(index=False)}
+    assert counts == {(o, k): n for o in (0, 1) for k, n in ((0, 18), (1, 4), (2, 4), (None, 1))}
+    assert [tuple(r) for r in search.best.orderBy("outer_fold").collect()] == [(0, 6, 6.0), (1, 6, 6.0)]
+    worst = models.search_trials(splits, scorer, trials[:16], maximize=False)
+    assert {r.trial_id for r in worst.best.collect()} == {0}
+    nothing = models.search_trials(splits, scorer, trials[16:])
+    assert nothing.best.isEmpty() and not nothing.models
+
+
+def test_rungs():
+    assert models.rungs(5) == {1, 4}
+    assert models.rungs(1) == set()
+    assert models.promoted({3: [1.0], 1: [1.0], 2: [0.0]}, True) == [1]
+
+
+def test_a_searched_method_has_all_parts(splits):
+    trials = [{"max_depth": 2, "min_samples_leaf": 2}, {"max_depth": 3, "min_samples_leaf": 40}]
+    chosen = select_by_search(splits, models.extra_trees, trials, num_trees=2)
+    sizes = chosen.importances.groupBy("outer_fold", "kind").count().toPandas().set_index(["outer_fold", "kind"])["count"].to_dict()
+    assert sizes == {(o, k): 6 * n for o in (0, 1) for k, n in (("macro", 3), ("micro", 1), ("shap", 3))}
+    top = chosen.importances.where("kind = 'shap'").groupBy("feature_ord").agg(F.sum("value").alias("v")).orderBy(F.desc("v")).first()
+    assert top.feature_ord == 1
+
+
 def test_trial_tables(spark):
     draws = draw_trials("boosting", 50, 30)
     assert draws == draw_trials("boosting", 50, 30)
