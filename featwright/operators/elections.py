@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
+from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -228,80 +229,158 @@ def elect_bucklin(ballots: DataFrame, block: int = 20_000) -> DataFrame:
 # ---- Coombs ----------------------------------------------------------------
 
 
+def _first_later(times: np.ndarray, k: int, time: int) -> int:
+    """The first place from ``k`` on whose time is above ``time``, in steps of growing length; the length if there is none."""
+    step = 32
+    while k < len(times):
+        found = times[k : k + step] > time
+        i = int(found.argmax())
+        if found[i]:
+            return k + i
+        k, step = k + step, 4 * step
+    return len(times)
+
+
+def _last_equal(times: np.ndarray, k: int, time: int) -> int:
+    """The last place up to ``k`` whose time is ``time``; -1 if there is none."""
+    step = 32
+    while k >= 0:
+        low = max(0, k - step + 1)
+        found = times[low : k + 1][::-1] == time
+        i = int(found.argmax())
+        if found[i]:
+            return k - i
+        k, step = low - 1, 4 * step
+    return -1
+
+
 class _Eliminations:
-    """The log of a Coombs election's eliminations, kept from place to place.
+    """The log of a Coombs election's eliminations and the first choices it leads to, kept from place to place.
 
     Who leaves depends on the last places only. So when a winner is taken out, the log stays right up to
     the time when that winner first stood last on a ballot: only what follows is undone and held again.
+
+    A ballot's first choices in the course of the log are those that leave later than all in front of them. They are kept
+    as a stack, whose top is the first choice now, each with the time since when it is. Undoing and winning take from
+    the top only, so that a stack changes by a few entries a place. A candidate has a majority from the
+    time on when it is on top for enough ballots; the earliest such time is kept in a heap.
     """
 
     def __init__(self, positions: np.ndarray):
         n, voters = positions.shape
-        self.ballots = [positions[:, v].argsort().tolist() for v in range(voters)]
-        self.place = [np.argsort(ballot).tolist() for ballot in self.ballots]
+        order = [positions[:, v].argsort() for v in range(voters)]
+        self.ballots = [ballot.tolist() for ballot in order]
+        self.place = [np.argsort(ballot) for ballot in order]
         self.gone = [False] * n
         self.never = n + 1
         self.out = [self.never] * n  # number of the elimination, if any
+        self.times = [np.full(n, self.never, np.int32) for _ in order]  # the same by place on a ballot; 0: gone
         self.log: list[int] = []
         self.tail = [n - 1] * voters
-        self.head = [0] * voters
         self.stood: dict[int, int] = {}  # eliminations before a candidate first stood last
         self.order: list[int] = []
+        self.front = [0] * voters  # all in front of it are gone
+        self.heads: list[list[tuple[int, int]]] = [[] for _ in order]  # (candidate, since when) of each ballot
+        self.needed = voters // 2 + 1
+        self.since: dict[int, list[int]] = {}  # since when a candidate is first choice, of all ballots that it leads
+        self.majorities: list[tuple[int, int]] = []  # heap of (time, candidate); holds outdated ones too
+        for v in range(voters):
+            self._lead(v)
         self._note()
 
     def _note(self) -> None:
         """Move the tails to candidates that are left."""
         for v, ballot in enumerate(self.ballots):
             k = self.tail[v]
-            while k >= 0 and (self.gone[ballot[k]] or self.out[ballot[k]] < self.never):
-                k -= 1
-            self.tail[v] = k
+            if k >= 0 and (self.gone[ballot[k]] or self.out[ballot[k]] < self.never):
+                k = self.tail[v] = _last_equal(self.times[v], k, self.never)
             if k >= 0 and ballot[k] not in self.stood:
                 self.stood[ballot[k]] = len(self.log)
                 self.order.append(ballot[k])
 
+    def _lead(self, v: int) -> None:
+        """Prolong a ballot's first choices up to the one that is left."""
+        heads, times = self.heads[v], self.times[v]
+        while not heads or self.out[heads[-1][0]] < self.never:
+            if heads:
+                time = self.out[heads[-1][0]]
+                k = _first_later(times, int(self.place[v][heads[-1][0]]) + 1, time)
+            else:
+                time = 0
+                k = self.front[v] = _first_later(times, self.front[v], 0)
+            if k == len(times):
+                break
+            c = self.ballots[v][k]
+            heads.append((c, time))
+            self.since.setdefault(c, []).append(time)
+            self._majority(c)
+
+    def _drop_head(self, v: int) -> None:
+        c, time = self.heads[v].pop()
+        self.since[c].remove(time)
+        self._majority(c)
+
+    def _majority_since(self, c: int) -> int | None:
+        times = self.since[c]
+        return sorted(times)[self.needed - 1] if len(times) >= self.needed else None
+
+    def _majority(self, c: int) -> None:
+        time = self._majority_since(c)
+        if time is not None:
+            heappush(self.majorities, (time, c))
+
     def eliminate(self) -> None:
         """Whoever is last most often leaves; among equals the one with the highest number."""
-        lasts = Counter(ballot[k] for ballot, k in zip(self.ballots, self.tail))
-        loser = max(lasts, key=lambda c: (lasts[c], c))
+        lasts: dict[int, int] = {}
+        for ballot, k in zip(self.ballots, self.tail):
+            lasts[ballot[k]] = lasts.get(ballot[k], 0) + 1
+        loser = max(zip(lasts.values(), lasts))[1]
         self.log.append(loser)
         self.out[loser] = len(self.log)
+        for v, times in enumerate(self.times):
+            times[self.place[v][loser]] = len(self.log)
+        for v, heads in enumerate(self.heads):
+            if heads[-1][0] == loser:
+                self._lead(v)
         self._note()
 
-    def winner(self) -> int:
-        """Follow the first choices through the log, and prolong it until one of them has a majority."""
-        at = list(self.head)
-        heads = [ballot[k] for ballot, k in zip(self.ballots, at)]
+    def winner(self, steps: int | None = None) -> int | None:
+        """The first with a majority; the log is prolonged until there is one (None: it is not after ``steps`` eliminations)."""
         while True:
-            leader, votes = Counter(heads).most_common(1)[0]
-            if 2 * votes > len(heads):
-                return leader
-            time = min(self.out[c] for c in heads)
-            while time == self.never:
-                self.eliminate()
-                time = min(self.out[c] for c in heads)
-            for v, ballot in enumerate(self.ballots):
-                k = at[v]
-                while self.gone[ballot[k]] or self.out[ballot[k]] <= time:
-                    k += 1
-                at[v], heads[v] = k, ballot[k]
+            while self.majorities:
+                time, c = self.majorities[0]
+                if self._majority_since(c) == time:
+                    return c
+                heappop(self.majorities)
+            if steps is not None and len(self.log) >= steps:
+                return None
+            self.eliminate()
 
     def take_out(self, winner: int) -> None:
         self.gone[winner] = True
         since = self.stood.get(winner)
-        if since is not None:
-            undone = self.log[since:]
+        undone = [] if since is None else self.log[since:]
+        if undone:
             del self.log[since:]
             for c in undone:
                 self.out[c] = self.never
             for v, place in enumerate(self.place):
-                self.tail[v] = max([self.tail[v], *(place[c] for c in undone)])
+                back = place[undone]
+                self.times[v][back] = self.never
+                self.tail[v] = max(self.tail[v], int(back.max()))
+                heads = self.heads[v]
+                while len(heads) > 1 and self.out[heads[-2][0]] == self.never:
+                    self._drop_head(v)
+        # who is left and leads a ballot is on top
+        for v, heads in enumerate(self.heads):
+            self.times[v][self.place[v][winner]] = 0
+            if heads and heads[-1][0] == winner:
+                self._drop_head(v)
+                self._lead(v)
+        if since is not None:
             while self.order and self.stood[self.order[-1]] > since:
                 del self.stood[self.order.pop()]
             self._note()
-        for v, ballot in enumerate(self.ballots):
-            while self.head[v] < len(ballot) and self.gone[ballot[self.head[v]]]:
-                self.head[v] += 1
 
 
 def _coombs_winners(positions: np.ndarray) -> Iterator[int]:
@@ -315,22 +394,10 @@ def _coombs_winners(positions: np.ndarray) -> Iterator[int]:
 def _coombs_steps(positions: np.ndarray, steps: int) -> tuple[int | None, list[int]]:
     """The winner, or the first ``steps`` eliminations if there is none so far."""
     election = _Eliminations(positions)
-    head = list(election.head)
-    for _ in range(steps + 1):
-        heads = []
-        for v, ballot in enumerate(election.ballots):
-            while election.out[ballot[head[v]]] < election.never:
-                head[v] += 1
-            heads.append(ballot[head[v]])
-        leader, votes = Counter(heads).most_common(1)[0]
-        if 2 * votes > len(heads):
-            return leader, election.log
-        if len(election.log) < steps:
-            election.eliminate()
-    return None, election.log
-
-
-def elect_coombs(ballots: DataFrame, block: int = 100_000) -> DataFrame:
+    return election.winner(steps), election.log
+
+
+def elect_coombs(ballots: DataFrame, block: int = 500_000) -> DataFrame:
     """Rank all by repeated Coombs elections: a majority of first places wins, else whoever is last most often leaves.
 
     An election of up to ``block`` candidates is held in one task from its first place to its last. In a larger one a job
