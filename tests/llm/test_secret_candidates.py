@@ -55,3 +55,17 @@ def test_a_very_long_word(spark):
     start = time.perf_counter()
     rows = {r.doc_id: r for r in secret_scan.featured(secret_scan.candidates(docs), words).collect()}
     assert rows[1].length == 100_000 and rows[1].repeat_pairs > 0.99 and time.perf_counter() - start < 30
+
+
+def test_dictionary_counts_all_documents(spark):
+    """A word is counted wherever it stands, not in a sample; a row that comes twice counts once."""
+    rows = [(i, f"filler{'x' * (i % 3)} plain words", "a") for i in range(4_000)]
+    rows[17] = (17, "rareone rareone rareone", "a")
+    rows += [(9_000, "doubled doubled", "a"), (9_000, "doubled doubled", "a"), (9_001, None, "a"), (None, "nobody nobody nobody", "a")]
+    for k in range(40):
+        rows[100 * k + 50] = (100 * k + 50, f"seldom{chr(97 + k % 26)}{chr(97 + k // 26)} " * 3, "a")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {r.piece for r in secret_scan.dictionary(docs).collect()}
+    assert {"plain", "words", "filler", "rareone", "nobody"} <= found
+    assert {f"seldom{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40)} <= found
+    assert "doubled" not in found
