@@ -9,12 +9,19 @@ buckets gives the rank. The only whole-group window runs over bucket totals.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from featwright.functions.expressions import LOWEST_BUCKET, order_bucket
+from featwright.storage import stage
 
 
 def value_ranks(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
@@ -96,19 +103,59 @@ def strict_positions(
 ) -> DataFrame:
     """Positions 1, 2, 3… by falling ``value``; equal values in order of the unique number ``tie``.
 
-    Missing values (NULL or NaN) come last, in order of ``tie``.
+    Missing values (NULL or NaN) come last, in order of ``tie``. Rows equal in all of these share a position; rows without a group
+    or a ``tie`` have none and are left out.
+
+    All groups are sorted together, dealt to tasks by range: a group of any size is cut where it meets the end of a range.
+    Tasks number their own part of a group; those before it are counted once more from the stored result.
     """
-    group, ranked = list(group), [*group, "_missing", "_value"]
+    group = list(group)
     missing = F.col(value).isNull() | F.isnan(value)
-    df = df.withColumn("_missing", missing).withColumn("_value", F.when(missing, F.lit(0)).otherwise(F.col(value)))
-    present = df.groupBy(*group).agg(F.count_if(~F.col("_missing")).alias("_present"))
-    by_value = with_ranks(df, [*group, "_missing"], "_value").withColumn("_first", lowest_descending())
-    by_value = by_value.drop("n_equal", "n_less", "n_total", "group_max", "has_null")
-    among_equals = value_ranks(df, ranked, tie).select(*ranked, tie, F.col("n_less").alias("_later"))
-    before = F.when(F.col("_missing"), F.col("_present")).otherwise(0)
-    return (
-        by_value.join(among_equals, [*ranked, tie])
-        .join(present, group)
-        .withColumn(out, (F.col("_first") + F.col("_later") + before).cast("bigint"))
-        .drop("_first", "_later", "_missing", "_value", "_present")
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in group], F.lit(True))
+    # 0.0 and -0.0 are one value
+    keyed = df.where(whole).withColumn("_missing", missing).withColumn("_value", F.when(missing, F.lit(0)).otherwise(F.col(value) + F.lit(0)))
+    keys = [*group, F.col("_missing"), F.col("_value").desc(), F.col(tie).asc_nulls_last()]
+    ranged = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    schema = StructType([*ranged.schema.fields, StructField("_here", LongType()), StructField("_part", IntegerType())])
+    compared = [*group, "_missing", "_value", tie]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last: tuple | None = None
+        begun = place = row = 0  # first row of the last one's group, of those equal to it, and rows so far
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            rows = np.arange(row, row + n)
+            new_group = np.zeros(n, bool)
+            new_value = np.zeros(n, bool)
+            first = tuple(batch.column(batch.schema.get_field_index(c))[0].as_py() for c in compared)
+            new_group[0] = last is None or first[: len(group)] != last[: len(group)]
+            new_value[0] = last is None or first != last
+            for c in compared:
+                column = batch.column(batch.schema.get_field_index(c))
+                other = pc.fill_null(pc.not_equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False)
+                empty = column.is_null().to_numpy(zero_copy_only=False)
+                other = other | (empty[1:] != empty[:-1])
+                new_value[1:] |= other
+                if c in group:
+                    new_group[1:] |= other
+            new_value |= new_group
+            begins = np.maximum.accumulate(np.where(new_group, rows, begun))
+            places = np.maximum.accumulate(np.where(new_value, rows, place))
+            begun, place, row = int(begins[-1]), int(places[-1]), row + n
+            last = tuple(batch.column(batch.schema.get_field_index(c))[n - 1].as_py() for c in compared)
+            columns = [*batch.columns, pa.array(places - begins), pa.array(np.full(n, part, np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "_here", "_part"])
+
+    numbered = stage(ranged.mapInArrow(number, schema))
+    # a row per group and task that holds a part of it
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = numbered.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    offsets = sizes.select(*group, "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    rows = numbered.where(F.col(tie).isNotNull()).join(offsets, [*group, "_part"])
+    others = [c for c in df.columns if c not in (*group, value, tie)]
+    return rows.select(
+        *group, tie, value, *others, (F.col("_before") + F.col("_here") + 1).cast("bigint").alias(out)
     )

@@ -177,7 +177,7 @@ def elect_instant_runoff_simultaneous(ballots: DataFrame, block: int = 50_000) -
 
 # ---- Bucklin ---------------------------------------------------------------
 
-_SWEEP = 64  # places between two looks at all candidates of a block
+_SWEEP = 64  # places between two looks at all candidates of a set; sweeps of many places are made of shorter ones
 
 
 def _levels(positions: np.ndarray) -> np.ndarray:
@@ -186,30 +186,43 @@ def _levels(positions: np.ndarray) -> np.ndarray:
     return np.partition(positions, half, axis=1)[:, half]
 
 
-def _bucklin_winners(positions: np.ndarray) -> Iterator[int]:
-    """Sweeps: when j are gone a level is at most j lower, so that few candidates can win one of the next places."""
+def _one_by_one(positions: np.ndarray, n: int) -> list[int]:
+    """The rows of the next ``n`` winners. Rows are in order of feature_ord, the first of equals wins."""
     rows = np.arange(len(positions))
+    taken = []
+    for _ in range(n):
+        level = _levels(positions)
+        votes = (positions <= level[:, None]).sum(axis=1)
+        best = int((level * (positions.shape[1] + 1) - votes).argmin())
+        taken.append(int(rows[best]))
+        positions = np.delete(positions - (positions > positions[best]), best, axis=0)
+        rows = np.delete(rows, best)
+    return taken
+
+
+def _bucklin_winners(positions: np.ndarray, sweep: int | None = None) -> Iterator[int]:
+    """Sweeps: when j are gone a level is at most j lower, so that few candidates can win one of the next places.
+
+    A sweep of many places is held among those few, in shorter sweeps, so that all candidates are seldom looked at.
+    """
+    rows = np.arange(len(positions))
+    if sweep is None:
+        sweep = _SWEEP
+        while sweep * _SWEEP < len(rows):
+            sweep *= _SWEEP
     while len(rows):
         levels = _levels(positions)
-        n = min(_SWEEP, len(rows))
+        n = min(sweep, len(rows))
         near = np.flatnonzero(levels <= np.partition(levels, n - 1)[n - 1] + n - 1)
-        own, left = positions[near], near
-        taken = []
-        for _ in range(n):
-            level = _levels(own)
-            votes = (own <= level[:, None]).sum(axis=1)
-            # rows are in order of feature_ord, the first of equals wins
-            best = int((level * (own.shape[1] + 1) - votes).argmin())
-            yield int(rows[left[best]])
-            taken.append(left[best])
-            own = np.delete(own - (own > own[best]), best, axis=0)
-            left = np.delete(left, best)
+        own = positions[near]
+        taken = near[_one_by_one(own, n) if sweep == _SWEEP else list(islice(_bucklin_winners(own, sweep // _SWEEP), n))]
+        yield from rows[taken].tolist()
         gone = positions[taken]
-        positions = np.delete(_without(positions, gone), taken, axis=0)
+        positions = _without(np.delete(positions, taken, axis=0), gone)
         rows = np.delete(rows, taken)
 
 
-def elect_bucklin(ballots: DataFrame, block: int = 20_000) -> DataFrame:
+def elect_bucklin(ballots: DataFrame, block: int = 100_000) -> DataFrame:
     """Rank all by repeated Bucklin elections: smallest depth with a majority, most votes at it.
 
     A candidate that wins one of the next k places has a depth of at most k - 1 more than the k-th

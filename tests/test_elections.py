@@ -174,3 +174,24 @@ def test_coombs_keeps_first_choices_from_place_to_place():
         sys.setprofile(None)
     assert sorted(order) == list(range(n))
     assert steps < 1_400 * n
+
+
+def test_bucklin_sweeps_inside_sweeps(monkeypatch):
+    """Few looks at all candidates: sweeps of many places are made of shorter ones, with the same winners."""
+    n, rows = 700, 0
+    rng = np.random.default_rng(2)
+    positions = np.empty((n, 5), np.int64)
+    for v in range(5):
+        positions[np.argsort(np.arange(n) + rng.normal(0, 60, n)), v] = np.arange(1, n + 1)
+    levels = V._levels
+
+    def count(of):
+        nonlocal rows
+        rows += len(of)
+        return levels(of)
+
+    want = V._one_by_one(positions, n)
+    monkeypatch.setattr(V, "_levels", count)
+    monkeypatch.setattr(V, "_SWEEP", 5)
+    assert list(V._bucklin_winners(positions)) == want
+    assert rows < 50 * n

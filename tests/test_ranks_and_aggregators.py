@@ -134,3 +134,17 @@ def test_plans_stay_in_the_jvm_and_partitioned(spark):
     jvm = [a for a in AGGREGATORS if not a.startswith(("Weighted", "Geometric", "Reciprocal"))]
     plan = aggregate_votes(votes, jvm, stored=True)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "SinglePartition" not in plan
+
+
+def test_strict_positions_of_a_group_in_many_tasks(spark):
+    """One sort by range for all groups, cut anywhere; equal rows share a place, rows without group or tie leave a gap."""
+    rng = np.random.default_rng(6)
+    frame = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 30_000, p=[0.8, 0.15, 0.05]), "i": rng.permutation(30_000), "x": rng.integers(0, 4, 30_000)})
+    got = ranks.strict_positions(spark.createDataFrame(frame).repartition(6), ["g"], "x", "i")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 5  # the rows are stored in order; only counts of the tasks' parts are shuffled
+    want = frame.sort_values(["x", "i"], ascending=[False, True]).groupby("g").cumcount() + 1
+    assert (got.toPandas().set_index("i").rk.sort_index() == want.rename(index=frame.i).sort_index()).all()
+    odd = [("g", 1, 0.0, "u"), ("g", 1, -0.0, "v"), ("g", None, 2.0, "w"), ("g", 2, 0.0, "x"), (None, 3, 1.0, "y"), ("g", 4, float("nan"), "z")]
+    odd = ranks.strict_positions(spark.createDataFrame(odd, "g string, i bigint, x double, name string"), ["g"], "x", "i")
+    assert sorted((r.name, r.rk) for r in odd.collect()) == [("u", 2), ("v", 2), ("x", 4), ("z", 5)]
