@@ -178,3 +178,28 @@ def test_split_rows_are_standard(samples):
         np.testing.assert_allclose(np.delete(x.std(axis=0), 2), 1, atol=1e-9)
     checked = folds.check_splits(splits.rows().select("outer_fold", "inner_fold", "role", "label"))
     assert all(r.both_classes for r in checked.collect())
+
+
+def test_first_look_at_exponents_does_not_shuffle_cells(spark, monkeypatch):
+    """The points of the first look are few and stored, so that they go to the cells."""
+    cells = spark.range(40_000).select(
+        (F.col("id") % 3).cast("int").alias("outer_fold"), (F.col("id") % 2).cast("int").alias("inner_fold"),
+        F.concat(F.lit("f_"), (F.col("id") % 4).cast("string")).alias("feature"), F.rand(3).alias("value"),
+    )
+    cells = transform.stage(cells)
+    plans = []
+
+    def staged(df, *args, **options):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return stage(df, *args, **options)
+
+    stage = transform.stage
+    monkeypatch.setattr(transform, "stage", staged)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")
+    try:
+        found = transform.yeojohnson_lambda(cells, "inner_fold", ["outer_fold"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(found) == 3 * 2 * 4
+    first = next(p for p in plans if "log1p" in p.lower())
+    assert "SortMergeJoin" not in first[first.lower().index("log1p") :]
