@@ -303,3 +303,16 @@ def test_reverse_quality(spark):
     trials = spark.createDataFrame([("a", 0, 0.5, 0.1), ("a", 1, 0.7, 0.2), ("b", 0, -0.1, 0.0)], "k string, trial_id int, labeled double, unlabeled double")
     refits = spark.createDataFrame([("a", 1, 0.3), ("b", 0, 1.0)], "k string, trial_id int, label_weight double")
     assert [tuple(r) for r in reverse_best(trials, refits, ["k"]).select("k", "labeled").collect()] == [("a", 0.7)]
+
+
+def test_thresholds_make_the_features_once(spark):
+    """Made inside the function, the features of a target would be computed anew for every threshold."""
+    rows = spark.createDataFrame([(1, 1.0, [0.5, None, 3.0]), (2, 2.0, [-1.0, float("nan"), 0.0]), (3, 1.0, [7.0])], "sample_id bigint, label double, x array<double>")
+    rows = rows.select("sample_id", "label", F.expr("transform(array(2, 0, 1), j -> get(x, j))").alias("features"))
+    cuts = [(0, 0.0), (0, 2.5), (2, -3.0), (2, 1.0)]
+    found = models.encoded(rows, cuts, F.col("label"))
+    assert "get(transform" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["sample_id"]: (r["label"], r["features"].toArray().tolist()) for r in found.collect()}
+    assert got == {1: (1.0, [1, 1, 0, 0]), 2: (2.0, [0, 0, 1, 1]), 3: (1.0, [0, 0, 0, 0])}
+    with pytest.raises(ValueError):
+        models.encoded(rows, cuts[::-1], F.col("label"))
