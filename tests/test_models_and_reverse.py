@@ -16,6 +16,7 @@ from featwright.plans.selection import select_by_search, select_lasso
 from featwright.plans.splits import fit_splits
 from featwright.settings import Settings
 from featwright.storage import stage
+from workload import inputs
 
 SETTINGS = Settings(n_outer_folds=2, n_inner_folds=3)
 ALPHAS = [0.01, 0.05, 0.2]
@@ -316,3 +317,14 @@ def test_thresholds_make_the_features_once(spark):
     assert got == {1: (1.0, [1, 1, 0, 0]), 2: (2.0, [0, 0, 1, 1]), 3: (1.0, [0, 0, 0, 0])}
     with pytest.raises(ValueError):
         models.encoded(rows, cuts[::-1], F.col("label"))
+
+
+def test_letters_are_not_matched_one_by_one(spark, tmp_path):
+    texts = ["Ab c1\n dé_Z", "", None, "123 .,", "x" * 50, "ÀBC ß"]
+    spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    samples = inputs.document_samples(spark, str(tmp_path))
+    assert "[A-Za-z], 0" not in samples._jdf.queryExecution().optimizedPlan().toString()
+    at = inputs.DOCUMENT_FEATURES.index("n_letters")
+    found = {r["sample_id"]: r["features"][at] for r in samples.collect()}
+    assert found == {i: None if t is None else sum(c.isascii() and c.isalpha() for c in t) for i, t in enumerate(texts)}
