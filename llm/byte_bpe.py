@@ -13,12 +13,14 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from llm.common import F, UnitCache, chunks, free_name, units
+from llm.common import F, UnitTable, chunks, free_name, units, with_source
+
 
 
 def byte_characters() -> list[str]:
@@ -97,10 +99,10 @@ class Coder:
         self.ranks = {t: k for k, t in enumerate(vocabulary.tokens)}
         self.split = regex.compile(vocabulary.pattern).findall
         self.characters = {b: c for b, c in enumerate(byte_characters())}
-        self.known = UnitCache(self._encode_units)
+        self.known = UnitTable(self._encode_units)
 
-    def _encode_units(self, new: list[str]) -> list[list[int]]:
-        """Ids of each unit: its pre-tokens one by one."""
+    def _encode_units(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units one after the other, and how many each has: its pre-tokens one by one."""
         split = [self.split(unit) for unit in new]
         ids: dict[str, list[int]] = {}
         spelled: dict[str, str] = {}
@@ -113,10 +115,11 @@ class Coder:
                 spelled[piece] = data.decode("latin-1").translate(self.characters)
         if spelled:
             ids |= zip(spelled, self.processor.encode(list(spelled.values()), num_threads=1))
-        return [[i for p in pieces for i in ids[p]] for pieces in split]
+        found = [[i for p in pieces for i in ids[p]] for pieces in split]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64)
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.known.ids(units(text)), "<u4")
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [ids.astype("<u4", copy=False) for ids in self.known.ids_of([units(t) for t in texts])]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -127,41 +130,41 @@ def _coder(vocabulary: Vocabulary) -> Coder:
     return Coder(vocabulary)
 
 
-def with_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "tokens", digests: bool = False) -> DataFrame:
+def with_tokens(
+    docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "tokens", digests: bool = False, keep_text: bool = True
+) -> DataFrame:
     """``docs`` with a struct column ``out`` added: ids (array<int>) and decoded (the bytes of the ids).
 
     With ``digests`` the struct has n_tokens, ids_sha256 (ids as little-endian
     unsigned 32-bit integers) and decoded_sha256 instead, so that ids need not leave
     the task. NULL and empty texts have no ids. Each row is encoded by itself, also
     when its id is NULL or repeated; an empty table gives an empty result. Other
-    columns pass unchanged; ``out`` gets underscores in front if the name is taken.
+    columns pass unchanged, the text only with ``keep_text``; ``out`` gets underscores in front if the name is taken.
     """
     import hashlib
 
-    out, whole = free_name(docs, out), free_name(docs, "_whole_text")
+    out = free_name(docs, out)
     fields = "n_tokens: bigint, ids_sha256: string, decoded_sha256: string" if digests else "ids: array<int>, decoded: binary"
-    source = docs.withColumn(whole, F.col(text))
-    schema = docs.withColumn(out, F.lit(None).cast(f"struct<{fields}>")).schema
+    source, whole = with_source(docs, text, "_whole_text")
+    kept = docs if keep_text or whole not in docs.columns else docs.drop(whole)
+    others = kept.columns
+    schema = kept.withColumn(out, F.lit(None).cast(f"struct<{fields}>")).schema
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(vocabulary)
         for batch in chunks(batches, whole):
-            lists, decoded = [], []
-            for t in batch.column(whole).to_pylist():
-                ids = coder.encode(t or "")
-                lists.append(ids)
-                decoded.append(coder.decode(ids))
+            lists = coder.encode([t or "" for t in batch.column(whole).to_pylist()])
             if digests:
                 columns = [
                     pa.array([len(x) for x in lists], pa.int64()),
                     pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in lists], pa.string()),
-                    pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()),
+                    pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in lists], pa.string()),
                 ]
                 result = pa.StructArray.from_arrays(columns, ["n_tokens", "ids_sha256", "decoded_sha256"])
             else:
-                columns = [pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32())), pa.array(decoded, pa.binary())]
+                decoded = pa.array(map(coder.decode, lists), pa.binary())
+                columns = [pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32())), decoded]
                 result = pa.StructArray.from_arrays(columns, ["ids", "decoded"])
-            others = [c for c in batch.schema.names if c != whole]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), result], [*others, out])
 
     return source.mapInArrow(coded, schema)

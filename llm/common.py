@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Iterator
-from itertools import islice
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featwright.storage import stage
 
-__all__ = ["F", "UnitCache", "byte_level_encoder", "byte_level_entries", "chunks", "free_name", "hashed_words", "mixed", "sampled_labels", "stage", "table", "texts_of", "units"]
+__all__ = ["F", "UnitCache", "UnitTable", "byte_level_encoder", "byte_level_entries", "chunks", "free_name", "gathered", "hashed_words", "mixed", "sampled_labels", "stage", "table", "texts_of", "units", "with_source"]
 
 #: Unicode white space, then what follows up to the next one. Tokens of the byte-level
 #: patterns never hold white space behind another character, so that a token starts
@@ -38,6 +40,17 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def with_source(docs: DataFrame, text: str, base: str) -> tuple[DataFrame, str]:
+    """``docs`` and the column that holds ``text``: the column of that name itself, else a new one named like ``base``.
+
+    Python workers and the JVM then hold a text once in a batch, not twice.
+    """
+    if text.isidentifier() and text in docs.columns and [c.lower() for c in docs.columns].count(text.lower()) == 1:
+        return docs, text
+    name = free_name(docs, base)
+    return docs.withColumn(name, F.col(text)), name
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; NULL is empty."""
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]
@@ -47,8 +60,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK_BYTES
     """The same rows in batches of about ``size`` text bytes (one row at least), so that memory is bounded by the longest text."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        lengths = np.asarray(column.cast(pa.large_binary()).fill_null(b"").to_numpy(zero_copy_only=False), dtype=object)
-        ends = np.cumsum([len(x) for x in lengths]) if len(lengths) else np.zeros(0, np.int64)
+        ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
@@ -109,21 +121,6 @@ class UnitCache:
         self.encode, self.size = encode, size
         self.known: dict[str, bytes] = {}
 
-    def ids(self, of: list[str]) -> bytes:
-        """The units' ids one after the other."""
-        found = list(map(self.known.get, of))
-        if None not in found:
-            return b"".join(found)
-        new = list({u for u, x in zip(of, found) if x is None})
-        self.known.update((u, array("I", x).tobytes()) for u, x in zip(new, self.encode(new)))
-        result = b"".join(map(self.known.__getitem__, of))
-        for u in new:
-            if len(u) > 64:
-                del self.known[u]
-        if len(self.known) > self.size:
-            self.known = dict(islice(self.known.items(), self.size // 2, None))
-        return result
-
     def ids_of(self, texts: list[list[str]], at_once: int = 10_000) -> list[bytes]:
         """The ids of many texts; units that are new to any of them are encoded together, ``at_once`` a call."""
         new = list(set().union(*texts).difference(self.known))
@@ -139,6 +136,86 @@ class UnitCache:
         return result
 
 
+def gathered(values: np.ndarray, bounds: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each numbered list one after the other, and how many each has; list i is ``values[bounds[i]:bounds[i + 1]]``."""
+    first = bounds[numbers]
+    counts = bounds[numbers + 1] - first
+    at = np.repeat(first - (np.cumsum(counts) - counts), counts)
+    at += np.arange(len(at))
+    return values[at], counts
+
+
+class UnitTable:
+    """Numbers for the units seen by a task, and the ids that each encoder has for them: about ``size`` units of up to 64 characters.
+
+    An encoder takes units and returns their ids one after the other, and how many each has.
+    When the table is full, units met once go; of the others at most half the size stays, the most frequent ones.
+    """
+
+    def __init__(self, *encoders: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], size: int = 500_000):
+        self.encoders, self.size = encoders, size
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = defaultdict(count().__next__)
+        self.uses = np.zeros(0, np.int64)
+        self.values = [np.zeros(0, np.uint32) for _ in self.encoders]
+        self.bounds = [np.zeros(1, np.int64) for _ in self.encoders]
+
+    def numbers(self, texts: Iterable[list[str]], at_once: int = 10_000) -> np.ndarray:
+        """A number for each unit of the texts, valid until the next call; new units are encoded ``at_once`` a call."""
+        self._trim()
+        before = len(self.uses)
+        try:
+            numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(texts)), np.int64)
+            uses = np.bincount(numbers, minlength=before)
+            n_new = len(uses) - before
+            uses[:before] += self.uses
+            self.uses = uses
+            new = list(islice(reversed(self.known), n_new))[::-1]
+            for k, encode in enumerate(self.encoders):
+                found = [encode(new[i : i + at_once]) for i in range(0, n_new, at_once)]
+                self.values[k] = np.concatenate([self.values[k], *(ids for ids, _ in found)])
+                counts = np.concatenate([self.bounds[k][-1:], *(n for _, n in found)])
+                self.bounds[k] = np.concatenate([self.bounds[k][:-1], np.cumsum(counts)])
+        except BaseException:
+            self.clear()  # units without ids must not stay
+            raise
+        for u in new:
+            if len(u) > 64:
+                del self.known[u]
+        return numbers
+
+    def ids(self, numbers: np.ndarray, encoder: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the numbered units one after the other, and how many each unit has."""
+        return gathered(self.values[encoder], self.bounds[encoder], numbers)
+
+    def ids_of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The ids of texts that are lists of units, by the first encoder."""
+        ids, counts = self.ids(self.numbers(texts))
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([len(units) for units in texts], dtype=np.int64)]
+        return np.split(ids, ends[:-1]) if texts else []
+
+    def _trim(self) -> None:
+        if len(self.uses) <= self.size and max(map(len, self.values)) <= 16 * self.size:
+            return
+        kept = np.zeros(len(self.uses), bool)
+        kept[np.fromiter(self.known.values(), np.int64, len(self.known))] = True
+        kept &= self.uses > 1
+        rows = np.flatnonzero(kept)
+        if len(rows) > self.size // 2:
+            rows = np.sort(rows[np.argsort(-self.uses[rows], kind="stable")[: self.size // 2]])
+        place = np.full(len(self.uses), -1)
+        place[rows] = np.arange(len(rows))
+        # in the order of their numbers, which is the order of the dictionary
+        moved = ((u, i) for u, i in zip(self.known, place[np.fromiter(self.known.values(), np.int64)].tolist()) if i >= 0)
+        self.known = defaultdict(count(len(rows)).__next__, moved)
+        self.uses = self.uses[rows] // 2
+        for k, (values, bounds) in enumerate(zip(self.values, self.bounds)):
+            self.values[k], counts = gathered(values, bounds, rows)
+            self.bounds[k] = np.concatenate([[0], np.cumsum(counts)])
+
+
 def byte_level_entries(tokenizer) -> list[bytes]:
     """The bytes of each id of a byte-level tokenizer; an added token's entry is plain text."""
     from llm.byte_bpe import byte_characters
@@ -152,30 +229,30 @@ def byte_level_entries(tokenizer) -> list[bytes]:
     return out
 
 
-def byte_level_encoder(tokenizer, sizes: np.ndarray) -> Callable[[list[str]], list[bytes]]:
-    """Ids of units by a byte-level tokenizer of the tokenizers library, many units in one text.
+def byte_level_encoder(tokenizer, sizes: np.ndarray) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """Ids of units by a byte-level tokenizer of the tokenizers library, many units in one text; an encoder of ``UnitTable``.
 
     A token starts where a unit of white space and text starts, so that such units are encoded in a row, and
     cut by the bytes of their tokens (``sizes`` by id). Others are encoded one by one.
     """
 
-    def whole(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(new: list[str], in_row: int = 500) -> list[bytes]:
-        out = [b""] * len(new)
-        safe = [k for k, u in enumerate(new) if u[0] in " \n\r\t" and not u[-1].isspace()]
-        rows = [safe[k : k + in_row] for k in range(0, len(safe), in_row)]
-        for row, ids in zip(rows, whole(["".join([new[k] for k in row]) for row in rows])):
-            ends = np.cumsum([len(new[k].encode()) for k in row])
-            cuts = np.searchsorted(np.cumsum(sizes[ids]), ends) + 1
-            data, at = ids.tobytes(), 0
-            for k, cut in zip(row, (4 * cuts).tolist()):
-                out[k] = data[at:cut]
-                at = cut
-        single = sorted(set(range(len(new))).difference(safe))
-        for k, ids in zip(single, whole([new[k] for k in single])):
-            out[k] = ids.tobytes()
-        return out
+    def whole(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *(np.array(x, np.uint32) for x in found)]), np.array([len(x) for x in found], np.int64)
+
+    def encode(new: list[str], in_row: int = 500) -> tuple[np.ndarray, np.ndarray]:
+        fits = np.array([u[0] in " \n\r\t" and not u[-1].isspace() for u in new], bool)
+        safe = [u for u, fit in zip(new, fits.tolist()) if fit]
+        ids, _ = whole(["".join(safe[k : k + in_row]) for k in range(0, len(safe), in_row)])
+        spelled, wanted = np.cumsum(sizes[ids]), np.cumsum([len(u.encode()) for u in safe], dtype=np.int64)
+        if safe and (not len(ids) or spelled[-1] != wanted[-1]):
+            return whole(new)  # tokens that do not spell the units do not tell where these end
+        counts = np.diff(np.searchsorted(spelled, wanted) + 1, prepend=0)
+        if len(safe) == len(new):
+            return ids, counts
+        others, more = whole([u for u, fit in zip(new, fits.tolist()) if not fit])
+        place = np.empty(len(new), np.int64)
+        place[np.concatenate([np.flatnonzero(fits), np.flatnonzero(~fits)])] = np.arange(len(new))
+        return gathered(np.concatenate([ids, others]), np.concatenate([[0], np.cumsum(np.concatenate([counts, more]))]), place)
 
     return encode

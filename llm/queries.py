@@ -66,7 +66,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vocabulary = Vocabulary.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_tokens(docs, vocabulary, digests=True).select("doc_id", "tokens.*")
+    return with_tokens(docs, vocabulary, digests=True, keep_text=False).select("doc_id", "tokens.*")
 
 
 def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:

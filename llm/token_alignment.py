@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from llm.byte_bpe import _field
-from llm.common import F, UnitCache, byte_level_encoder, byte_level_entries, chunks, stage, units
+from llm.common import F, UnitTable, byte_level_encoder, byte_level_entries, chunks, gathered, stage, units
 
 #: Text bytes of a block.
 BLOCK_BYTES = 3_000_000
-#: Units a task keeps for each tokenizer.
+#: Units a task keeps.
 KEPT_UNITS = 300_000
 #: Stands for a unit whose tokens do not spell it.
 UNFAITHFUL = (1 << 32) - 1
@@ -54,32 +54,29 @@ class Tokenizers:
             return cls(text.read(), model.read())
 
 
-def _checked(encode: Callable, spelled: list[bytes], sizes: np.ndarray) -> Callable[[list[str]], list[bytes]]:
-    """``encode`` with its ids as bytes; a unit that its tokens do not spell gets the id ``UNFAITHFUL``."""
+def _checked(encode: Callable, spelled: list[bytes], sizes: np.ndarray) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """``encode`` with the single id ``UNFAITHFUL`` for a unit that its tokens do not spell."""
 
-    def checked(new: list[str]) -> list[bytes]:
-        coded = encode(new)
-        if coded and not isinstance(coded[0], bytes):
-            flat = np.fromiter(chain.from_iterable(coded), np.uint32)
-            counts = np.array([len(x) for x in coded])
-        else:
-            flat = np.frombuffer(b"".join(coded), "<u4")
-            counts = np.array([len(x) // 4 for x in coded])
+    def checked(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = encode(new)
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        data, cuts = flat.astype("<u4").tobytes(), (4 * bounds).tolist()
-        out = [data[a:b] for a, b in zip(cuts, cuts[1:])]
         wanted = [u.encode() for u in new]
-        lengths = np.diff(np.concatenate([[0], np.cumsum(sizes[flat])])[bounds])
-        words = list(map(spelled.__getitem__, flat.tolist()))
+        lengths = np.diff(np.concatenate([[0], np.cumsum(sizes[ids])])[bounds])
+        words = list(map(spelled.__getitem__, ids.tolist()))
         # with equal lengths, equal bytes of all units are equal bytes of each
         if [*map(len, wanted)] == lengths.tolist() and b"".join(words) == b"".join(wanted):
-            return out
-        bad = np.uint32(UNFAITHFUL).astype("<u4").tobytes()
-        return [x if b"".join(words[a:b]) == w else bad for x, w, a, b in zip(out, wanted, bounds, bounds[1:])]
+            return ids, counts
+        bad = np.full(1, UNFAITHFUL, np.uint32)
+        found = [ids[a:b] if b"".join(words[a:b]) == w else bad for w, a, b in zip(wanted, bounds, bounds[1:])]
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
 
     return checked
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(lists), np.uint32), np.array([len(x) for x in lists], np.int64)
+
+
 class Coder:
     """Both tokenizers inside a task: ids of texts, and the bytes of ids."""
 
@@ -113,25 +110,43 @@ class Coder:
         self.second_units = re.compile("\n| *[^ \n]+| +").findall
         self.first_sizes = np.array([len(b) for b in self.first_bytes], np.int64)
         self.second_sizes = np.array([len(b) for b in self.second_bytes], np.int64)
-        self.first = UnitCache(_checked(byte_level_encoder(first, self.first_sizes), self.first_bytes, self.first_sizes), KEPT_UNITS)
-        self.second = UnitCache(_checked(lambda new: second.encode(new, num_threads=1), self.second_bytes, self.second_sizes), KEPT_UNITS)
+        self.known = UnitTable(
+            _checked(byte_level_encoder(first, self.first_sizes), self.first_bytes, self.first_sizes),
+            _checked(lambda new: _flat(second.encode(new, num_threads=1)), self.second_bytes, self.second_sizes),
+            size=KEPT_UNITS,
+        )
         # decimal ids with what follows them: the next of the group, or the end of the group's list
         self.printed = [f"{i}{c}" for i in range(len(self.first_bytes)) for c in ",|"] + [f"{i}{c}" for i in range(len(self.second_bytes)) for c in ",;"]
 
-    def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of a space and each text by both; none where the text is empty or one of them does not spell it."""
+    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of both: ids of a space and each text one after the other, and where each text's start (one more at the end).
+
+        Texts that are empty, or that one of the two does not spell, have none.
+        """
         spaced = [" " + t for t in texts]
         split = [units(t) for t in spaced]
-        own = [self.second_units(t) if self.inner(t) else x for t, x in zip(spaced, split)]
-        both = self.first.ids_of(split), self.second.ids_of(own)
-        none = np.zeros(0, np.int64)
-        out: tuple[list[np.ndarray], list[np.ndarray]] = [], []
-        for text, *found in zip(texts, *both):
-            lists = [np.frombuffer(x, "<u4").astype(np.int64) for x in found]
-            usable = text != "" and not any((x == UNFAITHFUL).any() for x in lists)
-            for column, x in zip(out, lists):
-                column.append(x if usable else none)
-        return out
+        odd = {k: self.second_units(t) for k, t in enumerate(spaced) if self.inner(t)}
+        # texts that the second splits in another way come once more behind the others
+        numbers = self.known.numbers([*split, *odd.values()])
+        begin = np.concatenate([[0], np.cumsum([len(found) for found in (*split, *odd.values())], dtype=np.int64)])
+        own = np.arange(len(texts))
+        own[list(odd)] = len(texts) + np.arange(len(odd))
+        usable = np.array([t != "" for t in texts], bool)
+        both = []
+        for k, chosen in enumerate((np.arange(len(texts)), own)):
+            ids, counts = self.known.ids(numbers, k)
+            bounds = np.concatenate([[0], np.cumsum(counts)])[begin]
+            if odd:
+                ids, counts = gathered(ids, bounds, chosen)
+                bounds = np.concatenate([[0], np.cumsum(counts)])
+            usable &= np.diff(np.concatenate([[0], np.cumsum(ids == UNFAITHFUL)])[bounds]) == 0
+            both.append((ids, bounds))
+        if not usable.all():
+            kept = np.flatnonzero(usable)
+            for k, (ids, bounds) in enumerate(both):
+                sizes = np.where(usable, np.diff(bounds), 0)
+                both[k] = gathered(ids, bounds, kept)[0], np.concatenate([[0], np.cumsum(sizes)])
+        return [(ids.astype(np.int64), starts) for ids, starts in both]
 
 
 @lru_cache(maxsize=2)
@@ -202,9 +217,7 @@ _RESULT = "id bigint, n_a bigint, n_b bigint, n_groups bigint, groups string, n_
 
 def _block(coder: Coder, doc_ids: pa.Array, texts: list[str], digests: bool) -> pa.RecordBatch:
     """One row of all texts: sizes, groups, and each text's links as numbers of the block's different pairs."""
-    lists = coder.ids(texts)
-    a, b = (np.concatenate(x) for x in lists)
-    a_starts, b_starts = (np.concatenate([[0], np.cumsum([len(i) for i in x])]) for x in lists)
+    (a, a_starts), (b, b_starts) = coder.ids(texts)
     # the two spell the same bytes, so that offsets may run on from text to text
     ends_a, ends_b = np.cumsum(coder.first_sizes[a]), np.cumsum(coder.second_sizes[b])
     # a block seldom needs long integers

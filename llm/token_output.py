@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from featwright.storage import shared_dir
-from llm.common import F, UnitCache, byte_level_encoder, byte_level_entries, chunks, stage, units
+from llm.common import F, UnitTable, byte_level_encoder, byte_level_entries, chunks, stage, units
 
 MAGIC = b"SIMPLE8B"
 #: Fixed values of Simple-8b: ids per word by selector 1 to 14; the width is 60 divided by it. Selector 0 is the escape.
@@ -41,20 +41,21 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and escapes of non-negative 64-bit values: each word takes as many as fit."""
     values = values.astype(np.uint64)
     n = len(values)
-    take = np.ones(n, np.int64)
-    selector = np.zeros(n, np.int64)
+    selector = np.zeros(n, np.uint8)
     widest = int(values.max()).bit_length() if n else 0
+    # behind the end everything fits, so that the last word may be partly empty
+    ahead = np.append(values, np.zeros(max(PER_WORD), np.uint64)).astype(np.uint32 if widest <= 32 else np.uint64)
     for k in reversed(range(len(PER_WORD))):
         per = PER_WORD[k]
         if widest <= 60 // per:
-            take[:], selector[:] = per, k + 1
+            selector[:] = k + 1
             continue
-        # behind the end everything fits, so that the last word may be partly empty
-        small = np.append(np.flatnonzero(values < np.uint64(1 << 60 // per)), np.arange(n, n + per - 1))
-        start = small[: len(small) - per + 1]
-        start = start[small[per - 1 :] - start == per - 1]
-        take[start], selector[start] = per, k + 1
-    first = _walk(np.arange(n) + take)
+        fits, have = ahead < ahead.dtype.type(1 << 60 // per), 1
+        while have < per:  # a place where ``have`` values in a row fit, and one behind it
+            step = min(have, per - have)
+            fits, have = fits[:-step] & fits[step:], have + step
+        np.copyto(selector, k + 1, where=fits[:n])
+    first = _walk(np.arange(n) + np.array([1, *PER_WORD])[selector])
     chosen = selector[first]
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([values, np.zeros(max(PER_WORD), np.uint64)])
@@ -70,8 +71,8 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, values[first[escaped]]
 
 
-def _walk(after: np.ndarray, stride: int = 64) -> np.ndarray:
-    """The places met from 0 on, when ``after`` names the next of each: strides of 64 steps by doubling, then all between them."""
+def _walk(after: np.ndarray, stride: int = 16) -> np.ndarray:
+    """The places met from 0 on, when ``after`` names the next of each: strides of 16 steps by doubling, then all between them."""
     n = len(after)
     if not n:
         return np.zeros(0, np.int64)
@@ -79,10 +80,10 @@ def _walk(after: np.ndarray, stride: int = 64) -> np.ndarray:
     far = steps
     for _ in range(stride.bit_length() - 1):
         far = far[far]
-    marks, at, jumps = [], 0, far.tolist()
+    marks, at, jump = [], 0, far.item
     while at < n:
         marks.append(at)
-        at = jumps[at]
+        at = jump(at)
     rows = np.empty((stride, len(marks)), np.int64)
     rows[0] = marks
     for k in range(1, stride):
@@ -144,14 +145,14 @@ def read_blocks(data: bytes) -> Iterator[tuple[int, list[int | None], np.ndarray
 
 
 @lru_cache(maxsize=2)
-def _cache(definition: str) -> UnitCache:
+def _table(definition: str) -> UnitTable:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(definition)
-    return UnitCache(byte_level_encoder(tokenizer, np.array([len(b) for b in byte_level_entries(tokenizer)])))
+    return UnitTable(byte_level_encoder(tokenizer, np.array([len(b) for b in byte_level_entries(tokenizer)])))
 
 
 def write_tokens(docs: DataFrame, definition: str, end_id: int, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
@@ -175,7 +176,7 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, id_column: str =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        cache = _cache(definition)
+        known = _table(definition)
         part, seq = TaskContext.get().partitionId(), 0
         target, base = fs.FileSystem.from_uri(folder)
         blocks: list[tuple[list[int | None], list[np.ndarray]]] = []
@@ -197,9 +198,9 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, id_column: str =
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "seq", "name", "n_docs", "n_ids"])
 
         for batch in chunks(batches, "text"):
-            encoded = cache.ids_of([units(t or "") for t in batch.column("text").to_pylist()])
+            encoded = known.ids_of([units(t or "") for t in batch.column("text").to_pylist()])
             for i, found in zip(batch.column("id").to_pylist(), encoded):
-                ids = np.append(np.frombuffer(found, "<u4"), np.uint32(end_id))
+                ids = np.append(found, np.uint32(end_id))
                 doc_ids.append(i)
                 lists.append(ids)
                 held, in_block = held + len(ids), in_block + len(ids)
