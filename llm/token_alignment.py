@@ -31,7 +31,7 @@ from llm.common import F, UnitTable, byte_level_encoder, byte_level_entries, chu
 #: Text bytes of a block.
 BLOCK_BYTES = 3_000_000
 #: Units a task keeps.
-KEPT_UNITS = 300_000
+KEPT_UNITS = 500_000
 #: Stands for a unit whose tokens do not spell it.
 UNFAITHFUL = (1 << 32) - 1
 
