@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame
 
 from llm.common import F, UnitTable, chunks, free_name, units, with_source
 
+#: Units a task keeps.
+KEPT_UNITS = 400_000
+
 
 
 def byte_characters() -> list[str]:
@@ -99,7 +102,7 @@ class Coder:
         self.ranks = {t: k for k, t in enumerate(vocabulary.tokens)}
         self.split = regex.compile(vocabulary.pattern).findall
         self.characters = {b: c for b, c in enumerate(byte_characters())}
-        self.known = UnitTable(self._encode_units)
+        self.known = UnitTable(self._encode_units, size=KEPT_UNITS)
 
     def _encode_units(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units one after the other, and how many each has: its pre-tokens one by one."""

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from llm.common import F, chunks, free_name, mixed, texts_of
+from llm.common import F, chunks, free_name, mixed, texts_of, with_source
 
 WIDTH = 5
 PERCENT = 80
@@ -228,10 +228,11 @@ def with_leaks(
     reported each. Rows with NULL or repeated ids are judged by their own text.
     Other columns pass unchanged; ``out`` gets underscores in front if the name is taken.
     """
-    out, whole = free_name(docs, out), free_name(docs, "_whole_text")
+    out = free_name(docs, out)
     kind = "array<struct<item_id: bigint, similarity: double, start: bigint>>"
     struct = pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int64())])
-    result = docs.withColumn(out, F.array().cast(kind)).withColumn(whole, F.col(text))
+    source, whole = with_source(docs, text, "_whole_text")
+    result = source.withColumn(out, F.array().cast(kind))
     schema = result.schema
     rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").toLocalIterator()
 
@@ -251,4 +252,4 @@ def with_leaks(
 
     while items := [(r["item_id"], r["text"]) for r in islice(rows, items_per_pass)]:
         result = result.mapInArrow(one_pass(items), schema)
-    return result.drop(whole)
+    return result if whole in docs.columns else result.drop(whole)
