@@ -25,7 +25,6 @@ from llm.common import F, UnitTable, chunks, free_name, units, with_source
 KEPT_UNITS = 400_000
 
 
-
 def byte_characters() -> list[str]:
     """A printable character for each byte: itself where it is printable, else the next free one from U+0100."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
