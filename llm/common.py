@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from featwright.storage import stage
 
-__all__ = ["F", "UnitCache", "UnitTable", "byte_level_encoder", "byte_level_entries", "chunks", "free_name", "gathered", "hashed_words", "mixed", "sampled_labels", "stage", "table", "texts_of", "units", "with_source"]
+__all__ = ["F", "UnitCache", "UnitTable", "byte_level_encoder", "byte_level_entries", "chunks", "distinct_units", "free_name", "gathered", "hashed_words", "mixed", "sampled_labels", "stage", "table", "texts_of", "unit_starts", "units", "with_source"]
 
 #: Unicode white space, then what follows up to the next one. Tokens of the byte-level
 #: patterns never hold white space behind another character, so that a token starts
@@ -24,6 +24,11 @@ __all__ = ["F", "UnitCache", "UnitTable", "byte_level_encoder", "byte_level_entr
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 units = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
 
+#: The UTF-8 bytes of white space beyond ASCII, as numbers.
+_WIDE_SPACE = np.array(
+    [int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+)
+
 #: Text bytes that one step inside a task works on at once.
 CHUNK_BYTES = 2_000_000
 
@@ -69,6 +74,40 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, size: int = CHUNK_BYTES
             start = stop
 
 
+def unit_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes where a text or a unit starts: ASCII white space behind what is not white space.
+
+    These are units of ``units``, some of them in one: in front of other white space nothing is cut.
+    """
+    space = (data == 32) | (data - np.uint8(9) < 5)
+    starts = np.zeros(len(data), bool)
+    np.greater(space[1:], space[:-1], out=starts[1:])
+    behind = np.flatnonzero(starts)
+    behind = behind[data[behind - 1] >= 128]
+    code = sum(data[np.maximum(behind - k, 0)].astype(np.int64) << 8 * (k - 1) for k in (1, 2, 3))
+    starts[behind[np.isin(code, _WIDE_SPACE) | np.isin(code & 0xFFFF, _WIDE_SPACE)]] = False
+    starts[begins[begins < len(data)]] = True
+    return np.flatnonzero(starts)
+
+
+def distinct_units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different units of a string column, the place there of each unit in order, and where each text's units start (one more at the end).
+
+    NULL is empty. Texts stay Arrow columns: Python meets a unit once, however often it stands in them.
+    """
+    texts = texts.fill_null("").cast(pa.large_string())
+    begins, content = np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    if len(texts):
+        begins = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+        if begins[-1] > begins[0]:
+            content = np.frombuffer(texts.buffers()[2], np.uint8, begins[-1] - begins[0], begins[0])
+        begins = begins - begins[0]
+    starts = unit_starts(content, begins)
+    bounds = pa.py_buffer(np.append(starts, len(content)))
+    found = pa.Array.from_buffers(pa.large_string(), len(starts), [None, bounds, pa.py_buffer(content)]).dictionary_encode()
+    return found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy(), np.searchsorted(starts, begins)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):

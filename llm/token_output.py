@@ -28,13 +28,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 
 from featwright.storage import shared_dir
-from llm.common import F, UnitTable, byte_level_encoder, byte_level_entries, chunks, stage, units
+from llm.common import F, UnitTable, byte_level_encoder, byte_level_entries, chunks, distinct_units, gathered, stage
 
 MAGIC = b"SIMPLE8B"
 #: Fixed values of Simple-8b: ids per word by selector 1 to 14; the width is 60 divided by it. Selector 0 is the escape.
 PER_WORD = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BLOCK_IDS = 1 << 16
 FILE_IDS = 1 << 22
+#: Units that a task keeps with their ids.
+KEPT_UNITS = 700_000
+#: Text bytes encoded at once; a unit is looked up once in them.
+CHUNK_BYTES = 4_000_000
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +156,15 @@ def _table(definition: str) -> UnitTable:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(definition)
-    return UnitTable(byte_level_encoder(tokenizer, np.array([len(b) for b in byte_level_entries(tokenizer)])))
+    return UnitTable(byte_level_encoder(tokenizer, np.array([len(b) for b in byte_level_entries(tokenizer)])), size=KEPT_UNITS)
+
+
+def _encoded(known: UnitTable, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts one after the other, and where each text's start (one more at the end)."""
+    different, places, begins = distinct_units(texts)
+    values, sizes = known.ids(known.numbers([different]))
+    ids, counts = gathered(values, np.concatenate([[0], np.cumsum(sizes)]), places)
+    return ids, np.concatenate([[0], np.cumsum(counts)])[begins]
 
 
 def write_tokens(docs: DataFrame, definition: str, end_id: int, id_column: str = "doc_id", text: str = "text") -> tuple[DataFrame, str]:
@@ -197,10 +209,10 @@ def write_tokens(docs: DataFrame, definition: str, end_id: int, id_column: str =
             kinds = pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "seq", "name", "n_docs", "n_ids"])
 
-        for batch in chunks(batches, "text"):
-            encoded = known.ids_of([units(t or "") for t in batch.column("text").to_pylist()])
-            for i, found in zip(batch.column("id").to_pylist(), encoded):
-                ids = np.append(found, np.uint32(end_id))
+        for batch in chunks(batches, "text", CHUNK_BYTES):
+            found, bounds = _encoded(known, batch.column("text"))
+            for i, a, b in zip(batch.column("id").to_pylist(), bounds, bounds[1:]):
+                ids = np.append(found[a:b], np.uint32(end_id))
                 doc_ids.append(i)
                 lists.append(ids)
                 held, in_block = held + len(ids), in_block + len(ids)

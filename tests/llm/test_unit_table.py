@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from llm import token_alignment
+from llm import token_alignment, token_output
 from llm.byte_bpe import Vocabulary, with_tokens
-from llm.common import UnitTable, byte_level_encoder, byte_level_entries, units, with_source
+from llm.common import UnitTable, byte_level_encoder, byte_level_entries, distinct_units, units, with_source
 from llm.token_output import pack, unpack
 
 
@@ -105,3 +106,21 @@ def test_a_text_passes_a_worker_once(spark):
     without = with_tokens(docs, vocabulary, digests=True, keep_text=False)
     assert without.columns == ["doc_id", "tokens"]
     assert sorted(map(tuple, without.collect())) == sorted(map(tuple, with_tokens(docs, vocabulary, digests=True).drop("text").collect()))
+
+
+def test_a_unit_is_looked_up_once_in_a_column():
+    texts = ["", None, "à la\xa0x  y", "a\u3000 b\x85 c a", " ", "\n\n", "x <|endoftext|> y", "\x1c a\x1c b", "É\n\té  \r\n x", "y y y", ""]
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        known = token_output._table(file.read())
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode, asked = known.numbers, []
+    known.numbers = lambda lists: encode([asked.append(x) or x for x in lists])
+    for column in (pa.array(texts), pa.array(texts * 50).slice(3, 300), pa.array(texts, pa.large_string()).slice(0, 2), pa.array([], pa.string())):
+        different, places, begins = distinct_units(column)
+        plain = [t or "" for t in column.to_pylist()]
+        assert ["".join(different[i] for i in places[a:b]) for a, b in zip(begins, begins[1:])] == plain
+        assert len(set(different)) == len(different) and len(begins) == len(column) + 1
+        ids, bounds = token_output._encoded(known, column)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [whole.encode(t, add_special_tokens=False).ids for t in plain]
+        assert all(len(x) == len(set(x)) for x in asked)
+    assert distinct_units(pa.array(["a\xa0b c", "\u2003 d"]))[0] == ["a\xa0b", " c", "\u2003 d"]
