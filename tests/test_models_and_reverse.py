@@ -328,3 +328,27 @@ def test_letters_are_not_matched_one_by_one(spark, tmp_path):
     at = inputs.DOCUMENT_FEATURES.index("n_letters")
     found = {r["sample_id"]: r["features"][at] for r in samples.collect()}
     assert found == {i: None if t is None else sum(c.isascii() and c.isalpha() for c in t) for i, t in enumerate(texts)}
+
+
+def test_text_measures_are_those_of_the_patterns(spark):
+    texts = ["", None, "\n\n", "  a b", "A.\x0bB\x1c9 é ß１　x;", "\x85a\xa0 ", "One, two!\r\nThree? 42", "z" * 300_000 + " 1\n", "\t"]
+    docs = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id bigint, text string").coalesce(1)
+    text = F.col("text")
+    patterns = {"n_words": r"\S+", "n_digits": "[0-9]", "n_upper": "[A-Z]", "n_punctuation": "[.,;:!?]", "n_letters": "[A-Za-z]", "n_breaks": "\n"}
+    wanted = docs.select("doc_id", *[F.regexp_count(text, F.lit(p)).cast("double").alias(name) for name, p in patterns.items()])
+    counted = docs.select("doc_id", inputs.text_counts("text").alias("c")).select("doc_id", *[f"c.{name}" for name in patterns])
+    assert counted.orderBy("doc_id").collect() == wanted.orderBy("doc_id").collect()
+    empty = docs.limit(0).select(inputs.text_counts("text").alias("c"))
+    assert empty.collect() == []
+
+
+def test_text_measures_run_no_pattern_and_not_for_labels_alone(spark, tmp_path):
+    docs = [(k, "Some text, 1\n" * k, 13 * k) for k in range(8)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    samples = inputs.document_samples(spark, str(tmp_path))
+    plan = samples._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp" not in plan
+    assert "ArrowEvalPython" not in samples.select("sample_id", "label")._jdf.queryExecution().executedPlan().toString()
+    features = {r.sample_id: r.features for r in samples.collect()}
+    assert features[2] == [26.0, 6.0, 3.0, 2.0, 2.0, 2.0, 16.0, 26 / 6, 2.0, 2 / 26, 2 / 26, 2 / 26]
