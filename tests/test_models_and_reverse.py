@@ -1,5 +1,6 @@
 import itertools
 import math
+import threading
 
 import numpy as np
 import pandas as pd
@@ -205,6 +206,22 @@ def test_log_loss_scorers(splits):
         assert abs(sum(fit.weights) - 1) < 1e-9
 
 
+def test_a_single_trial_leaves_no_thread_idle(splits):
+    """Two fits wait for each other: with one trial they are of two splits. The rows keep their order."""
+    met = threading.Barrier(2)
+
+    def scorer(train, valid, params):
+        met.wait(timeout=60)
+        return models.Fit(None if valid is None else params["p"], [float(train.count())])
+
+    found = models.score_trials(splits, scorer, [{"p": 0.5}], parallelism=2).collect()
+    wanted = [(o, i) for o in range(2) for i in (0, 1, 2, None)]
+    assert [(r.outer_fold, r.inner_fold) for r in found] == wanted
+    assert all(r.score == (None if r.inner_fold is None else 0.5) for r in found)
+    train = splits.rows().where("role = 'train'").groupBy("outer_fold", "inner_fold").count().collect()
+    assert {(r.outer_fold, r.inner_fold): r.weights[0] for r in found} == {(r.outer_fold, r.inner_fold): r["count"] for r in train}
+
+
 def _game(x, leaves, known):
     return sum(
         value * np.prod([(float(lo < x[f] <= hi) if f in known else share) for f, lo, hi, share in path])

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from featwright.functions.expressions import yeo_johnson
 from featwright.operators import folds, gram, prepare, transform
+from featwright.plans import splits as plan
 from featwright.plans.splits import fit_splits
 from featwright.settings import Settings
 from featwright.sources import tables
@@ -203,3 +204,27 @@ def test_first_look_at_exponents_does_not_shuffle_cells(spark, monkeypatch):
     assert len(found) == 3 * 2 * 4
     first = next(p for p in plans if "log1p" in p.lower())
     assert "SortMergeJoin" not in first[first.lower().index("log1p") :]
+
+
+def test_all_splits_are_fitted_in_the_same_steps(samples, monkeypatch):
+    """Outer and inner splits share the passes over the cells, and get what fits of their own give."""
+    _, _, df = samples
+    calls = []
+
+    def fitted(*args, **options):
+        calls.append(args)
+        return transform.yeojohnson_lambda(*args, **options)
+
+    monkeypatch.setattr(plan, "yeojohnson_lambda", fitted)
+    splits = fit_splits(df, Settings(n_outer_folds=3, n_inner_folds=2))
+    assert len(calls) == 1
+    cells = tables.cells_of_vectors(splits.samples)
+    inner = cells.select(F.explode("inner_folds").alias("outer_fold", "inner_fold"), "feature", "value")
+    expected = {(r.outer_fold, None, r.feature): r for r in transform.yeojohnson_lambda(cells).collect()}
+    for r in transform.yeojohnson_lambda(inner, "inner_fold", ["outer_fold"]).collect():
+        expected[r.outer_fold, r.inner_fold, r.feature] = r
+    found = splits.fitted.select("outer_fold", "inner_fold", F.explode("_fit").alias("p")).select("*", "p.*").collect()
+    assert len(found) == len(expected) == (3 + 3 * 2) * 5
+    for r in found:
+        e = expected[r.outer_fold, r.inner_fold, f"f_{r.feature_ord}"]
+        np.testing.assert_allclose((r["lambda"], r.mean, r.std), (e["lambda"], e.mean, e.std), rtol=1e-9, atol=1e-12)
