@@ -5,6 +5,7 @@ import threading
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml import classification
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
@@ -14,10 +15,10 @@ from featwright.operators.gram import gram_blocks
 from featwright.operators.reverse_quality import label_weight_filter, pooled_r2, reverse_best
 from featwright.operators.trials import best_trial, draw_trials, drop_empty_trials, prune_trials
 from featwright.plans.selection import select_by_search, select_lasso
-from featwright.plans.splits import fit_splits
+from featwright.plans.splits import Splits, fit_splits
 from featwright.settings import Settings
 from featwright.storage import stage
-from workload import inputs
+from workload import inputs, model_queries
 
 SETTINGS = Settings(n_outer_folds=2, n_inner_folds=3)
 ALPHAS = [0.01, 0.05, 0.2]
@@ -222,6 +223,53 @@ def test_a_single_trial_leaves_no_thread_idle(splits):
     assert {(r.outer_fold, r.inner_fold): r.weights[0] for r in found} == {(r.outer_fold, r.inner_fold): r["count"] for r in train}
 
 
+def test_the_logloss_query_makes_all_fits(spark, splits, monkeypatch):
+    """All folds and trials of a run, and as many trees as a trial draws."""
+    asked = []
+
+    def no_splits(samples, settings):
+        asked.append(settings)
+        return Splits(samples, samples, settings)
+
+    class Forest(models.RandomForestClassifier):
+        def _fit(self, rows):
+            asked.append(self.getNumTrees())
+            raise InterruptedError
+
+    def no_fits(splits, scorer, trials, parallelism, **options):
+        for params in trials:
+            with pytest.raises(InterruptedError):
+                scorer(rows, None, params, **options)
+        return spark.createDataFrame([(0, 0, 0, 0.5, [1.0])], models.FITS)
+
+    with models.split_rows(splits, 0, None) as (rows, _):
+        monkeypatch.setattr(model_queries, "fit_splits", no_splits)
+        monkeypatch.setattr(models, "_Forest", Forest, raising=False)
+        monkeypatch.setattr(models, "RandomForestClassifier", Forest)
+        monkeypatch.setattr(models, "score_trials", no_fits)
+        monkeypatch.setattr(inputs, "document_samples", lambda spark, sf_dir: splits.samples)
+        model_queries.queries()["score_random_forest_logloss"](spark, "")
+    settings, *trees = asked
+    assert (settings.n_outer_folds, settings.n_inner_folds) == (6, 5)
+    assert trees == [t["num_iterations"] for t in draw_trials("boosting", 100, 30)]
+
+
+def test_a_logloss_forest_makes_no_objects_of_its_trees(splits, monkeypatch):
+    """One object a tree, made for every fit, kept the other fits of the driver waiting."""
+    made = []
+    tree = classification.DecisionTreeClassificationModel
+    first = tree.__init__
+    monkeypatch.setattr(tree, "__init__", lambda self, *given: (made.append(1), first(self, *given))[1])
+    params = {"max_depth": 3, "min_data_in_leaf": 2, "bagging_fraction": 0.9, "num_iterations": 4}
+    with models.split_rows(splits, 0, 1) as (train, valid):
+        fit = models.random_forest_logloss(train, valid, params)
+        assert not made
+        plain = classification.RandomForestClassifier(numTrees=4, maxDepth=3, minInstancesPerNode=2, subsamplingRate=0.9, seed=42)
+        assert fit.weights == plain.fit(models.with_vectors(train)).featureImportances.toArray().tolist()
+    assert len(fit.model.trees) == 4
+    assert fit.model.getMaxDepth() == 3
+
+
 def _game(x, leaves, known):
     return sum(
         value * np.prod([(float(lo < x[f] <= hi) if f in known else share) for f, lo, hi, share in path])

@@ -76,6 +76,22 @@ def test_folds_part_the_samples(samples):
         assert (sizes.max() - sizes.min()).max() <= 1
 
 
+def test_copies_of_an_id_are_dealt_to_many_folds(spark):
+    """With two outer folds, two copies of an id never met in a train part; with six they do."""
+    twice = [(i, 1 + i % 2, [float(i + copy)]) for i in range(24) for copy in range(1 + (i % 5 == 0))]
+    df = spark.createDataFrame(twice, "sample_id bigint, label int, features array<double>")
+    dealt = plan.deal_nested(df, Settings()).collect()
+    assert {r.sample_id for r in dealt} == set(range(24))
+    for r in dealt:
+        assert set(r.inner_folds) >= set(range(6)) - {r.outer_fold}
+        assert set(r.inner_folds.values()) <= set(range(5))
+    alone = [r for r in dealt if r.sample_id % 5]
+    assert len(alone) == 19 and all(len(r.inner_folds) == 5 for r in alone)
+    for i in range(0, 24, 5):
+        assert {r.features[0] for r in dealt if r.sample_id == i} == {float(i), float(i + 1)}
+        assert len({tuple(sorted(r.inner_folds.items())) for r in dealt if r.sample_id == i}) == 1
+
+
 def test_transform_is_yeo_johnson(spark):
     x = [-2.5, -0.1, 0.0, 0.3, 4.0]
     for lam in (-1.0, 0.0, 0.5, 2.0, 3.0):
